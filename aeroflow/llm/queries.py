@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from aeroflow.llm.byte_bpe import op2_byte_bpe
 from aeroflow.llm.mixing import OP3_SQL, op3_mix_sources
+from aeroflow.llm.quality_rules import OP8_SQL, op8_quality_rules
 from aeroflow.llm.simhash import op4_simhash
 from aeroflow.llm.token_records import op7_token_records
 
@@ -12,6 +13,7 @@ QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op4_simhash": op4_simhash,
     "op7_token_records": op7_token_records,
+    "op8_quality_rules": op8_quality_rules,
 }
 
-ORACLE_SQL = {"op3_mix_sources": OP3_SQL}
+ORACLE_SQL = {"op3_mix_sources": OP3_SQL, "op8_quality_rules": OP8_SQL}
