@@ -196,7 +196,9 @@ def good_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     held = docs.toDF(*names)
     at = dict(zip(docs.columns, names))
     found = judged(held, at[id_col], at[text_col], at[lang_col], keep=names)
-    return found.where("kept").select(*found.columns[-len(names) :]).toDF(*docs.columns)
+    places = [f"p{i}" for i in range(len(found.columns))]
+    verdict = places[found.columns.index("kept")]
+    return found.toDF(*places).where(verdict).select(*places[-len(names) :]).toDF(*docs.columns)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,7 +212,9 @@ def _sql_distance(p: str, q: str) -> str:
 
 OP8_SQL = rf"""
 WITH texts AS (SELECT doc_id, coalesce('=' || lang, '') AS key, coalesce(text, '') AS text FROM documents),
-split AS (SELECT *, regexp_extract_all(text, '[^ 	-]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines FROM texts),
+split AS (SELECT *, regexp_extract_all(text, '[^ 	-
+]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines FROM texts),
 base AS (
   SELECT doc_id, key, text, words, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
          (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines
