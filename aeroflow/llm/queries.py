@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from aeroflow.llm.byte_bpe import op2_byte_bpe
 from aeroflow.llm.html_text import op6_main_text
+from aeroflow.llm.lang_id import op1_language_id
 from aeroflow.llm.mixing import OP3_SQL, op3_mix_sources
 from aeroflow.llm.quality_rules import OP8_SQL, op8_quality_rules
 from aeroflow.llm.simhash import op4_simhash
@@ -11,6 +12,7 @@ from aeroflow.llm.token_records import op7_token_records
 from aeroflow.llm.topk import OP10_SQL, op10_cover_tree_topk
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_mix_sources": op3_mix_sources,
     "op4_simhash": op4_simhash,
