@@ -6,6 +6,7 @@ from aeroflow.llm.byte_bpe import op2_byte_bpe
 from aeroflow.llm.html_text import op6_main_text
 from aeroflow.llm.lang_id import op1_language_id
 from aeroflow.llm.mixing import OP3_SQL, op3_mix_sources
+from aeroflow.llm.quality_model import op9_quality_model
 from aeroflow.llm.quality_rules import OP8_SQL, op8_quality_rules
 from aeroflow.llm.simhash import op4_simhash
 from aeroflow.llm.token_records import op7_token_records
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_main_text": op6_main_text,
     "op7_token_records": op7_token_records,
     "op8_quality_rules": op8_quality_rules,
+    "op9_quality_model": op9_quality_model,
     "op10_cover_tree_topk": op10_cover_tree_topk,
 }
 
