@@ -9,6 +9,7 @@ from aeroflow.llm.mixing import OP3_SQL, op3_mix_sources
 from aeroflow.llm.quality_model import op9_quality_model
 from aeroflow.llm.quality_rules import OP8_SQL, op8_quality_rules
 from aeroflow.llm.simhash import op4_simhash
+from aeroflow.llm.substring_dedup import op5_substring_dedup
 from aeroflow.llm.token_records import op7_token_records
 from aeroflow.llm.topk import OP10_SQL, op10_cover_tree_topk
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_mix_sources": op3_mix_sources,
     "op4_simhash": op4_simhash,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_main_text": op6_main_text,
     "op7_token_records": op7_token_records,
     "op8_quality_rules": op8_quality_rules,

@@ -2,29 +2,57 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from aeroflow.llm.byte_bpe import encode_decode
 from aeroflow.llm.mixing import mixed_documents
+from aeroflow.llm.quality_rules import good_documents
 from aeroflow.llm.simhash import deduplicated
+from aeroflow.llm.substring_dedup import without_repeats
+from aeroflow.storage import materialise
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return good_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
     return deduplicated(docs)
 
 
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A passage that repeats across documents stays in the first of them."""
+    return without_repeats(docs)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of the sources takes it."""
     return mixed_documents(docs)
 
 
-STAGES = [("simhash_near_dedup", near_duplicates), ("mix_sources", mixing)]
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids and decoded bytes of each document of the mix."""
+    return encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("simhash_near_dedup", near_duplicates),
+    ("substring_dedup", repeated_passages),
+    ("mix_sources", mixing),
+    ("byte_bpe", tokens),
+]
 
-#: Hash-based signatures and tokenization have no SQL form.
+#: Fingerprints by XXH64, MinHash and byte-pair merges have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to the documents of ``sf_dir``."""
+    """Apply all stages to the documents of ``sf_dir``; what each returns is written and read."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
