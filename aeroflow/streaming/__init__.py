@@ -1 +1 @@
-
+"""Structured Streaming jobs; each gives the rows that its batch form gives."""
