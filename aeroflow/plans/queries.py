@@ -492,3 +492,6 @@ def geo_range_join(spark, d):
     box = (F.abs(F.col("lat") - F.col("p_lat")) <= 2) & (F.abs(F.col("lon") - F.col("p_lon")) <= 3)
     met = H.within_radius(points, places, T.haversine_km(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon")), box)
     return met.select("c_custkey", "s_suppkey", F.round("distance_km", 3).alias("distance_km"))
+
+
+from aeroflow.plans import article_queries as _articles  # noqa: E402,F401
