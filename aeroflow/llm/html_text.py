@@ -26,6 +26,12 @@ CHROME = frozenset("nav header footer aside form menu dialog".split())
 BAD_WORDS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted recommend recommended related reply replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 GOOD_WORDS = frozenset("article body content entry main maincontent post story text".split())
 
+#: Words that begin so are taken like the bad words: commentlist, cookiebar and the like.
+BAD_STARTS = ("advert", "banner", "breadcrumb", "comment", "cookie", "disqus", "navbar", "newsletter", "popup", "promo", "sidebar", "sponsor", "subscri")
+
+#: Phrases of boilerplate in short blocks outside an article.
+_PHRASES = re.compile(r"copyright|©|\(c\) \d{4}|all rights reserved|privacy policy|terms of (use|service)|cookies?\b|sign (up|in)\b|log ?in\b|subscribe|newsletter|read more|share (this|on)|follow us|advertisement|skip to", re.I)
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
@@ -114,7 +120,7 @@ def blocks(page: str) -> list[Block]:
 
 
 #: Weights of the linear classifier: positive speaks for content.
-WEIGHTS = {"bias": -0.4, "article": 2.6, "main": 1.6, "paragraph": 0.9, "heading": 0.3, "length": 0.55, "marks": 0.5, "links": -2.4, "chrome": -6.0, "bad_words": -5.0, "good_words": 0.8, "hidden": -8.0}
+WEIGHTS = {"bias": -0.4, "article": 2.6, "main": 1.6, "paragraph": 0.9, "heading": 0.3, "length": 0.55, "marks": 0.5, "links": -2.4, "chrome": -6.0, "bad_words": -5.0, "phrases": -3.0, "good_words": 0.8, "hidden": -8.0}
 
 
 def content_score(block: Block) -> float:
@@ -133,7 +139,8 @@ def content_score(block: Block) -> float:
         "marks": min(2, sum(block.text.count(c) for c in ".,;!?")) / 2,
         "links": min(1.0, block.link_chars / size),
         "chrome": bool(tags & CHROME) and not heading_in_article,
-        "bad_words": bool(block.words & BAD_WORDS),
+        "bad_words": bool(block.words & BAD_WORDS) or any(w.startswith(BAD_STARTS) for w in block.words),
+        "phrases": size < 200 and not tags & {"article", "main"} and bool(_PHRASES.search(block.text)),
         "good_words": bool(block.words & GOOD_WORDS),
         "hidden": block.hidden,
     }

@@ -25,6 +25,8 @@ def test_other_boilerplate():
         f'<section class="user-comments"><p>{BODY} I think.</p><p>{MORE} Me too.</p></section>',
         f'<div class="sidebar"><ul><li><a href="x">{BODY}</a></li></ul></div>',
         f"<noscript>{BODY}</noscript>",
+        f'<ol class="commentlist"><li>{BODY}</li></ol>',
+        "<div>&copy; 2024 Site. All rights reserved.</div>",
     ]
     assert H.main_text(page("".join(parts))) == f"Title here {BODY} {MORE}"
 
