@@ -494,4 +494,4 @@ def geo_range_join(spark, d):
     return met.select("c_custkey", "s_suppkey", F.round("distance_km", 3).alias("distance_km"))
 
 
-from aeroflow.plans import article_queries as _articles  # noqa: E402,F401
+from aeroflow.plans import article_queries as _articles, site_queries as _site  # noqa: E402,F401
