@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from aeroflow.storage import materialise
 
+#: A graph of so few links (told in both directions) is finished in one task.
+SMALL_LINKS = 20_000
+
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Label every node of an undirected graph with its component's smallest node.
@@ -18,12 +24,16 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     joined nodes become the next round's graph. Priorities are drawn anew each round, so chains
     shrink by a constant factor as stars do, and the number of rounds grows with the logarithm of
     the longest chain. Each round is a pre-aggregated minimum per node and two joins, so a node
-    with many links is no group held in memory. The rounds' maps are then applied backwards.
+    with many links is no group held in memory. Once SMALL_LINKS are left, one task finishes them.
+    The rounds' maps are then applied backwards.
     """
     graph = materialise(_both_ways(edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))), "cc-links")
     nodes = graph.select(F.col("a").alias("node")).distinct()
     maps: list[DataFrame] = []
-    while not graph.isEmpty():
+    while (links := graph.count()) > 0:
+        if links <= SMALL_LINKS:
+            maps.append(materialise(_finished(graph), "cc-map"))
+            break
         seed = len(maps)
         joined = materialise(
             graph.groupBy("a").agg(F.min(_priority("b", seed)).alias("best")).select(F.col("a").alias("node"), F.least(_priority("a", seed), F.col("best"))["n"].alias("to")),
@@ -43,6 +53,30 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     return label.join(smallest, "root").select("node", "component")
 
 
+def _finished(links: DataFrame) -> DataFrame:
+    """(node, to): the smallest node of each component of a graph of SMALL_LINKS rows at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+
+        def find(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        kind = None
+        for b in batches:
+            kind = b.column(0).type
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x, y = find(x), find(y)
+                parent[max(x, y)] = min(x, y)
+        if parent:
+            yield pa.RecordBatch.from_arrays([pa.array(list(parent), kind), pa.array([find(x) for x in list(parent)], kind)], names=["node", "to"])
+
+    kind = links.schema["a"].dataType.simpleString()
+    return links.select("a", "b").coalesce(1).mapInArrow(run, f"node {kind}, to {kind}")
+
+
 def _priority(column: str, seed: int) -> Column:
     """A node's priority in the round ``seed``, with the node itself."""
     return F.struct(F.xxhash64(F.lit(seed), F.col(column)).alias("p"), F.col(column).alias("n"))

@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from aeroflow.operators import components
 from aeroflow.operators.components import connected_components
 
 
@@ -19,7 +22,9 @@ def _expected(pairs):
     return {x: find(x) for x in parent}
 
 
-def test_random_graphs_chains_and_stars(spark):
+@pytest.mark.parametrize("small", [0, 20_000])
+def test_random_graphs_chains_and_stars(spark, monkeypatch, small):
+    monkeypatch.setattr(components, "SMALL_LINKS", small)
     rng = random.Random(3)
     pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)]
     pairs += [(1000 + i, 1001 + i) for i in range(40)] + [(2000, 2000 + i) for i in range(1, 60)]
