@@ -10,11 +10,10 @@ from __future__ import annotations
 
 import base64
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -29,6 +28,16 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
 
 
+_CHARACTERS = dict(enumerate(byte_characters()))
+
+
+def mapped(token: str) -> str:
+    """A string's bytes as printable characters."""
+    if token.isascii() and token.isprintable():
+        return token.replace(" ", _CHARACTERS[32])
+    return token.encode().decode("latin-1").translate(_CHARACTERS)
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """Pieces and ranks of a rank file: a base64 piece and its rank on each line."""
     with open(path, "rb") as lines:
@@ -53,10 +62,9 @@ def _nested(field: int, value: bytes) -> bytes:
 
 def sentencepiece_model(ranks: dict[bytes, int]) -> bytes:
     """A serialised sentencepiece BPE model whose n-th piece is the vocabulary's n-th by rank."""
-    table = dict(enumerate(byte_characters()))
     out = bytearray()
     for piece, rank in sorted(ranks.items(), key=lambda x: x[1]):
-        name = piece.decode("latin-1").translate(table).encode()
+        name = piece.decode("latin-1").translate(_CHARACTERS).encode()
         out += _nested(1, _nested(1, name) + _varint(2 << 3 | 5) + struct.pack("<f", -rank) + _number(3, 1))
     unknown = b"<unk>"
     out += _nested(1, _nested(1, unknown) + _varint(2 << 3 | 5) + struct.pack("<f", 0.0) + _number(3, 2))
@@ -77,23 +85,17 @@ class ByteBpe:
         self.ids = np.array([rank for _, rank in pieces], "<u4")
         self.identity = bool((self.ids == np.arange(len(pieces))).all())
         self.model = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(ranks))
-        self.pattern = regex.compile(pattern)
-        self.characters = dict(enumerate(byte_characters()))
         self.bytes = np.frombuffer(b"".join(p for p, _ in pieces), np.uint8)
         self.lengths = np.zeros(int(self.ids.max()) + 1, np.int64)
         self.lengths[self.ids] = [len(p) for p, _ in pieces]
         self.starts = np.zeros_like(self.lengths)
         self.starts[self.ids] = np.cumsum([0, *(len(p) for p, _ in pieces[:-1])])
-        self.cache = ChunkCache(self.encode_many)
-
-    def encode_many(self, strings: list[str]) -> Iterable[list[int]]:
-        tokens = [self.pattern.findall(x) for x in strings]
-        flat = list(dict.fromkeys(t for ts in tokens for t in ts))
-        mapped = [t.encode().decode("latin-1").translate(self.characters) for t in flat]
-        ids = dict(zip(flat, self.model.encode(mapped, num_threads=1) if mapped else []))
-        for ts in tokens:
-            out = [i for t in ts for i in ids[t]]
-            yield out if self.identity else self.ids[out].tolist()
+        self.cache = ChunkCache(pattern, self.encode_one)
+
+    def encode_one(self, token: str) -> list[int]:
+        """The ids of a pre-token."""
+        ids = self.model.encode(mapped(token))
+        return ids if self.identity else self.ids[ids].tolist()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""

@@ -2,60 +2,80 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import sys
+from array import array
+from collections.abc import Callable
 
-import numpy as np
+import regex
 
-from aeroflow.llm.frames import groups
+if array("I").itemsize != 4 or sys.byteorder != "little":
+    raise ImportError("ids are packed as the machine's unsigned integers, which must be 32-bit and little-endian")
 
 
-class ChunkCache:
-    """Encodes texts with an encoder whose tokens never reach over a lone space.
+class ChunkCache(dict):
+    """Encodes texts pre-token by pre-token, each distinct chunk once while the cache holds it.
 
-    Word-level byte-pair tokenizers cut a text before each space that stands between two
-    characters other than white space, whatever else the text holds. So a text's ids are those of
-    its chunks, one after another, and each distinct chunk is encoded once while the cache holds
-    it. A text in which a space touches other white space goes to the encoder whole.
+    ``pattern`` cuts a text into pre-tokens, none of which reaches over a lone space, and takes a
+    space with following letters as one and a run of marks after letters as one; ``encode_one``
+    maps a pre-token to its ids. A text is cut before each space that stands between two
+    characters other than white space, so its ids are those of its chunks, one after another. A
+    text in which a space touches other white space is cut by the pattern as a whole.
 
-    ``encode_many`` maps a list of strings to their lists of ids. The cache is emptied when it
-    exceeds ``max_entries`` chunks; that bounds memory and changes no result.
+    As a dictionary it maps a chunk to the packed ids of a space and the chunk, which are encoded
+    when asked for first; a chunk with white space at an end has none and raises KeyError. The
+    cache is emptied between texts when it exceeds ``max_entries``; that bounds memory and changes
+    no result.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], Iterable[list[int]]], max_entries: int = 400_000):
-        self.encode_many = encode_many
+    def __init__(self, pattern: str, encode_one: Callable[[str], list[int]], max_entries: int = 500_000):
+        super().__init__()
+        self.cut = regex.compile(pattern).findall
+        self.encode_one = encode_one
         self.max_entries = max_entries
-        self.chunks: dict[str, bytes] = {}
+        self.others: dict[str, bytes] = {}  # ids of pre-tokens that are no space with letters
+
+    def __missing__(self, chunk: str) -> bytes:
+        if chunk.isalpha():
+            ids = array("I", self.encode_one(" " + chunk)).tobytes()
+        else:
+            word = chunk.rstrip(".,;:!?")
+            if word.isalpha():
+                known = word in self
+                ids = self[word] + self._other(chunk[len(word) :])
+                if not known:  # a word that is new is seldom met again with the same marks
+                    return ids
+            elif not chunk or chunk[0].isspace() or chunk[-1].isspace():
+                raise KeyError(chunk)
+            else:
+                ids = self._joined(self.cut(" " + chunk))
+        self[chunk] = ids
+        return ids
+
+    def _other(self, token: str) -> bytes:
+        ids = self.others.get(token)
+        if ids is None:
+            ids = self.others[token] = array("I", self.encode_one(token)).tobytes()
+        return ids
+
+    def _joined(self, tokens: list[str]) -> bytes:
+        return b"".join([self[t[1:]] if t[0] == " " and t[1:].isalpha() else self._other(t) for t in tokens])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text (null: none) as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        for start, end in groups(texts):
-            out += self._encode(texts[start:end])
-        return out
-
-    def _encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(text or "").split(" ") for text in texts]
-        known = self.chunks
-        if len(known) > self.max_entries:
-            known.clear()
-        new = set().union(*(parts[1:] for parts in split)).difference(known)
-        new = [x for x in new if x and not (x[0].isspace() or x[-1].isspace())]
-        known.update(zip(new, self._packed([" " + x for x in new])))
-        out: list[bytes | None] = []
-        for parts in split:
+        out = []
+        for text in texts:
+            if len(self) + len(self.others) > self.max_entries:
+                self.clear()
+                self.others.clear()
+            first, *parts = (text or "").split(" ")
             try:
-                if parts[0][-1:].isspace():
-                    raise KeyError
-                out.append(b"".join(map(known.__getitem__, parts[1:])))
+                if first[-1:].isspace():
+                    raise KeyError(first)
+                ids = b"".join(map(self.__getitem__, parts))
             except KeyError:
-                out.append(None)
-        whole = [i for i, x in enumerate(out) if x is None]
-        first = [i for i, parts in enumerate(split) if parts[0] and out[i] is not None]
-        for i, ids in zip(whole, self._packed([texts[i] for i in whole])):
-            out[i] = ids
-        for i, ids in zip(first, self._packed([split[i][0] for i in first])):
-            out[i] = ids + out[i]
+                ids = self._joined(self.cut(text))
+            else:
+                if first:
+                    ids = self._joined(self.cut(first)) + ids
+            out.append(ids)
         return out
-
-    def _packed(self, strings: list[str]) -> list[bytes]:
-        return [np.asarray(ids, "<u4").tobytes() for ids in self.encode_many(strings)] if strings else []

@@ -28,6 +28,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from aeroflow.llm.byte_bpe import mapped
 from aeroflow.llm.chunk_cache import ChunkCache
 from aeroflow.llm.frames import groups, table
 from aeroflow.storage import materialise, new_path
@@ -72,29 +73,30 @@ def unframe(data: bytes, at: int) -> tuple[bytes, int]:
     return payload, start + length + 4
 
 
-_LOADED: dict[str, tuple[ChunkCache, bool]] = {}
+_LOADED: dict[tuple[str, str], tuple[ChunkCache, bool]] = {}
 
 
-def _loaded(path: str) -> tuple[ChunkCache, bool]:
-    """One tokenizer for each Python worker, and whether its ids need 4 bytes."""
-    if path not in _LOADED:
-        import os
+def _loaded(path: str, pattern: str) -> tuple[ChunkCache, bool]:
+    """One tokenizer for each Python worker, and whether its ids need 4 bytes.
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each Spark task has one core
+    Pre-tokens go to the library's BPE model one by one, so a pre-token that came before costs no
+    call and the library builds no offsets; ids are those of the library's encoding of the text.
+    """
+    if (path, pattern) not in _LOADED:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        encode = lambda texts: (e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False))
-        _LOADED[path] = ChunkCache(encode), tokenizer.get_vocab_size() > 65536
-    return _LOADED[path]
+        cut = tokenizer.model.tokenize
+        encode = lambda token: [x.id for x in cut(mapped(token))]
+        _LOADED[path, pattern] = ChunkCache(pattern, encode), tokenizer.get_vocab_size() > 65536
+    return _LOADED[path, pattern]
 
 
-def write_token_records(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_token_records(docs: DataFrame, tokenizer_path: str, pattern: str, out: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text and write the ids in ascending order of the id column.
 
-    ``tokenizer_path`` is a file of a byte-level BPE tokenizer without a normaliser, whose tokens
-    never reach over a lone space; the strings of its special tokens are ordinary text. Each
+    ``tokenizer_path`` is a file of a byte-level BPE tokenizer without a normaliser and ``pattern``
+    its pre-tokenisation; the strings of its special tokens are ordinary text. Each
     document's ids end with ``end_id``. Rows are dealt out by ranges of (id, hash of the text),
     and each range becomes one shard ``shard-NNNNN.tokens`` with its index ``.index`` in the
     folder ``out``. A null text counts as empty; null ids come first; rows that share an id are
@@ -112,7 +114,7 @@ def write_token_records(docs: DataFrame, tokenizer_path: str, out: str, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         shard, attempt = context.partitionId(), context.taskAttemptId()
-        cache, wide = _loaded(tokenizer_path)
+        cache, wide = _loaded(tokenizer_path, pattern)
         end = np.array([end_id], "<u4")
         store, root = fs.FileSystem.from_uri(out)
         name = f"{root}/shard-{shard:05d}"
@@ -217,5 +219,5 @@ def digests(records: DataFrame) -> DataFrame:
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    manifest = write_token_records(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), new_path(spark, "tokens"))
+    manifest = write_token_records(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, new_path(spark, "tokens"))
     return digests(read_token_records(manifest))

@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 import tiktoken
 
-from aeroflow.llm.byte_bpe import ByteBpe, digests, encode_decode, read_ranks
+from aeroflow.llm.byte_bpe import _CHARACTERS, ByteBpe, digests, encode_decode, read_ranks
 
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 RANKS = read_ranks(PATH)
@@ -14,13 +14,13 @@ LIBRARY = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_
 
 def odd_texts(n=300, seed=5):
     rng = random.Random(seed)
-    bits = [" ", "  ", "\n", "\t", "\r\n", "\x1c", "\x85", " ", "　", "the", "Don't", "'s", "123", "é", "日本", "🙂", "<|endoftext|>", "&&&", "a", "\x00", "é", "ſ", "²"]
+    bits = [" ", "  ", "\n", "\t", "\r\n", "\x1c", "\x85", " ", "　", "the", "Don't", "'s", "123", "é", "日本", "🙂", "<|endoftext|>", "&&&", "a", "word.", "x,'s", "end?!", ". ", "b.c", "\x00", "é", "ſ", "²"]
     return ["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(n)]
 
 
 def test_every_piece_encodes_to_itself():
     bpe = ByteBpe(RANKS, public_tokenizers.PATTERN)
-    names = [p.decode("latin-1").translate(bpe.characters) for p in RANKS]
+    names = [p.decode("latin-1").translate(_CHARACTERS) for p in RANKS]
     assert bpe.model.encode(names, num_threads=1) == [[i] for i in RANKS.values()]
 
 

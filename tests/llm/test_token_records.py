@@ -17,7 +17,7 @@ def test_rows_and_files(spark):
     texts = [*odd_texts(80, 11), "", None, "word " * 5000]
     rows = [(997 * i % 83, x, 1, "z") for i, x in enumerate(texts)] + [(None, "no id", 1, "z"), (5, "again", 1, "z"), (5, "again", 1, "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start int, ids string")
-    manifest = T.write_token_records(docs, PATH, new_path(spark, "t"))
+    manifest = T.write_token_records(docs, PATH, public_tokenizers.PATTERN, new_path(spark, "t"))
     records = T.read_token_records(manifest)
     got = sorted(T.digests(records).collect(), key=lambda r: r.start)
     library = Tokenizer.from_file(PATH)
@@ -39,7 +39,7 @@ def test_rows_and_files(spark):
 
 
 def test_empty_table(spark):
-    manifest = T.write_token_records(spark.createDataFrame([], "doc_id long, text string"), PATH, new_path(spark, "t"))
+    manifest = T.write_token_records(spark.createDataFrame([], "doc_id long, text string"), PATH, public_tokenizers.PATTERN, new_path(spark, "t"))
     assert T.digests(T.read_token_records(manifest)).collect() == []
 
 
