@@ -10,15 +10,19 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 def history_counts(rows: DataFrame, history: DataFrame, row_id: str, key: str, day: str, windows: Sequence[int]) -> DataFrame:
     """How many history rows of the same key lie in the days before each row; a null key: any.
 
-    ``rows`` and ``history`` have ``key`` and ``day`` (dates). History is first counted by key and
-    day, so a frequent key costs a row for each day.
+    ``rows`` and ``history`` have ``key`` and ``day`` (dates). History is counted by key and day,
+    and once more by day for the null key; sums over the days before then run in a window of at
+    most one row for each day, so a frequent key is no large group, and rows meet their counts by
+    an equality of key and day.
     """
-    days = history.groupBy(key, day).agg(F.count("*").alias("n")).select(F.col(key).alias("_k"), F.col(day).alias("_d"), "n")
-    every = history.groupBy(day).agg(F.count("*").alias("n")).select(F.lit(None).cast(history.schema[key].dataType).alias("_k"), F.col(day).alias("_d"), "n")
-    met = rows.select(row_id, key, day).join(days.unionByName(every), F.col(key).eqNullSafe(F.col("_k")), "left")
-    age = F.datediff(F.col(day), F.col("_d"))
-    counts = [F.coalesce(F.sum(F.when((age > 0) & (age <= n), F.col("n"))), F.lit(0)).alias(f"n_{n}d") for n in windows]
-    return met.groupBy(row_id).agg(*counts)
+    number = F.datediff(F.col(day), F.lit("1970-01-01").cast("date"))
+    counted = history.where(F.col(key).isNotNull()).groupBy(key, day).agg(F.count("*").alias("n"))
+    everything = history.groupBy(day).agg(F.count("*").alias("n")).select(F.lit(None).cast(history.schema[key].dataType).alias(key), day, "n")
+    asked = rows.select(key, day).distinct().withColumn("n", F.lit(0).cast("long"))
+    days = counted.unionByName(everything).unionByName(asked).groupBy(key, day).agg(F.sum("n").alias("n")).withColumn("_n", number)
+    before = lambda n: Window.partitionBy(key).orderBy("_n").rangeBetween(-n, -1)
+    sums = days.select(F.col(key).alias("_k"), F.col(day).alias("_d"), *(F.coalesce(F.sum("n").over(before(n)), F.lit(0)).alias(f"n_{n}d") for n in windows))
+    return rows.select(row_id, key, day).join(sums, F.col(key).eqNullSafe(F.col("_k")) & (F.col(day) == F.col("_d")), "left").select(row_id, *(f"n_{n}d" for n in windows))
 
 
 def rarity(rows: DataFrame) -> DataFrame:
