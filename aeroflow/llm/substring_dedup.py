@@ -5,7 +5,8 @@ paragraphs that collide are compared by exact Jaccard similarity and clustered b
 passage set into the middle of other paragraphs shares no paragraph, so each text also gives
 windows of WINDOW words at anchors that its content sets (winnowing); equal windows repeat. Any
 passage of WINDOW + ANCHOR - 1 = 49 words or more that two texts share word by word holds a
-window that both give.
+window that both give. The windows at the ends of a repeat are then extended, word by word, as
+far as their texts agree; by the choice of anchors that is less than ANCHOR words.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from aeroflow.llm.frames import table
 from aeroflow.operators.components import connected_components
@@ -169,6 +170,92 @@ def similar_paragraphs(paragraphs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "src long, dst long").distinct()
 
 
+_CONTEXTS = "id long, h long, start int, left boolean, first_id long, keys array<long>"
+
+
+def _contexts(docs: DataFrame) -> DataFrame:
+    """For each place (start, left, cluster, first_id) of a text, keys of the 1, 2, ... ANCHOR - 1
+    words before (``left``) or after the window there; keys are equal if window and words are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, hs, starts, lefts, firsts, keys = [], [], [], [], [], []
+            for doc_id, h, text, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
+                words = text.as_py().encode().lower().split()
+                hashes = _Hashes(words)
+                for p in places:
+                    end = p["start"] + WINDOW
+                    steps = np.arange(1, min(ANCHOR - 1, p["start"] if p["left"] else len(words) - end) + 1)
+                    found = hashes.runs(p["start"] - steps if p["left"] else np.full(len(steps), end), steps)
+                    with np.errstate(over="ignore"):
+                        salts = _mix(np.array([p["cluster"]], np.int64).view(np.uint64) + _BASE * (2 * steps + p["left"]).astype(np.uint64))
+                    ids.append(doc_id)
+                    hs.append(h)
+                    starts.append(p["start"])
+                    lefts.append(p["left"])
+                    firsts.append(p["first_id"])
+                    keys.append(_mix(found ^ salts).view(np.int64))
+            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), pa.array(starts, pa.int32()), pa.array(lefts, pa.bool_()), pa.array(firsts, pa.int64()), lists], names=["id", "h", "start", "left", "first_id", "keys"])
+
+    return docs.mapInArrow(run, _CONTEXTS)
+
+
+def _sides(windows: Column) -> Column:
+    """Both sides of each of a text's sorted windows, with the cluster and distance of the window
+    that touches it there; without one the side is an end.
+    """
+
+    def sides(s: Column, i: Column) -> Column:
+        before, after = F.get(windows, i - 1), F.get(windows, i + 1)
+
+        def side(left: bool, other: Column, touches: Column, gap: Column) -> Column:
+            place = [s["cluster"].alias("cluster"), F.lit(left).alias("left"), s["start"].alias("start"), s["first_id"].alias("first_id")]
+            return F.struct(*place, F.when(touches, other["cluster"]).alias("other"), F.when(touches, gap).alias("gap"))
+
+        return F.array(side(True, before, before["end"] >= s["start"], s["start"] - before["start"]), side(False, after, after["start"] <= s["end"], after["start"] - s["start"]))
+
+    return F.flatten(F.transform(windows, sides))
+
+
+def _extensions(kept: DataFrame, by_doc: DataFrame) -> DataFrame:
+    """(id, h, more): spans beside the windows at the ends of repeats, up to where texts differ.
+
+    ``kept``: id, h, text. ``by_doc``: id, h, spans. A word beside a window is repeated if another
+    text has the same window with the same words up to there, and goes if an earlier text has.
+    Keys are counted for all lengths, so no pair of texts is compared. Where another window touches
+    on the same side, all texts with both windows at that distance are alike up to the other one's
+    start, and no end of that window agrees with them so far (else it had the other window); so
+    the first of these texts stands for them.
+    """
+    windows = F.filter("spans", lambda s: s["end"] - s["start"] == WINDOW)
+    split = by_doc.select("id", "h", windows.alias("w"), F.filter(windows, lambda s: s["removed"]).alias("r"))
+    ends = F.filter(F.array_union(_sides(F.col("w")), _sides(F.col("r"))), lambda s: s["other"].isNull())
+    ends = materialise(split.select("id", "h", F.explode(ends).alias("s")).select("id", "h", "s.*").drop("other", "gap"), "dedup-ends")
+    inner = split.select("id", "h", F.explode(F.filter(_sides(F.col("w")), lambda s: s["other"].isNotNull())).alias("s")).select("id", "h", "s.*")
+    inner = inner.join(ends.select("cluster", "left").distinct(), ["cluster", "left"], "left_semi")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "h")
+    first = inner.groupBy("cluster", "left", "other", "gap").agg(F.min(F.struct(order.alias("doc"), "start", "first_id")).alias("m"))
+    first = first.select("m.doc.id", "m.doc.h", "cluster", "left", "m.start", "m.first_id")
+    places = ends.unionByName(first).groupBy("id", "h").agg(F.collect_set(F.struct("start", "left", "cluster", "first_id")).alias("places"))
+    places = materialise(places.select(F.col("id").alias("_id"), F.col("h").alias("_h"), "places"), "dedup-beside")
+    found = materialise(_contexts(kept.join(places, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("id", "h", "text", "places")), "dedup-contexts")
+    levels = found.select("id", "h", "start", "left", "first_id", F.posexplode("keys").alias("n", "key"))
+    met = levels.groupBy("key").agg(F.min(order).alias("a"), F.max(order).alias("b")).where("a <> b").select("key", "a")
+    met = materialise(met, "dedup-met")
+    longest = levels.join(met, "key").groupBy("id", "h", "start", "left").agg(F.max(F.col("n") + 1).alias("all"), F.coalesce(F.max(F.when(F.col("a") != order, F.col("n") + 1)), F.lit(0)).alias("gone"), F.min("first_id").alias("first_id"))
+
+    def span(size: str, first: str, removed: bool) -> Column:
+        end = F.col("start") + WINDOW
+        start = F.when(F.col("left"), F.col("start") - F.col(size)).otherwise(end)
+        return F.struct(start.alias("start"), F.when(F.col("left"), F.col("start")).otherwise(end + F.col(size)).alias("end"), F.col(first).alias("first_id"), F.lit(removed).alias("removed"))
+
+    spans = F.array(F.when(F.col("gone") > 0, span("gone", "first_id", True)), F.when(F.col("all") > F.col("gone"), span("all", "id", False)))
+    return longest.select("id", "h", F.explode(spans).alias("span")).where("span is not null").groupBy("id", "h").agg(F.collect_list("span").alias("more"))
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that share a passage with another, with the word spans that repeat.
 
@@ -176,7 +263,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     smallest id of the documents that it reaches over shared passages), ``n_words`` repeated,
     ``n_removed`` words, and ``spans`` array<struct<start, end, first_id, removed>> of word
     places: spans neither overlap nor touch unless they differ in ``removed``. The first document
-    of a passage, by id (null last) and then by hash, keeps it; the others have it removed.
+    of a passage, by id (null last) and then by hash, keeps it; the others have it removed. A
+    repeated run goes to its last word on both sides.
 
     Words are the maximal runs without the six ASCII white-space characters, A-Z lower-cased.
     Rows that agree in id and text are one document; equal texts of different ids repeat wholly.
@@ -196,7 +284,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     firsts = places.groupBy("cluster").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first <> last").select("cluster", "first")
     firsts = materialise(firsts, "dedup-firsts")  # so the join below only shuffles, and a frequent passage's places can be split
     spans = places.join(firsts, "cluster").select(
-        "id", "h", F.struct("start", (F.col("start") + F.col("n")).alias("end"), F.col("first.id").alias("first_id"), (~(F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.h") == F.col("h")))).alias("removed")).alias("span")
+        "id", "h", F.struct("start", (F.col("start") + F.col("n")).alias("end"), F.col("first.id").alias("first_id"), (~(F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.h") == F.col("h")))).alias("removed"), "cluster").alias("span")
     )
     by_doc = materialise(spans.groupBy("id", "h").agg(F.array_sort(F.collect_set("span")).alias("spans")), "dedup-spans")
     links = by_doc.select("id", F.explode("spans").alias("s")).select(F.col("id").alias("src"), F.col("s.first_id").alias("dst")).distinct()
@@ -214,6 +302,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 words.append(removed[-1] + sum(s["end"] - s["start"] for s in rest))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, kind)], names=["id", "h", "n_words", "n_removed", "spans"])
 
+    more = _extensions(kept, by_doc).select(F.col("id").alias("_id"), F.col("h").alias("_h"), "more")
+    plain = F.transform("spans", lambda s: s.dropFields("cluster"))
+    by_doc = by_doc.join(more, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
+    by_doc = by_doc.select("id", "h", F.when(F.col("more").isNull(), plain).otherwise(F.concat(plain, "more")).alias("spans"))
     merged = by_doc.mapInArrow(merge, "id long, h long, n_words long, n_removed long, spans array<struct<start int, end int, first_id long, removed boolean>>")
     joined = merged.join(classes.withColumnRenamed("node", "id"), "id", "left")
     return joined.select("id", "h", F.coalesce("component", "id").alias("class_id"), "n_words", "n_removed", "spans")

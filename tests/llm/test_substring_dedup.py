@@ -111,3 +111,32 @@ def test_cut_keeps_lines_and_spaces():
     assert D.cut("a b c\nd e f", [{"start": 1, "end": 3}]) == "a\nd e f"
     assert D.cut("a b c d", [{"start": 1, "end": 2}, {"start": 3, "end": 4}]) == "a c"
     assert D.cut("a b", [{"start": 0, "end": 2}]) == ""
+
+
+def test_no_word_of_a_passage_is_left(spark):
+    rng = random.Random(23)
+    rows, passages = [], {}
+    for k in range(40):
+        text = [f"p{k}x{j}" for j in range(49 + rng.randrange(60))]
+        for j in range(3):
+            passages[3 * k + j] = text
+            rows.append((3 * k + j, f"{prose(rng, rng.randrange(60))} {' '.join(text)} {prose(rng, rng.randrange(60))}", "q", 1))
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.id: r for r in D.repeated_passages(df).collect()}
+    left = {r.doc_id: r.text.split() for r in D.without_repeats(df).collect()}
+    before = {r[0]: r[1].split() for r in rows}
+    for i, text in passages.items():
+        assert got[i].n_words == len(text) and got[i].n_removed == (len(text) if i % 3 else 0)
+        if i % 3:
+            assert left.get(i, []) == [w for w in before[i] if w not in set(text)]
+        else:
+            assert left[i] == before[i]
+
+
+def test_a_run_goes_as_far_as_any_earlier_text(spark):
+    rng = random.Random(29)
+    text = prose(rng, 90).split()
+    part = text[7:80]  # the first document has less of the passage than the next two share
+    rows = [(i, " ".join([prose(rng, 40), *words, prose(rng, 40)]), "q", 1) for i, words in enumerate([part, text, text])]
+    got = {r.id: r for r in D.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [(got[i].n_words, got[i].n_removed) for i in range(3)] == [(73, 0), (90, 73), (90, 90)]
