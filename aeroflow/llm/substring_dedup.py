@@ -1,6 +1,7 @@
 """Passages that repeat across documents: paragraph MinHash banding and anchored windows.
 
-Paragraphs (lines of MIN_PARAGRAPH words or more) are banded by MinHash over five-word shingles;
+Paragraphs (lines of MIN_PARAGRAPH words or more, and runs of shorter lines up to a blank or a long
+line that have as many together) are banded by MinHash over five-word shingles;
 paragraphs that collide are compared by exact Jaccard similarity and clustered by components. A
 passage set into the middle of other paragraphs shares no paragraph, so each text also gives
 windows of WINDOW words at anchors that its content sets (winnowing); equal windows repeat. Any
@@ -11,6 +12,7 @@ far as their texts agree; by the choice of anchors that is less than ANCHOR word
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 from collections.abc import Iterator
@@ -76,6 +78,16 @@ def signature(shingles: np.ndarray) -> np.ndarray:
         return _mix(least[:, 0] * _BASE + _mix(least[:, 1]) + np.arange(BANDS, dtype=np.uint64))
 
 
+def _paragraphs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the paragraphs, from those of the lines."""
+    long = sizes >= MIN_PARAGRAPH
+    short = np.r_[False, (sizes > 0) & ~long, False].astype(np.int8)
+    first, after = np.flatnonzero(np.diff(short) == 1), np.flatnonzero(np.diff(short) == -1)
+    together = starts[after - 1] + sizes[after - 1] - starts[first]
+    wrapped = together >= MIN_PARAGRAPH
+    return np.r_[starts[long], starts[first[wrapped]]], np.r_[sizes[long], together[wrapped]]
+
+
 def units(text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray, list[bytes] | None, list[bytes] | None]]:
     """Windows, then paragraphs, of a text: (kind, keys, starts, lengths, bands, shingle sets)."""
     lines = [line.split() for line in text.encode().lower().split(b"\n")]
@@ -90,11 +102,11 @@ def units(text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray, list[bytes]
     yield "w", hashes.runs(at, WINDOW), at, np.full(len(at), WINDOW), None, None
     sizes = np.array([len(line) for line in lines])
     starts = np.cumsum(sizes) - sizes
-    long = np.flatnonzero(sizes >= MIN_PARAGRAPH)
-    if len(long):
-        sets = [np.unique(shingles[s : s + k - SHINGLE + 1]) for s, k in zip(starts[long], sizes[long])]
-        keys = _mix(hashes.runs(starts[long], sizes[long]) + np.uint64(1))
-        yield "p", keys, starts[long], sizes[long], [signature(x).tobytes() for x in sets], [np.unique(x.astype("<u4")).tobytes() for x in sets]
+    starts, sizes = _paragraphs(starts, sizes)
+    if len(starts):
+        sets = [np.unique(shingles[s : s + k - SHINGLE + 1]) for s, k in zip(starts, sizes)]
+        keys = _mix(hashes.runs(starts, sizes) + np.uint64(1))
+        yield "p", keys, starts, sizes, [signature(x).tobytes() for x in sets], [np.unique(x.astype("<u4")).tobytes() for x in sets]
 
 
 _UNITS = "id long, h long, kind string, key long, start int, n int, bands binary, shingles binary"
@@ -133,13 +145,66 @@ def _alike(postings: list[array], size: int, sizes: array) -> list[int]:
     return np.flatnonzero((common > 0) & (common >= SIMILARITY * whole)).tolist()
 
 
+class _Bucket:
+    """The paragraphs of a bucket so far: leaders, the others by prefixes, and their groups."""
+
+    def __init__(self):
+        self.leaders: list[int] = []
+        self.sizes, self.index = array("q"), {}
+        self.group: list[int] = []  # of each leader, by union-find
+        self.others: list[tuple[int, bytes]] = []
+        self.prefixes: dict[int, dict[int, array]] = {}  # shingle, leader, places in others
+
+    def _find(self, i: int) -> int:
+        while self.group[i] != i:
+            self.group[i] = i = self.group[self.group[i]]
+        return i
+
+    def add(self, key: int, raw: bytes) -> list[int]:
+        """Earlier keys that link a paragraph to all groups with a member similar to it."""
+        members = np.frombuffer(raw, "<u4").tolist()
+        alike = _alike([self.index[s] for s in members if s in self.index], len(members), self.sizes)
+        out = [self.leaders[i] for i in alike]
+        leader = alike[0] if alike else len(self.leaders)
+        if not alike:
+            for s in members:
+                self.index.setdefault(s, array("I")).append(leader)
+            self.leaders.append(key)
+            self.sizes.append(len(members))
+            self.group.append(leader)
+        for i in alike[1:]:
+            self.group[self._find(i)] = self._find(leader)
+        # sets of similarity s share one of the first n - s * n + 1 shingles in any common order
+        prefix = members[: len(members) - math.ceil(SIMILARITY * len(members) - 1e-9) + 1]
+        own, whole = self._find(leader), None
+        for s in prefix:
+            for other, places in self.prefixes.get(s, {}).items():
+                if self._find(other) == own:
+                    continue
+                whole = whole or set(members)
+                for place in places:
+                    earlier, theirs = self.others[place]
+                    theirs = np.frombuffer(theirs, "<u4").tolist()
+                    common = len(whole.intersection(theirs))
+                    if common >= SIMILARITY * (len(whole) + len(theirs) - common):
+                        out.append(earlier)
+                        self.group[self._find(other)] = own
+                        break
+        if alike:
+            for s in prefix:
+                self.prefixes.setdefault(s, {}).setdefault(leader, array("I")).append(len(self.others))
+            self.others.append((key, raw))
+        return out
+
+
 def similar_paragraphs(paragraphs: DataFrame) -> DataFrame:
     """Links (src, dst) between paragraph keys whose shingle sets have Jaccard similarity >= 0.8.
 
     ``paragraphs``: key, bands, shingles. In each bucket of equal band keys the paragraphs come by
     number of copies and are compared with the bucket's leaders so far; one that is similar to
-    none becomes a leader. Only leaders are held, with an index from shingles to leaders, so a
-    bucket of many near copies takes one pass.
+    none becomes a leader. A paragraph is also compared with the other members, except those that
+    it is already linked to through leaders. So the links of a bucket join all of its similar
+    pairs, directly or through others, though a bucket of many near copies takes one pass.
     """
     slim = paragraphs.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring(F.hex("bands"), i * 16 + 1, F.lit(16)))).alias("band"))
     slim = slim.select("key", F.conv("band", 16, -10).cast("long").alias("band")).groupBy("key", "band").agg(F.count("*").alias("copies"))
@@ -150,21 +215,15 @@ def similar_paragraphs(paragraphs: DataFrame) -> DataFrame:
     dealt = members.join(sets, "key").repartition("band").sortWithinPartitions("band", F.desc("copies"), "key").select("band", "key", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band, leaders, sizes, index = None, [], array("q"), {}
+        band, bucket = None, _Bucket()
         for b in batches:
             left, right = [], []
             for own, key, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 if own != band:
-                    band, leaders, sizes, index = own, [], array("q"), {}
-                members = np.frombuffer(raw, "<u4").tolist()
-                alike = _alike([index[s] for s in members if s in index], len(members), sizes)
-                left += [leaders[i] for i in alike]
-                right += [key] * len(alike)
-                if not alike:
-                    for s in members:
-                        index.setdefault(s, array("I")).append(len(leaders))
-                    leaders.append(key)
-                    sizes.append(len(members))
+                    band, bucket = own, _Bucket()
+                found = bucket.add(key, raw)
+                left += found
+                right += [key] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["src", "dst"])
 
     return dealt.mapInArrow(run, "src long, dst long").distinct()

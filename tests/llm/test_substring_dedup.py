@@ -140,3 +140,36 @@ def test_a_run_goes_as_far_as_any_earlier_text(spark):
     rows = [(i, " ".join([prose(rng, 40), *words, prose(rng, 40)]), "q", 1) for i, words in enumerate([part, text, text])]
     got = {r.id: r for r in D.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert [(got[i].n_words, got[i].n_removed) for i in range(3)] == [(73, 0), (90, 73), (90, 90)]
+
+
+def test_links_of_a_bucket_lose_no_group():
+    rng = random.Random(31)
+    for _ in range(30):
+        sets = []
+        for _ in range(4):  # chains of edited copies
+            now = rng.sample(range(10**9), 60)
+            for _ in range(15):
+                sets.append(frozenset(now))
+                for at in rng.sample(range(60), 4):
+                    now[at] = rng.randrange(10**9)
+        rng.shuffle(sets)
+        alike = {(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets[:i]) if len(x & y) >= 0.8 * len(x | y)}
+        bucket = D._Bucket()
+        got = {(i, j) for i, x in enumerate(sets) for j in bucket.add(i, np.array(sorted(x), "<u4").tobytes())}
+
+        def groups(links):
+            label = list(range(len(sets)))
+            for i, j in links:
+                label = [label[j] if x == label[i] else x for x in label]
+            return {frozenset(i for i, x in enumerate(label) if x == y) for y in label}
+
+        assert got <= alike and groups(got) == groups(alike)
+
+
+def test_near_copies_of_wrapped_paragraphs(spark):
+    rng = random.Random(37)
+    base = [prose(rng, 11) for _ in range(9)]
+    other = [" ".join(["new", *line.split()[1:]]) if i in (2, 5) else line for i, line in enumerate(base)]
+    rows = [(i, f"{prose(rng, 30)}\n\n" + "\n".join(lines) + f"\n\n{prose(rng, 30)}", "q", 1) for i, lines in enumerate((base, other))]
+    got = {r.id: r for r in D.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[0].n_removed == 0 and got[1].n_removed == 99
