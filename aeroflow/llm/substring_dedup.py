@@ -291,6 +291,7 @@ def _extensions(kept: DataFrame, by_doc: DataFrame) -> DataFrame:
     """
     windows = F.filter("spans", lambda s: s["end"] - s["start"] == WINDOW)
     split = by_doc.select("id", "h", windows.alias("w"), F.filter(windows, lambda s: s["removed"]).alias("r"))
+    split = materialise(split, "dedup-windows")  # else the filters run anew for each window
     ends = F.filter(F.array_union(_sides(F.col("w")), _sides(F.col("r"))), lambda s: s["other"].isNull())
     ends = materialise(split.select("id", "h", F.explode(ends).alias("s")).select("id", "h", "s.*").drop("other", "gap"), "dedup-ends")
     inner = split.select("id", "h", F.explode(F.filter(_sides(F.col("w")), lambda s: s["other"].isNotNull())).alias("s")).select("id", "h", "s.*")
