@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from aeroflow.llm.frames import let, table
 from aeroflow.storage import materialise
 
-SPACE = r"[\x20\x09-\x0D]"
-SYMBOLS = "[#*$%&|<>]"
+SPACES = " \t\n\x0b\x0c\r"
+
+#: Character classes beside white space and characters beyond ASCII.
+SYMBOLS = "#*$%&|<>"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+DIGITS = "0123456789"
+MARKS = ".,;:!?'\"()-"
+
 WINDOW_WORDS = 8
 
 #: Words whose shares make a language's word histogram.
@@ -24,51 +32,61 @@ MAX_CLASS_DISTANCE = 0.22
 MAX_WORD_DISTANCE = 0.26
 LENGTH_ALLOWANCE = 0.6
 
-#: The references of all languages go to every executor; more languages than this are refused.
-MAX_LANGUAGES = 10_000
+#: A document far from its own language's reference is also compared with other languages': those
+#: of so many languages with the most words (of equal ones the first). This bounds what is sent
+#: to every task; a language's own documents always meet its own reference.
+OTHER_REFERENCES = 256
 
 
 def words_of(text: Column) -> Column:
-    """The maximal runs of characters other than the six ASCII white-space ones."""
-    trimmed = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"{SPACE}+", -1))
+    """The maximal runs of characters other than the six ASCII white-space ones.
+
+    Commas in words are written as vertical tabs, which no word holds otherwise, so that lists of
+    words can be joined by commas.
+    """
+    coded = F.replace(F.replace(text, F.lit("\x0b"), F.lit(" ")), F.lit(","), F.lit("\x0b"))
+    return F.array_remove(F.split(coded, "[ \t\n\x0c\r]", -1), "")
+
+
+def _without(text: Column, characters: str) -> Column:
+    listed = "".join("\\" + c if c in "&-[]^\\" else c for c in characters)
+    return F.regexp_replace(text, f"[{listed}]+", "")
+
+
+def _only(text: Column, characters: str) -> Column:
+    listed = "".join("\\" + c if c in "&-[]^\\" else c for c in characters)
+    return F.regexp_replace(text, f"[^{listed}]+", "")
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    return (F.size(F.split(text, pattern, -1)) - 1).cast("long")
+def windows_of(words: Column) -> Column:
+    """A hash of each window of 8 words: the XOR of the words' hashes, each shifted by its place."""
+    hashes = F.transform(words, lambda x: F.xxhash64(x))
+    pair = lambda x, gap: F.transform(x, lambda a, i: a.bitwiseXOR(F.shiftleft(F.get(x, i + gap), gap)))
+    eight = let(hashes, lambda h: let(pair(h, 1), lambda h2: let(pair(h2, 2), lambda h4: pair(h4, 4))))
+    windows = F.slice(eight, 1, F.size(words) - WINDOW_WORDS + 1)
+    return F.when(F.size(words) > WINDOW_WORDS, windows).otherwise(F.array().cast("array<long>"))
 
 
-def repeated_window_words(words: Column) -> Column:
-    """Words that stand in a window of 8 words found twice or more in the array.
+def repeated_window_words(windows: Column) -> Column:
+    """Words that stand in a window found twice or more, from the hashes of all windows in order.
 
-    Windows are compared by a 64-bit hash, made by pairing neighbours three times. Only texts
-    with a repeated window sort theirs, by (hash, place); the places of equal neighbours, in
-    order, then give the words covered.
+    Only texts with a repeated window go on: their windows are sorted as longs of a hash's upper
+    bits and the window's place, neighbours are compared by whole hashes, and the places of equal
+    ones, in order, give the words covered.
     """
-    pair = lambda x, gap: F.zip_with(x, F.slice(x, gap + 1, F.greatest(F.size(x) - gap, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-
-    def covered(windows: Column) -> Column:
-        return let(
-            F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
-            lambda s: let(
-                F.sort_array(
-                    F.transform(
-                        F.filter(F.transform(s, lambda x, j: F.struct(x["i"].alias("i"), (F.coalesce(F.get(s, j - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, j + 1)["h"] == x["h"], F.lit(False))).alias("twice"))), lambda x: x["twice"]),
-                        lambda x: x["i"],
-                    )
-                ),
-                lambda p: F.aggregate(
-                    F.zip_with(p, F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda a, b: F.least(F.lit(WINDOW_WORDS), F.coalesce(b - a, F.lit(WINDOW_WORDS)))),
-                    F.lit(0),
-                    lambda total, n: total + n,
-                ),
-            ),
-        )
-
-    hashed = lambda w: F.transform(w, lambda x: F.xxhash64(x))
-    windows = let(hashed(words), lambda h1: let(pair(h1, 1), lambda h2: let(pair(h2, 2), lambda h4: F.slice(pair(h4, 4), 1, F.greatest(F.size(h4) - WINDOW_WORDS + 1, F.lit(0))))))
-    found = let(windows, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(0))
-    return F.when(F.size(words) <= WINDOW_WORDS, 0).otherwise(found).cast("long")
+
+    def covered(h: Column, mask: Column) -> Column:
+        place = lambda x: x.bitwiseAND(mask).cast("int")
+        same = lambda x, y: F.coalesce(F.get(h, place(x)) == F.get(h, place(y)), F.lit(False))
+        packed = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long"))))
+        twice = let(packed, lambda s: F.filter(s, lambda x, j: same(x, F.get(s, j + 1)) | same(x, F.get(s, j - 1))))
+        places = F.sort_array(F.transform(twice, place))
+        steps = let(places, lambda p: F.transform(p, lambda x, j: F.least(F.lit(WINDOW_WORDS), F.coalesce(F.get(p, j + 1) - x, F.lit(WINDOW_WORDS)))))
+        return F.aggregate(steps, F.lit(0), lambda total, n: total + n)
+
+    bits = F.ceil(F.log2(F.size(windows) + 1)).cast("int")
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
+    return F.when(F.size(F.array_distinct(windows)) < F.size(windows), let(mask, lambda m: covered(windows, m))).otherwise(0).cast("long")
 
 
 def jensen_shannon_distance(p: Column, q: Column) -> Column:
@@ -83,26 +101,29 @@ def _shares(counts: Column) -> Column:
 
 
 def _features(docs: DataFrame, id_col: str, text_col: str, lang_col: str, carried: str | None = None) -> DataFrame:
-    """id, lang key, words, base counts and character-class counts of each row."""
+    """id, language key, text, words, base counts and character-class counts of each row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.concat(F.lit("="), F.col(lang_col).cast("string")), F.lit("")).alias("key"), text.alias("text"), words_of(text).alias("words"), (F.col(carried) if carried else F.lit(None)).alias("carried"))
-    counted = base.select(
-        "id",
-        "carried",
-        "key",
-        "text",
-        "words",
-        F.size("words").cast("long").alias("n_words"),
-        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        _matches(F.col("text"), SYMBOLS).alias("n_symbols"),
+    key = F.coalesce(F.concat(F.lit("="), F.col(lang_col).cast("string")), F.lit(""))
+    base = docs.select(F.col(id_col).alias("id"), key.alias("key"), text.alias("text"), (F.col(carried) if carried else F.lit(None)).alias("carried"))
+    measured = base.select(
+        "*",
+        words_of(F.col("text")).alias("words"),
         F.length("text").cast("long").alias("chars"),
+        reduce(lambda x, y: x + y, (F.size(F.split("text", c, -1)) - 1 for c in SPACES)).cast("long").alias("white"),
+        _only(F.col("text"), SYMBOLS + UPPER + DIGITS + MARKS).alias("special"),
     )
-    upper, digits, marks = (_matches(F.col("text"), x) for x in ("[A-Z]", "[0-9]", "[.,;:!?'\"()-]"))
-    wide = (F.octet_length("text") - F.col("chars")).cast("long")
-    return counted.select(
+    left = lambda *gone: F.length(_without(F.col("special"), "".join(gone))).cast("long")
+    counted = measured.select(
         "*",
-        F.array("n_symbols", upper, digits, marks, F.least(wide, F.col("chars")), F.col("chars") - F.col("word_chars")).alias("some"),
-    ).select("*", F.array_append("some", F.greatest(F.lit(0).cast("long"), F.col("chars") - F.aggregate("some", F.lit(0).cast("long"), lambda x, y: x + y))).alias("classes"))
+        F.length("special").cast("long").alias("n_special"),
+        left(SYMBOLS).alias("a"),
+        left(SYMBOLS, UPPER).alias("b"),
+        left(SYMBOLS, UPPER, DIGITS).alias("c"),
+        F.least(F.octet_length("text") - F.col("chars"), F.col("chars")).cast("long").alias("wide"),
+    )
+    symbols, upper, digits = F.col("n_special") - F.col("a"), F.col("a") - F.col("b"), F.col("b") - F.col("c")
+    rest = F.greatest(F.lit(0).cast("long"), F.col("chars") - F.col("n_special") - F.col("wide") - F.col("white"))
+    return counted.select("id", "key", "text", "carried", "words", F.size("words").cast("long").alias("n_words"), (F.col("chars") - F.col("white")).alias("word_chars"), symbols.alias("n_symbols"), F.array(symbols, upper, digits, F.col("c"), F.col("wide"), F.col("white"), rest).alias("classes"))
 
 
 def references(features: DataFrame) -> DataFrame:
@@ -110,17 +131,21 @@ def references(features: DataFrame) -> DataFrame:
 
     All documents count. Common words are the most frequent, of equally frequent ones the first.
     """
-    classes = features.groupBy("key").agg(F.sum("n_words").alias("reference_words"), *(F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(7)))
+    classes = features.groupBy("key").agg(*(F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(7)))
     counts = features.select("key", F.explode("words").alias("word")).groupBy("key", "word").agg(F.count("*").alias("n"))
-    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), "word"))).where(F.col("rank") <= COMMON_WORDS)
+    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("n"), F.replace("word", F.lit("\x0b"), F.lit(","))))).where(F.col("rank") <= COMMON_WORDS)
     common = ranked.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))  # 16 rows a language
-    found = classes.join(common, "key")
+    totals = counts.groupBy("key").agg(F.sum("n").alias("reference_words"))
+    found = classes.join(common, "key").join(totals, "key")
     words = F.transform("top", lambda x: x["n"])
     other = F.col("reference_words") - F.aggregate(words, F.lit(0).cast("long"), lambda x, y: x + y)
+    common = F.transform("top", lambda x: x["word"])
     return found.select(
         "key",
         "reference_words",
-        F.transform("top", lambda x: x["word"]).alias("common"),
+        common.alias("common"),
+        F.array_join(common, ",").alias("common_list"),
+        F.array_max(F.transform(common, lambda x: F.octet_length(x))).alias("longest"),
         _shares(F.array_append(words, other)).alias("word_shares"),
         _shares(F.array(*(F.col(f"c{i}") for i in range(7)))).alias("class_shares"),
     )
@@ -129,8 +154,8 @@ def references(features: DataFrame) -> DataFrame:
 def _word_shares(words: Column, reference: Column) -> Column:
     """Shares in ``words`` of a reference's common words and of all others."""
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda x, y: x + y)
-    hits = F.filter(words, lambda w: F.array_contains(reference["common"], w))
-    counts = let(hits, lambda h: F.transform(reference["common"], lambda c: F.size(F.filter(h, lambda w: w == c)).cast("long")))
+    hits = F.filter(words, lambda w: (F.octet_length(w) <= reference["longest"]) & (F.find_in_set(w, reference["common_list"]) > 0))
+    counts = let(hits, lambda h: F.transform(reference["common"], lambda c: (F.size(h) - F.size(F.array_remove(h, c))).cast("long")))
     return let(counts, lambda c: _shares(F.array_append(c, F.size(words) - total(c))))
 
 
@@ -141,8 +166,8 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     ASCII, white space, the rest) and of its language's common words are compared with those of
     all documents of the language by Jensen-Shannon distance. It is rejected by the base rules
     (under 20 words, or over 30 % of the words in repeated windows of 8), or if a distance is too
-    large for its length, both sides have enough words to tell, and no other language's reference
-    is near, as a wrong language label is no lack of quality.
+    large for its length, both sides have enough words to tell, and no reference of the
+    OTHER_REFERENCES largest languages is near, as a wrong language label is no lack of quality.
 
     Returns one row per input row: the id column, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, class_distance and word_distance (null where not judged), base_failed and
@@ -152,28 +177,27 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     """
     carried = F.struct(*(F.col(c) for c in keep)) if keep else F.lit(None)
     known = materialise(references(_features(docs, id_col, text_col, lang_col)).where(F.col("reference_words") >= MIN_REFERENCE_WORDS), "quality-references")
-    if known.count() > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages: {lang_col} does not hold languages")
-    every = F.broadcast(known.agg(F.collect_list(F.struct("key", "common", "word_shares", "class_shares")).alias("references")))
-    features = _features(docs.withColumn("_carried", carried), id_col, text_col, lang_col, "_carried").crossJoin(every)  # one row
-    with_line = lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0
+    reference = F.struct("common", "common_list", "longest", "word_shares", "class_shares")
+    most = known.orderBy(F.desc("reference_words"), "key").limit(OTHER_REFERENCES)
+    others = most.agg(F.collect_list(reference).alias("others")).scalar()
+    features = _features(docs.withColumn("_carried", carried), id_col, text_col, lang_col, "_carried").join(known.select("key", reference.alias("own")), "key", "left")
+    with_line = lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0
     dup_lines = let(F.filter(F.split("text", "\n", -1), with_line), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
     measured = features.select(
         "id",
         "carried",
         "words",
-        "references",
         "n_words",
         "word_chars",
         "n_symbols",
         dup_lines.alias("n_dup_lines"),
-        repeated_window_words(F.col("words")).alias("n_repeat_words"),
+        windows_of(F.col("words")).alias("windows"),
         _shares(F.col("classes")).alias("class_shares"),
-        F.when(F.col("n_words") >= MIN_DOC_WORDS, F.get(F.filter("references", lambda r: r["key"] == F.col("key")), 0)).alias("own"),
+        F.when(F.col("n_words") >= MIN_DOC_WORDS, F.col("own")).alias("own"),
     )
     class_distance = lambda r: jensen_shannon_distance(F.col("class_shares"), r["class_shares"])
     word_distance = lambda r: jensen_shannon_distance(_word_shares(F.col("words"), r), r["word_shares"])
-    placed = measured.select(
+    placed = measured.withColumn("n_repeat_words", repeated_window_words(F.col("windows"))).drop("windows").select(
         "*",
         F.when(F.col("own").isNotNull(), class_distance(F.col("own"))).alias("class_distance"),
         F.when(F.col("own").isNotNull(), word_distance(F.col("own"))).alias("word_distance"),
@@ -181,12 +205,11 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
         (LENGTH_ALLOWANCE / F.sqrt(F.greatest("n_words", F.lit(1)))).alias("more"),
     )
     near = lambda c, w: (c <= MAX_CLASS_DISTANCE + F.col("more")) & (w <= MAX_WORD_DISTANCE + F.col("more"))
-    kept = (
-        F.when(F.col("base_failed"), False)
-        .when(F.col("own").isNull() | near(F.col("class_distance"), F.col("word_distance")), True)
-        .otherwise(F.exists("references", lambda r: near(class_distance(r), word_distance(r))))
-    )
-    out = placed.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", kept.alias("kept"), "carried")
+    far = ~F.col("base_failed") & F.col("own").isNotNull() & ~near(F.col("class_distance"), F.col("word_distance"))
+    met = placed.select("*", F.when(far, others).alias("others"))
+    like_another = F.exists("others", lambda r: near(class_distance(r), word_distance(r)))
+    kept = ~F.col("base_failed") & (F.col("others").isNull() | like_another)
+    out = met.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", kept.alias("kept"), "carried")
     return out.select(*out.columns[:-1], *(F.col("carried")[c].alias(c) for c in keep or []))
 
 
@@ -227,7 +250,7 @@ class_doc AS (SELECT doc_id, i, n / greatest(1, sum(n) OVER (PARTITION BY doc_id
 class_ref AS (SELECT key, i, n / greatest(1, sum(n) OVER (PARTITION BY key)) AS q FROM (SELECT key, i, sum(n) AS n FROM classes GROUP BY ALL)),
 tokens AS (SELECT doc_id, key, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM base),
 frequent AS (SELECT key, word, n, row_number() OVER (PARTITION BY key ORDER BY n DESC, word) AS rank FROM (SELECT key, word, count(*) AS n FROM tokens GROUP BY ALL) QUALIFY rank <= 16),
-totals AS (SELECT key, sum(n_words) AS total FROM base GROUP BY key HAVING total >= 2000),
+totals AS (SELECT key, sum(n_words) AS total, row_number() OVER (ORDER BY sum(n_words) DESC, key) AS place FROM base GROUP BY key HAVING sum(n_words) >= 2000),
 word_ref AS (
   SELECT key, rank, word, n / total AS q FROM frequent JOIN totals USING (key)
   UNION ALL SELECT key, 0, NULL, (total - sum(n)) / total FROM frequent JOIN totals USING (key) GROUP BY key, total),
@@ -239,7 +262,7 @@ word_doc AS (
 word_far AS (SELECT doc_id, key, {_sql_distance("p", "q")} AS w FROM word_doc GROUP BY ALL),
 class_far AS (SELECT d.doc_id, r.key, {_sql_distance("d.p", "r.q")} AS c FROM class_doc d JOIN class_ref r USING (i) GROUP BY ALL),
 verdicts AS (
-  SELECT d.doc_id, count(*) FILTER (t.key = d.own) = 0 OR bool_or(w <= 0.26 + more AND c <= 0.22 + more) AS near
+  SELECT d.doc_id, count(*) FILTER (t.key = d.own) = 0 OR bool_or((t.key = d.own OR t.place <= 256) AND w <= 0.26 + more AND c <= 0.22 + more) AS near
   FROM docs d LEFT JOIN totals t ON true LEFT JOIN word_far w ON w.doc_id = d.doc_id AND w.key = t.key LEFT JOIN class_far c ON c.doc_id = d.doc_id AND c.key = t.key GROUP BY d.doc_id),
 windows AS (SELECT doc_id, i, array_to_string(list(word) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING), ' ') AS w, count(*) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS n FROM tokens),
 twice AS (SELECT doc_id, i FROM windows WHERE n = 8 QUALIFY count(*) OVER (PARTITION BY doc_id, w) > 1),
