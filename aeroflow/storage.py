@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +49,7 @@ def _drop_all(spark: SparkSession, root: str) -> None:
 
 
 _SEEN: set[str] = set()
+_WRITTEN: list[str] = []
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -63,4 +65,21 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
         atexit.register(_drop_all, spark, root)
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _WRITTEN.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`materialise` that nothing will read any more."""
+    for table in tables:
+        path = getattr(table, "_written_path", None)
+        if path:
+            drop_path(table.sparkSession, path)
+
+
+def written_by(build: Callable[[], DataFrame]) -> tuple[DataFrame, list[str]]:
+    """What ``build`` returns, and the paths of the tables that were materialised for it."""
+    before = len(_WRITTEN)
+    return build(), _WRITTEN[before:]
