@@ -36,15 +36,16 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long) of every whole text; the fingerprint's bits are those of the long."""
-    kept = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    """(id, h, fp long) of every whole text: its hash and its fingerprint, whose bits are the long's."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    kept = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(x.as_py()) for x in b.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            fps = np.array([fingerprint(x.as_py()) for x in b.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], names=["id", "h", "fp"])
 
-    return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, fp long")
+    return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, h long, fp long")
 
 
 def signature_masks() -> list[int]:
@@ -165,6 +166,14 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["src", "dst"])
 
 
+def _groups(docs: DataFrame, max_bits: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, h, fp) of every row, and (fp, root) of every distinct fingerprint."""
+    marked = materialise(fingerprints(docs, id_col, text_col), "simhash")
+    distinct = materialise(marked.select("fp").distinct(), "simhash-distinct")
+    labels = connected_components(links(distinct, max_bits)).withColumnRenamed("node", "fp")
+    return marked, distinct.join(labels, "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Group documents whose fingerprints are linked, directly or through others.
 
@@ -175,28 +184,39 @@ def near_duplicates(docs: DataFrame, max_bits: int = 2, id_col: str = "doc_id",
     gets null. Repeated ids and rows pass through; an empty table gives no rows; further columns
     are left out.
     """
-    marked = materialise(fingerprints(docs, id_col, text_col), "simhash")
-    distinct = materialise(marked.groupBy("fp").agg(F.min("id").alias("first")), "simhash-distinct")
-    labels = connected_components(links(distinct, max_bits)).withColumnRenamed("node", "fp")
-    joined = distinct.join(labels, "fp", "left").withColumn("root", F.coalesce("component", "fp"))
-    smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = joined.join(smallest, "root").select("fp", "component_id")
-    return marked.join(by_print, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+    marked, roots = _groups(docs, max_bits, id_col, text_col)
+    first = marked.groupBy("fp").agg(F.min("id").alias("first"))
+    smallest = materialise(first.join(roots, "fp").groupBy("root").agg(F.min("first").alias("component_id")), "simhash-components")
+    return marked.join(roots.join(smallest, "root").select("fp", "component_id"), "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group: the one with the smallest id, with all its columns.
+    """One row of each group of near duplicates, with all its columns.
+
+    The row with the smallest id stays (null last), of rows with that id the one with the smallest
+    hash of the text. Rows are told apart by id and text, so different texts under one id or
+    without an id are judged on their own. Of rows that agree in both, one stays: the first by the
+    other columns. An empty table gives no rows.
 
-    Rows that share an id count as one document, of which the row with the smallest text (null
-    last) stays; if several are wholly equal, one of them.
+    Only keys of rows to drop are joined to the texts: broadcast while they are few, shuffled with
+    them beyond the session's broadcast size.
     """
-    found = near_duplicates(docs, max_bits, id_col, text_col)
-    kept = materialise(found.where(F.col("component_id").eqNullSafe(F.col(id_col))).groupBy(F.col(id_col).alias("_kept")).agg(F.count("*").alias("_rows")), "simhash-kept")
-    out = docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept")))
-    if docs.groupBy(id_col).count().where("count > 1").isEmpty():
-        return out.select(*(docs[c] for c in docs.columns))
-    first = Window.partitionBy("_kept").orderBy(F.col(text_col).asc_nulls_last())
-    return out.withColumn("_row", F.row_number().over(first)).where("_row = 1").select(*docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    held = docs.toDF(*names)
+    own, text = (names[docs.columns.index(x)] for x in (id_col, text_col))
+    marked, roots = _groups(held, max_bits, own, text)
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "h")
+    classes = marked.groupBy("id", "h", "fp").agg(F.count("*").alias("n")).join(roots, "fp")
+    classes = materialise(classes.select("root", "n", order.alias("doc")), "simhash-classes")
+    firsts = classes.groupBy("root").agg(F.min("doc").alias("first"))
+    judged = classes.join(firsts, "root").select(F.col("doc.id").alias("k"), F.col("doc.h").alias("kh"), "n", F.col("doc").eqNullSafe(F.col("first")).alias("stays"))
+    judged = materialise(judged.where("not stays or n > 1"), "simhash-judged")
+    here = F.col(own).eqNullSafe(F.col("k")) & (F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))) == F.col("kh"))
+    single = held.join(judged.select("k", "kh"), here, "left_anti")
+    copies = held.join(judged.where("stays").select("k", "kh"), here)
+    sortable = [F.col(c) for c, t in copies.dtypes if c in names and not any(x in t for x in ("map<", "variant", "interval"))]
+    one = copies.withColumn("n", F.row_number().over(Window.partitionBy("k", "kh").orderBy(*sortable))).where("n = 1")
+    return single.unionByName(one.select(*names)).toDF(*docs.columns)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,6 +111,17 @@ def test_groups_and_kept_documents(spark):
     assert kept.where("doc_id is null").count() == 1
 
 
+def test_rows_of_one_id_or_none_are_told_apart_by_text(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(6)]
+    rows = list(zip([None, None, None, 1, 2, 2], texts, range(6), "abcdef"))
+    schema = "doc_id long, text string, _row int, _kept string"
+    kept = S.deduplicated(spark.createDataFrame([*rows, rows[1], (2, texts[5], 9, "z"), (7, texts[0], 0, "a"), (8, texts[3], 3, "d")], schema))
+    assert kept.columns == ["doc_id", "text", "_row", "_kept"]
+    want = [(7, texts[0], 0, "a"), *rows[1:]]  # an id comes before none, and the copy under 8 goes
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert S.near_duplicates(docs).count() == 0
