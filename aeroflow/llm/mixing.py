@@ -62,53 +62,81 @@ def mix_sources(
     its target by half a document at most. The same input gives the same mix.
 
     The prefix sums run over buckets of keys, then within each bucket, so a source of any size is
-    spread over many tasks.
+    spread over many tasks. On a scale of log2 key no range of 1 / n holds more than 0.26 / n of
+    a source's documents on average, whatever their weights, as a key's logarithm has a density of
+    at most 1 / e; so buckets are even enough.
 
     Returns one row per input row: the id column, ``text_hash``, ``size`` (words; null text: 0),
     ``source_size``, ``target``, ``epochs`` int (times the document is taken) and ``taken``. A
-    null source is a source; null ids share one u and are ordered by text hash; rows that repeat
-    an id are documents of their own; an empty table gives no rows; further columns are left out.
+    null source is a source; without an id, u comes from the text's hash; rows that repeat an id
+    are documents of their own; an empty table gives no rows; further columns are left out.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 13)
-    u = (F.conv(digits, 16, 10).cast("long") + 0.5) / float(1 << 52)
-    base = materialise(
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.xxhash64(text).alias("text_hash"),
-            F.col(source_col).cast("string").alias("source"),
-            F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
-            (-F.log(u) / quality_weight(text)).alias("key"),
-        ),
-        "mix-sizes",
+    names = {id_col: "id", text_col: "text", source_col: "source"}
+    placed, _ = _placed(docs.select(*(F.col(c).alias(n) for c, n in names.items())), weights, share, max_epochs, seed)
+    return placed.select(F.col("id").alias(id_col), "text_hash", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).alias("taken"))
+
+
+def _drawn(docs: DataFrame, seed: int) -> DataFrame:
+    """All columns with text_hash, size, s (the source, never null) and the key of each row."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    named = docs.withColumn("text_hash", F.xxhash64(text))
+    own = F.coalesce(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")), F.concat(F.lit(f"{seed}:#"), F.col("text_hash").cast("string")))
+    u = (F.conv(F.substring(F.md5(own), 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
+    return named.withColumns(
+        {
+            "s": F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")),
+            "size": F.regexp_count(text, F.lit(WORD)).cast("long"),
+            "key": -F.log(u) / quality_weight(text),
+        }
     )
+
+
+def _placed(docs: DataFrame, weights: Sequence[float], share: float, max_epochs: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Every row of ``docs`` (id, text, source) with its epochs, and the targets of the sources."""
+    base = materialise(_drawn(docs, seed).select("id", "text_hash", F.col("source").cast("string").alias("source"), "s", "size", "key"), "mix-sizes")
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    wanted = materialise(targets(sizes, weights, share, max_epochs), "mix-targets")
-    same = lambda name: F.coalesce(F.concat(F.lit("s"), name), F.lit("n"))
-    keyed = base.withColumn("s", same(F.col("source"))).drop("source").join(wanted.withColumn("s", same(F.col("source"))).drop("source"), "s")
-    bucket = F.floor((1 - F.exp(-F.col("key"))) * F.ceil(F.col("n_docs") / PER_BUCKET))
-    keyed = keyed.withColumn("bucket", bucket)
+    wanted = targets(sizes, weights, share, max_epochs)
+    full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    wanted = wanted.select(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("s"), "source_size", "n_docs", "target", full.alias("full"))
+    wanted = materialise(wanted, "mix-targets")
+    scale = F.log2(F.greatest(F.col("key"), F.lit(1e-300)))
+    keyed = base.drop("source").join(wanted, "s").withColumn("bucket", F.floor(scale * F.ceil(F.col("n_docs") / PER_BUCKET)))
     before = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     steps = keyed.groupBy("s", "bucket").agg(F.sum("size").alias("words")).select("s", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("s", "bucket").orderBy("key", "id", "text_hash", "size").rowsBetween(Window.unboundedPreceding, -1)
-    full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     out = keyed.join(steps, ["s", "bucket"]).withColumn("before", F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    rest = F.col("target") - full * F.col("source_size")
-    out = out.withColumn("epochs", (full + F.when(2 * F.col("before") + F.col("size") <= 2 * rest, 1).otherwise(0)).cast("int"))
-    out = out.withColumn("epochs", F.least(F.col("epochs"), F.lit(max_epochs)))
-    return out.select(F.col("id").alias(id_col), "text_hash", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).alias("taken"))
+    rest = F.col("target") - F.col("full") * F.col("source_size")
+    out = out.withColumn("epochs", (F.col("full") + F.when(2 * F.col("before") + F.col("size") <= 2 * rest, 1).otherwise(0)).cast("int"))
+    return out.withColumn("epochs", F.least(F.col("epochs"), F.lit(max_epochs))), wanted
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame,
+    weights: Sequence[float] = (3, 1, 2),
+    share: float = 1.5,
+    max_epochs: int = 2,
+    seed: int = 42,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
     """The documents of the mix, each as often as the mix takes it, with all their columns.
 
-    Rows that agree in id and text are taken equally often, as often as the one taken most.
+    What a source gives beyond its complete epochs is the front of its order, up to one document;
+    so each row is held against the last document taken of its source, and no text is shuffled.
+    Rows that agree in id, text and source are taken equally often, as often as the one taken most.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    taken = mix_sources(docs, id_col=id_col, text_col=text_col, **options).groupBy(F.col(id_col).alias("_mix_id"), F.col("text_hash").alias("_mix_hash")).agg(F.max("epochs").alias("_mix_epochs"))
-    both = docs.join(taken.where("_mix_epochs > 0"), F.col(id_col).eqNullSafe(F.col("_mix_id")) & (F.xxhash64(text) == F.col("_mix_hash")))
-    copies = both.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_epochs"))))
-    return copies.select(*(docs[c] for c in docs.columns))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    held = docs.toDF(*names)
+    own = {n: names[docs.columns.index(c)] for c, n in ((id_col, "id"), (text_col, "text"), (source_col, "source"))}
+    placed, wanted = _placed(held.select(*(F.col(c).alias(n) for n, c in own.items())), weights, share, max_epochs, seed)
+    order = F.struct("key", "id", "text_hash", "size")
+    last = placed.where(F.col("epochs") > F.col("full")).groupBy("s").agg(F.max(order).alias("last"))
+    cuts = materialise(wanted.select("s", "full").join(last, "s", "left"), "mix-cuts")  # a row for each source
+    drawn = _drawn(held.select("*", *(F.col(c).alias(n) for n, c in own.items())), seed).join(cuts, "s")
+    epochs = F.col("full") + F.when(F.col("last").isNotNull() & (order <= F.col("last")), 1).otherwise(0)
+    copies = drawn.withColumn("epochs", F.least(epochs, F.lit(max_epochs)).cast("int")).where("epochs > 0")
+    return copies.select(*names, F.explode(F.sequence(F.lit(1), F.col("epochs")))).select(*names).toDF(*docs.columns)
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

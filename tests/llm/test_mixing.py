@@ -82,3 +82,36 @@ def test_empty(spark):
     assert mixed_documents(docs).count() == 0
     only_empty = spark.createDataFrame([(1, "", "a"), (2, None, "a")], "doc_id long, text string, source string")
     assert [(r.target, r.taken) for r in mix_sources(only_empty).collect()] == [(0.0, 0), (0.0, 0)]
+
+
+def test_a_source_of_symbols_fills_no_bucket(spark, monkeypatch):
+    import aeroflow.llm.mixing as M
+
+    monkeypatch.setattr(M, "PER_BUCKET", 50)
+    data = [(i, "word ** $$ ## && || <> ** ## " * 2, "only") for i in range(4000)] + [(None, f"text {i}", "only") for i in range(400)]
+    drawn = M._drawn(spark.createDataFrame(data, "id long, text string, source string"), 42).toPandas()
+    import numpy as np
+
+    bucket = np.floor(np.log2(drawn.key) * np.ceil(len(drawn) / 50))
+    assert bucket.value_counts().max() < 50
+
+
+def test_documents_with_clashing_columns(spark):
+    data = [(i, "a b c d", "x" if i % 3 else None, i, "k") for i in range(200)] + [(7, None, "x", 1, "k"), (None, "a b", "x", 2, "k")] * 2
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, _mix_id int, _mix_copy string")
+    taken = {}
+    for r in mix_sources(docs).collect():
+        taken[r.doc_id, r.text_hash] = max(r.epochs, taken.get((r.doc_id, r.text_hash), 0))
+    out = mixed_documents(docs)
+    assert out.columns == docs.columns
+    rows = {(r.doc_id, r.h): r.n for r in out.selectExpr("doc_id", "xxhash64(coalesce(text, '')) h").groupBy("doc_id", "h").agg({"*": "count"}).toDF("doc_id", "h", "n").collect()}
+    copies = {(None, h): 2 for (i, h) in taken if i is None}
+    expected = {k: n * (2 if k[0] is None or (k[0] == 7 and k != first_seven(taken)) else 1) for k, n in taken.items() if n}
+    assert rows == expected and copies
+
+
+def first_seven(taken):
+    """The key of the only row with id 7 that is not repeated: its text is not null."""
+    from collections import Counter
+
+    return max((k for k in taken if k[0] == 7), key=lambda k: Counter(x[1] for x in taken)[k[1]])
