@@ -16,6 +16,8 @@ import math
 import re
 from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from aeroflow.llm.frames import table
 from aeroflow.operators.components import connected_components
-from aeroflow.storage import materialise
+from aeroflow.storage import materialise, release
 
 SHINGLE = 5
 WINDOW = 25
@@ -36,6 +38,9 @@ SIMILARITY = 0.8
 #: probability 1 - (1 - 0.8^2)^6 = 0.998, one of 0.9 with 0.99995.
 BANDS, ROWS = 6, 2
 
+#: Members of a band's bucket that are dealt out together, about.
+BLOCK = 512
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _ODD = [np.uint64(int.from_bytes(xxhash.xxh64_digest(b"m%d" % i), "big") | 1) for i in range(BANDS * ROWS)]
@@ -47,35 +52,73 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
+class _Powers:
+    """Powers of the base and of its inverse, grown as longer texts come."""
+
+    def __init__(self):
+        self.forth = self.back = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.forth) <= n:
+            size = max(2 * n, 1 << 14)
+            with np.errstate(over="ignore"):
+                self.forth, self.back = (np.cumprod(np.r_[np.uint64(1), np.full(size, x)].astype(np.uint64)) for x in (_BASE, _INVERSE))
+        return self.forth[: n + 1], self.back[: n + 1]
+
+
+_POWERS = _Powers()
+
+
 class _Hashes:
     """Hashes of a text's words and of any run of them."""
 
     def __init__(self, words: list[bytes]):
-        self.words = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
         n = len(words)
+        self.words = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
+        forth, self.back = _POWERS.upto(n)
+        self.sums = np.zeros(n + 1, np.uint64)
         with np.errstate(over="ignore"):
-            powers = np.cumprod(np.r_[np.uint64(1), np.full(n, _BASE)].astype(np.uint64))
-            self.back = np.cumprod(np.r_[np.uint64(1), np.full(n, _INVERSE)].astype(np.uint64))
-            self.sums = np.r_[np.uint64(0), np.cumsum(self.words * powers[:-1], dtype=np.uint64)]
+            np.cumsum(self.words * forth[:-1], out=self.sums[1:])
 
     def runs(self, starts: np.ndarray, length: np.ndarray | int) -> np.ndarray:
         with np.errstate(over="ignore"):
             return _mix((self.sums[starts + length] - self.sums[starts]) * self.back[starts])
 
+    def shingles(self) -> np.ndarray:
+        """Hashes of all runs of SHINGLE words."""
+        n = max(0, len(self.words) - SHINGLE + 1)
+        with np.errstate(over="ignore"):
+            return _mix((self.sums[SHINGLE:] - self.sums[:n]) * self.back[:n]) if n else np.zeros(0, np.uint64)
+
+
+def _over_windows(x: np.ndarray, size: int, pick: np.ufunc) -> np.ndarray:
+    """``pick`` (minimum or maximum) of each ``size`` neighbours, by doubling."""
+    width = 1
+    while 2 * width <= size:
+        x = pick(x[:-width], x[width:])
+        width *= 2
+    return pick(x[: len(x) - (size - width)], x[size - width :]) if size > width else x
+
 
 def anchors(shingles: np.ndarray) -> np.ndarray:
     """Places that hold the least hash of some ANCHOR neighbouring places."""
     if len(shingles) <= ANCHOR:
         return np.array([shingles.argmin()]) if len(shingles) else np.zeros(0, np.int64)
-    least = np.lib.stride_tricks.sliding_window_view(shingles, ANCHOR).argmin(axis=1)
-    return np.unique(least + np.arange(len(least)))
+    least = _over_windows(shingles, ANCHOR, np.minimum)
+    none = np.zeros(ANCHOR - 1, np.uint64)  # a place is such if the largest of its windows' minima is its own hash
+    return np.flatnonzero(_over_windows(np.r_[none, least, none], ANCHOR, np.maximum) == shingles)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """BANDS keys of a paragraph's shingle hashes."""
+def signatures(shingles: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """BANDS keys, a row for each paragraph with the shingles from a start up to an end."""
+    bounds = np.c_[starts, ends].ravel()
+    padded = np.r_[shingles, np.uint64(0)]  # so that an end may be that of the text
+    least = np.empty((BANDS * ROWS, len(starts)), np.uint64)
     with np.errstate(over="ignore"):
-        least = np.array([_mix(shingles * odd).min() for odd in _ODD], np.uint64).reshape(BANDS, ROWS)
-        return _mix(least[:, 0] * _BASE + _mix(least[:, 1]) + np.arange(BANDS, dtype=np.uint64))
+        for i, odd in enumerate(_ODD):
+            least[i] = np.minimum.reduceat(padded * odd, bounds)[::2]
+        least = least.reshape(BANDS, ROWS, -1)
+        return _mix(_mix(least[:, 0]) * _BASE + _mix(least[:, 1] + _BASE) + np.arange(BANDS, dtype=np.uint64)[:, None]).T
 
 
 def _paragraphs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,52 +131,92 @@ def _paragraphs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.n
     return np.r_[starts[long], starts[first[wrapped]]], np.r_[sizes[long], together[wrapped]]
 
 
-def units(text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray, list[bytes] | None, list[bytes] | None]]:
-    """Windows, then paragraphs, of a text: (kind, keys, starts, lengths, bands, shingle sets)."""
+@dataclass
+class Units:
+    """What a text is looked up by: windows, and paragraphs with their band keys."""
+
+    window_keys: np.ndarray
+    window_starts: np.ndarray
+    keys: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+    bands: np.ndarray
+
+
+def units(text: str) -> Units | None:
+    """The windows and paragraphs of a text; None if it has fewer than WINDOW words."""
     lines = [line.split() for line in text.encode().lower().split(b"\n")]
-    words = [w for line in lines for w in line]
-    hashes = _Hashes(words)
+    words = list(chain.from_iterable(lines))
     n = len(words)
     if n < WINDOW:
-        return
-    shingles = hashes.runs(np.arange(n - SHINGLE + 1), SHINGLE)
+        return None
+    hashes = _Hashes(words)
+    shingles = hashes.shingles()
     at = anchors(shingles)
     at = at[at + WINDOW <= n]
-    yield "w", hashes.runs(at, WINDOW), at, np.full(len(at), WINDOW), None, None
-    sizes = np.array([len(line) for line in lines])
-    starts = np.cumsum(sizes) - sizes
-    starts, sizes = _paragraphs(starts, sizes)
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    starts, sizes = _paragraphs(np.cumsum(sizes) - sizes, sizes)
+    keys, bands = np.zeros(0, np.uint64), np.zeros((0, BANDS), np.uint64)
     if len(starts):
-        sets = [np.unique(shingles[s : s + k - SHINGLE + 1]) for s, k in zip(starts, sizes)]
+        order = np.argsort(starts)
+        starts, sizes = starts[order], sizes[order]
         keys = _mix(hashes.runs(starts, sizes) + np.uint64(1))
-        yield "p", keys, starts, sizes, [signature(x).tobytes() for x in sets], [np.unique(x.astype("<u4")).tobytes() for x in sets]
+        bands = signatures(shingles, starts, starts + sizes - SHINGLE + 1)
+    return Units(hashes.runs(at, WINDOW), at, keys, starts, sizes, bands)
+
+
+_UNITS = "id {id}, h long, w_keys array<long>, w_starts array<int>, p_keys array<long>, p_starts array<int>, p_sizes array<int>, bands array<long>"
+
+
+def _kind(docs: DataFrame) -> str:
+    return docs.schema["id"].dataType.simpleString()
 
 
-_UNITS = "id long, h long, kind string, key long, start int, n int, bands binary, shingles binary"
+def _lists(parts: list[np.ndarray], dtype: type) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype), *(x.astype(dtype, copy=False) if dtype is np.int32 else x.view(dtype) for x in parts)])))
 
 
 def _all_units(docs: DataFrame) -> DataFrame:
+    """A row of arrays for each text that has a window."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts: list[list] = [[] for _ in range(8)]
-
-            def flush() -> pa.RecordBatch:
-                types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-                out = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(parts, types)], names=["id", "h", "kind", "key", "start", "n", "bands", "shingles"])  # noqa: B023
-                for x in parts:  # noqa: B023
-                    x.clear()
-                return out
+            texts = b.column(2)
+            found = [units(texts[i].as_py()) for i in range(b.num_rows)]
+            kept = pa.array([i for i, x in enumerate(found) if x is not None], pa.int64())
+            found = [x for x in found if x is not None]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0).take(kept),
+                    b.column(1).take(kept),
+                    _lists([x.window_keys for x in found], np.int64),
+                    _lists([x.window_starts for x in found], np.int32),
+                    _lists([x.keys for x in found], np.int64),
+                    _lists([x.starts for x in found], np.int32),
+                    _lists([x.sizes for x in found], np.int32),
+                    _lists([np.ascontiguousarray(x.bands).ravel() for x in found], np.int64),
+                ],
+                names=["id", "h", "w_keys", "w_starts", "p_keys", "p_starts", "p_sizes", "bands"],
+            )
+
+    return docs.mapInArrow(run, _UNITS.format(id=_kind(docs)))
+
+
+def _shingle_sets(docs: DataFrame) -> DataFrame:
+    """(key, shingles): the distinct 64-bit shingle hashes, sorted, of the paragraphs at ``places``."""
 
-            for doc_id, h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                for kind, keys, starts, sizes, bands, sets in units(text.as_py()):
-                    k = len(keys)
-                    for column, more in zip(parts, ([doc_id] * k, [h] * k, [kind] * k, keys.view(np.int64).tolist(), starts.tolist(), sizes.tolist(), bands or [None] * k, sets or [None] * k)):
-                        column += more
-                if len(parts[0]) > 50_000:
-                    yield flush()
-            yield flush()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, sets = [], []
+            for text, places in zip(b.column(0), b.column(1).to_pylist()):
+                shingles = _Hashes(text.as_py().encode().lower().split()).shingles()
+                for p in places:
+                    keys.append(p["key"])
+                    sets.append(np.unique(shingles[p["start"] : p["start"] + p["n"] - SHINGLE + 1]).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["key", "shingles"])
 
-    return docs.mapInArrow(run, _UNITS)
+    return docs.select("text", "places").mapInArrow(run, "key long, shingles binary")
 
 
 def _alike(postings: list[array], size: int, sizes: array) -> list[int]:
@@ -162,7 +245,7 @@ class _Bucket:
 
     def add(self, key: int, raw: bytes) -> list[int]:
         """Earlier keys that link a paragraph to all groups with a member similar to it."""
-        members = np.frombuffer(raw, "<u4").tolist()
+        members = np.frombuffer(raw, "<u8").tolist()
         alike = _alike([self.index[s] for s in members if s in self.index], len(members), self.sizes)
         out = [self.leaders[i] for i in alike]
         leader = alike[0] if alike else len(self.leaders)
@@ -184,7 +267,7 @@ class _Bucket:
                 whole = whole or set(members)
                 for place in places:
                     earlier, theirs = self.others[place]
-                    theirs = np.frombuffer(theirs, "<u4").tolist()
+                    theirs = np.frombuffer(theirs, "<u8").tolist()
                     common = len(whole.intersection(theirs))
                     if common >= SIMILARITY * (len(whole) + len(theirs) - common):
                         out.append(earlier)
@@ -197,39 +280,54 @@ class _Bucket:
         return out
 
 
-def similar_paragraphs(paragraphs: DataFrame) -> DataFrame:
+def similar_paragraphs(kept: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """Links (src, dst) between paragraph keys whose shingle sets have Jaccard similarity >= 0.8.
 
-    ``paragraphs``: key, bands, shingles. In each bucket of equal band keys the paragraphs come by
-    number of copies and are compared with the bucket's leaders so far; one that is similar to
-    none becomes a leader. A paragraph is also compared with the other members, except those that
-    it is already linked to through leaders. So the links of a bucket join all of its similar
-    pairs, directly or through others, though a bucket of many near copies takes one pass.
+    ``kept``: id, h, text. ``paragraphs``: id, h, key, start, n, bands. Equal paragraphs meet in one
+    row before anything is compared, and one text gives the shingles of each. A bucket of equal
+    band keys is dealt in blocks of about BLOCK members; each pair of blocks of a bucket is a task's
+    group, so no group is larger than two blocks and no pair of members is left out. In a group
+    the paragraphs come by number of copies and are compared with the leaders so far; one that is
+    similar to none becomes a leader. A paragraph is also compared with the other members, except
+    those that it is already linked to through leaders. So the links of a group join all of its
+    similar pairs, directly or through others, though many near copies take one pass.
     """
-    slim = paragraphs.select("key", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring(F.hex("bands"), i * 16 + 1, F.lit(16)))).alias("band"))
-    slim = slim.select("key", F.conv("band", 16, -10).cast("long").alias("band")).groupBy("key", "band").agg(F.count("*").alias("copies"))
-    slim = materialise(slim, "dedup-bands")
-    shared = slim.groupBy("band").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("band")
-    members = materialise(slim.join(shared, "band", "left_semi"), "dedup-members")
-    sets = paragraphs.join(members.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("shingles").alias("shingles"))
-    dealt = members.join(sets, "key").repartition("band").sortWithinPartitions("band", F.desc("copies"), "key").select("band", "key", "shingles")
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "h", "start", "n")
+    distinct = materialise(paragraphs.groupBy("key").agg(F.count("*").alias("copies"), F.min(place).alias("place"), F.min("bands").alias("bands")), "dedup-paragraphs")
+    banded = distinct.select("key", "copies", F.explode("bands").alias("band"))
+    buckets = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+    members = materialise(banded.join(buckets, "band"), "dedup-members")
+    wanted = distinct.join(members.select("key").distinct(), "key", "left_semi").select("place.id", "place.h", F.struct("key", "place.start", "place.n").alias("p"))
+    wanted = wanted.groupBy("id", "h").agg(F.collect_list("p").alias("places")).select(F.col("id").alias("_id"), F.col("h").alias("_h"), "places")
+    asked = materialise(wanted, "dedup-asked")
+    texts = kept.join(asked, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
+    sets = _shingle_sets(texts).groupBy("key").agg(F.first("shingles").alias("shingles"))  # rows may repeat an id and a text
+    sets = materialise(sets, "dedup-sets")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("key"), blocks).cast("int")
+    met = members.select("key", "copies", "band", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    met = met.select("key", "copies", "band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    group = ["band", "low", "high"]
+    dealt = met.join(sets, "key").repartition(*group).sortWithinPartitions(*group, F.desc("copies"), "key").select(*group, "key", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band, bucket = None, _Bucket()
+        last, bucket = None, _Bucket()
         for b in batches:
             left, right = [], []
-            for own, key, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if own != band:
-                    band, bucket = own, _Bucket()
+            for *own, key, raw in zip(*(c.to_pylist() for c in b.columns)):
+                if own != last:
+                    last, bucket = own, _Bucket()
                 found = bucket.add(key, raw)
                 left += found
                 right += [key] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["src", "dst"])
 
-    return dealt.mapInArrow(run, "src long, dst long").distinct()
+    links = materialise(dealt.mapInArrow(run, "src long, dst long").distinct(), "dedup-links")
+    release(distinct, members, asked, sets)
+    return links
 
 
-_CONTEXTS = "id long, h long, start int, left boolean, first_id long, keys array<long>"
+_CONTEXTS = "id {id}, h long, start int, left boolean, first_id {id}, keys array<long>"
 
 
 def _contexts(docs: DataFrame) -> DataFrame:
@@ -257,9 +355,9 @@ def _contexts(docs: DataFrame) -> DataFrame:
                     keys.append(_mix(found ^ salts).view(np.int64))
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), pa.array(starts, pa.int32()), pa.array(lefts, pa.bool_()), pa.array(firsts, pa.int64()), lists], names=["id", "h", "start", "left", "first_id", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), pa.array(hs, pa.int64()), pa.array(starts, pa.int32()), pa.array(lefts, pa.bool_()), pa.array(firsts, b.column(0).type), lists], names=["id", "h", "start", "left", "first_id", "keys"])
 
-    return docs.mapInArrow(run, _CONTEXTS)
+    return docs.mapInArrow(run, _CONTEXTS.format(id=_kind(docs)))
 
 
 def _sides(windows: Column) -> Column:
@@ -295,9 +393,9 @@ def _extensions(kept: DataFrame, by_doc: DataFrame) -> DataFrame:
     ends = F.filter(F.array_union(_sides(F.col("w")), _sides(F.col("r"))), lambda s: s["other"].isNull())
     ends = materialise(split.select("id", "h", F.explode(ends).alias("s")).select("id", "h", "s.*").drop("other", "gap"), "dedup-ends")
     inner = split.select("id", "h", F.explode(F.filter(_sides(F.col("w")), lambda s: s["other"].isNotNull())).alias("s")).select("id", "h", "s.*")
-    inner = inner.join(ends.select("cluster", "left").distinct(), ["cluster", "left"], "left_semi")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "h")
-    first = inner.groupBy("cluster", "left", "other", "gap").agg(F.min(F.struct(order.alias("doc"), "start", "first_id")).alias("m"))
+    first = materialise(inner.groupBy("cluster", "left", "other", "gap").agg(F.min(F.struct(order.alias("doc"), "start", "first_id")).alias("m")), "dedup-inner")
+    first = first.join(ends.select("cluster", "left").distinct(), ["cluster", "left"], "left_semi")
     first = first.select("m.doc.id", "m.doc.h", "cluster", "left", "m.start", "m.first_id")
     places = ends.unionByName(first).groupBy("id", "h").agg(F.collect_set(F.struct("start", "left", "cluster", "first_id")).alias("places"))
     places = materialise(places.select(F.col("id").alias("_id"), F.col("h").alias("_h"), "places"), "dedup-beside")
@@ -332,14 +430,17 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     repeat nothing; an empty table gives no rows; further columns are left out.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    kept = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    kept = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
     found = materialise(_all_units(kept), "dedup-units")
-    doc = F.xxhash64("id", "h")
-    twice = found.groupBy("key").agg(F.min(doc).alias("a"), F.max(doc).alias("b")).where("a <> b").select("key")
-    paragraphs = found.where("kind = 'p'").select("key", "bands", "shingles")
-    labels = connected_components(similar_paragraphs(paragraphs))
+    doc = F.xxhash64("id", "h").alias("doc")
+    paragraphs = found.select("id", "h", doc, F.posexplode("p_keys").alias("i", "key"), "p_starts", "p_sizes", "bands").select("id", "h", "doc", "key", F.get("p_starts", F.col("i")).alias("start"), F.get("p_sizes", F.col("i")).alias("n"), F.slice("bands", F.col("i") * BANDS + 1, F.lit(BANDS)).alias("bands"))
+    windows = found.select("id", "h", doc, F.posexplode("w_keys").alias("i", "key"), "w_starts").select("id", "h", "doc", "key", F.get("w_starts", F.col("i")).alias("start"), F.lit(WINDOW).alias("n"))
+    both = windows.unionByName(paragraphs.drop("bands"))
+    twice = both.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("key")
+    labels = connected_components(similar_paragraphs(kept, paragraphs.drop("doc")))
     cluster = materialise(twice.join(labels.withColumnRenamed("node", "key"), "key", "full").select("key", F.coalesce("component", "key").alias("cluster")), "dedup-clusters")
-    places = materialise(found.select("id", "h", "key", "start", "n").join(cluster, "key").select("cluster", "id", "h", "start", "n"), "dedup-places")
+    places = materialise(both.join(cluster, "key").select("cluster", "id", "h", "start", "n"), "dedup-places")
+    release(found)
     order = F.struct(F.col("id").isNull().alias("none"), "id", "h")
     firsts = places.groupBy("cluster").agg(F.min(order).alias("first"), F.max(order).alias("last")).where("first <> last").select("cluster", "first")
     firsts = materialise(firsts, "dedup-firsts")  # so the join below only shuffles, and a frequent passage's places can be split
@@ -347,12 +448,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         "id", "h", F.struct("start", (F.col("start") + F.col("n")).alias("end"), F.col("first.id").alias("first_id"), (~(F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.h") == F.col("h")))).alias("removed"), "cluster").alias("span")
     )
     by_doc = materialise(spans.groupBy("id", "h").agg(F.array_sort(F.collect_set("span")).alias("spans")), "dedup-spans")
+    release(cluster, places, firsts)
     links = by_doc.select("id", F.explode("spans").alias("s")).select(F.col("id").alias("src"), F.col("s.first_id").alias("dst")).distinct()
     classes = connected_components(links)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("first_id", pa.int64()), ("removed", pa.bool_())]))
         for b in batches:
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("first_id", b.column(0).type), ("removed", pa.bool_())]))
             out, words, removed = [], [], []
             for spans in b.column(2).to_pylist():
                 gone = _merged([s for s in spans if s["removed"]])
@@ -366,7 +468,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     plain = F.transform("spans", lambda s: s.dropFields("cluster"))
     by_doc = by_doc.join(more, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
     by_doc = by_doc.select("id", "h", F.when(F.col("more").isNull(), plain).otherwise(F.concat(plain, "more")).alias("spans"))
-    merged = by_doc.mapInArrow(merge, "id long, h long, n_words long, n_removed long, spans array<struct<start int, end int, first_id long, removed boolean>>")
+    merged = by_doc.mapInArrow(merge, "id {id}, h long, n_words long, n_removed long, spans array<struct<start int, end int, first_id {id}, removed boolean>>".format(id=_kind(kept)))
     joined = merged.join(classes.withColumnRenamed("node", "id"), "id", "left")
     return joined.select("id", "h", F.coalesce("component", "id").alias("class_id"), "n_words", "n_removed", "spans")
 
@@ -417,31 +519,30 @@ def cut(text: str, spans: list[dict]) -> str:
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """The documents with repeated passages removed from all but their first document.
 
-    All columns stay; ``length_col``, if there, is set for changed texts. A document of which
-    nothing is left is dropped; others stay, changed or not.
+    All columns stay, whatever their names; ``length_col``, if there, is set for changed texts. A
+    document of which nothing is left is dropped; others stay, changed or not.
     """
-    found = repeated_passages(docs, id_col, text_col).where("n_removed > 0")
-    found = materialise(found.select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.filter("spans", lambda s: s["removed"]).alias("_spans")), "dedup-removed")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    joined = docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_h")), "left")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    held = docs.toDF(*names)
+    own, body = (names[docs.columns.index(x)] for x in (id_col, text_col))
+    found = repeated_passages(held, own, body).where("n_removed > 0")
+    found = materialise(found.select("id", "h", F.filter("spans", lambda s: s["removed"]).alias("spans")), "dedup-removed")
+    text = F.coalesce(F.col(body).cast("string"), F.lit(""))
+    joined = held.join(found, F.col(own).eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("h")), "left")
 
     @F.pandas_udf("string")
     def cut_all(texts, spans):
         import pandas as pd
 
-        return pd.Series([t if s is None else cut(t, list(s)) for t, s in zip(texts, spans)], dtype=object)
+        return pd.Series([None if s is None else cut(t, list(s)) for t, s in zip(texts, spans)], dtype=object)
 
-    changed = joined.withColumn("_new", F.when(F.col("_spans").isNotNull(), cut_all(F.col(text_col), F.col("_spans"))))
-    changed = changed.where("_spans is null or _new <> ''")
-    columns = []
-    for c in docs.columns:
-        if c == text_col:
-            columns.append(F.coalesce("_new", docs[c]).alias(c))
-        elif c == length_col:
-            columns.append(F.when(F.col("_spans").isNotNull(), F.length("_new").cast(docs.schema[c].dataType)).otherwise(docs[c]).alias(c))
-        else:
-            columns.append(docs[c])
-    return changed.select(*columns)
+    gone = F.col("spans").isNotNull()  # only texts that change go to Python
+    changed = joined.withColumn("new", cut_all(F.when(gone, F.col(body)), F.col("spans"))).where("spans is null or new <> ''")
+    changes = {body: F.coalesce(F.col("new").cast(held.schema[body].dataType), F.col(body))}
+    if length_col in docs.columns:
+        length = names[docs.columns.index(length_col)]
+        changes[length] = F.when(gone, F.length("new").cast(held.schema[length].dataType)).otherwise(F.col(length))
+    return changed.select(*(changes.get(c, F.col(c)).alias(c) for c in names)).toDF(*docs.columns)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
