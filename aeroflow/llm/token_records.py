@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,22 +73,33 @@ def unframe(data: bytes, at: int) -> tuple[bytes, int]:
     return payload, start + length + 4
 
 
-_LOADED: dict[tuple[str, str], tuple[ChunkCache, bool]] = {}
+_LOADED: dict[tuple[str, str], tuple[Callable[[list[str]], list[bytes]], bool]] = {}
 
 
-def _loaded(path: str, pattern: str) -> tuple[ChunkCache, bool]:
-    """One tokenizer for each Python worker, and whether its ids need 4 bytes.
+def _loaded(path: str, pattern: str) -> tuple[Callable[[list[str]], list[bytes]], bool]:
+    """One encoder of texts for each Python worker, and whether its ids need 4 bytes.
 
     Pre-tokens go to the library's BPE model one by one, so a pre-token that came before costs no
     call and the library builds no offsets; ids are those of the library's encoding of the text.
+    The library cuts texts at the tokens added to the model before anything else; texts that hold
+    such a token's string are encoded by it as a whole.
     """
     if (path, pattern) not in _LOADED:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         cut = tokenizer.model.tokenize
-        encode = lambda token: [x.id for x in cut(mapped(token))]
-        _LOADED[path, pattern] = ChunkCache(pattern, encode), tokenizer.get_vocab_size() > 65536
+        cache = ChunkCache(pattern, lambda token: [x.id for x in cut(mapped(token))])
+        added = [x.content for x in tokenizer.get_added_tokens_decoder().values() if x.content]
+
+        def encode(texts: list[str]) -> list[bytes]:
+            out = cache.encode([None if any(x in text for x in added) else text for text in texts])
+            for i, text in enumerate(texts):
+                if any(x in text for x in added):
+                    out[i] = np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return out
+
+        _LOADED[path, pattern] = encode, tokenizer.get_vocab_size() > 65536
     return _LOADED[path, pattern]
 
 
@@ -96,8 +107,8 @@ def write_token_records(docs: DataFrame, tokenizer_path: str, pattern: str, out:
     """Encode every whole text and write the ids in ascending order of the id column.
 
     ``tokenizer_path`` is a file of a byte-level BPE tokenizer without a normaliser and ``pattern``
-    its pre-tokenisation; the strings of its special tokens are ordinary text. Each
-    document's ids end with ``end_id``. Rows are dealt out by ranges of (id, hash of the text),
+    its pre-tokenisation; the strings of its added tokens become those tokens, as in the library.
+    Each document's ids end with ``end_id``. Rows are dealt out by ranges of (id, hash of the text),
     and each range becomes one shard ``shard-NNNNN.tokens`` with its index ``.index`` in the
     folder ``out``. A null text counts as empty; null ids come first; rows that share an id are
     all written, in the order of their texts; further columns are left out; an empty table makes
@@ -114,7 +125,7 @@ def write_token_records(docs: DataFrame, tokenizer_path: str, pattern: str, out:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         shard, attempt = context.partitionId(), context.taskAttemptId()
-        cache, wide = _loaded(tokenizer_path, pattern)
+        encode, wide = _loaded(tokenizer_path, pattern)
         end = np.array([end_id], "<u4")
         store, root = fs.FileSystem.from_uri(out)
         name = f"{root}/shard-{shard:05d}"
@@ -127,7 +138,7 @@ def write_token_records(docs: DataFrame, tokenizer_path: str, pattern: str, out:
                     store.create_dir(root, recursive=True)
                     streams = [store.open_output_stream(f"{name}.{kind}-{attempt}") for kind in ("tokens", "index")]
                 records, index = [], []
-                for doc_id, packed in zip(ids[i:j], cache.encode(texts[i:j])):
+                for doc_id, packed in zip(ids[i:j], encode(texts[i:j])):
                     tokens_of = np.concatenate([np.frombuffer(packed, "<u4"), end])
                     record = frame(pack(doc_id, tokens_of, wide or end_id > 65535))
                     index += (at, len(record))

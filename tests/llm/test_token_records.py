@@ -14,14 +14,13 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def test_rows_and_files(spark):
-    texts = [*odd_texts(80, 11), "", None, "word " * 5000]
+    texts = [*odd_texts(80, 11), "", None, "word " * 5000, "a <|endoftext|> b", "<|endoftext|><|endoftext|>", " <|endoftext| > x"]
     rows = [(997 * i % 83, x, 1, "z") for i, x in enumerate(texts)] + [(None, "no id", 1, "z"), (5, "again", 1, "z"), (5, "again", 1, "z")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, start int, ids string")
     manifest = T.write_token_records(docs, PATH, public_tokenizers.PATTERN, new_path(spark, "t"))
     records = T.read_token_records(manifest)
     got = sorted(T.digests(records).collect(), key=lambda r: r.start)
     library = Tokenizer.from_file(PATH)
-    library.encode_special_tokens = True
     rows.sort(key=lambda r: (r[0] is not None, r[0] or 0))
     assert [r.doc_id for r in got] == [r[0] for r in rows]
     start, left = 0, [(r[0], r[1] or "") for r in rows]
