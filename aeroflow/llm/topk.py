@@ -23,6 +23,15 @@ CENTRES = 32
 
 LEAF_ROWS = 64
 
+#: Children of a tree node at most.
+FAN_OUT = 16
+
+#: From this depth on, as below chains of ever nearer outliers, rows are dealt out evenly.
+DEPTH = 24
+
+#: Scores beyond 64 bits are given as the largest or smallest of these.
+LEAST, MOST = -(1 << 63) + 1, (1 << 63) - 1
+
 #: The kth score of a query with fewer than k scores.
 UNKNOWN = np.iinfo(np.int64).min
 
@@ -47,36 +56,42 @@ def _distances(x: np.ndarray, point: np.ndarray) -> np.ndarray:
 
 
 def cover_tree(x: np.ndarray, leaf_rows: int = LEAF_ROWS) -> Node:
-    """A cover tree over the rows of ``x``.
+    """A cover tree over the rows of ``x``, down to leaves of ``leaf_rows`` or of equal rows.
 
-    A node's children cover its rows within half its radius, their centres are further apart than
-    that, and one child keeps the node's own centre. Where that would take more than an eighth of
-    the rows as centres, as in data without clusters, the node is a leaf.
+    A node's children cover its rows, each within its own radius. Their centres are further apart
+    than half the node's radius, and one child keeps the node's own centre. Centres are added,
+    the farthest row each time, until all rows are within half the radius of one or there are
+    FAN_OUT; so in data without clusters radii shrink more slowly. From DEPTH on, rows are dealt to
+    FAN_OUT children by their distance from the centre.
     """
-
-    def build(rows: np.ndarray, centre: int) -> Node:
+    out: list[Node] = []
+    todo: list[tuple[np.ndarray, int, int, Node | None]] = [(np.arange(len(x)), 0, 0, None)]
+    while todo:
+        rows, centre, depth, parent = todo.pop()
         near = _distances(x[rows], x[centre])
         node = Node(x[centre], float(near.max()), rows)
-        if len(rows) <= leaf_rows or node.radius == 0:
-            return node
+        (parent.children if parent else out).append(node)
+        if len(rows) <= leaf_rows or not node.radius > 0:
+            continue
+        if depth >= DEPTH:
+            todo += [(rows[part], int(rows[part[0]]), depth + 1, node) for part in np.array_split(np.argsort(near), min(FAN_OUT, len(rows)))]
+            continue
         centres, owner = [centre], np.zeros(len(rows), np.int64)
-        while near.max() > node.radius / 2:
-            if len(centres) > len(rows) // 8:
-                return node
+        while near.max() > node.radius / 2 and len(centres) < FAN_OUT:
             centres.append(int(rows[near.argmax()]))
             away = _distances(x[rows], x[centres[-1]])
             owner[away < near] = len(centres) - 1
             near = np.minimum(near, away)
-        node.children = [build(rows[owner == i], c) for i, c in enumerate(centres)]
-        return node
-
-    return build(np.arange(len(x)), 0)
+        if len(centres) > 1:
+            todo += [(rows[owner == i], c, depth + 1, node) for i, c in enumerate(centres)]
+    return out[0]
 
 
 def _bound(q: Node, d: Node) -> float:
     """No inner product of a row below ``q`` and one below ``d`` is larger."""
-    exact = float(q.centre @ d.centre) + q.norm * d.radius + d.norm * q.radius + q.radius * d.radius
-    return exact + 0.5 + 1e-9 * abs(exact)  # scores are integers, distances are rounded
+    product = float(q.centre @ d.centre)
+    reach = q.norm * d.radius + d.norm * q.radius + q.radius * d.radius
+    return product + reach + 0.5 + 1e-9 * (abs(product) + reach)  # scores are integers, distances are rounded
 
 
 class Best:
@@ -91,19 +106,24 @@ class Best:
     def add(self, row: int, scores: np.ndarray, ids: np.ndarray) -> None:
         keep = scores >= self.kth[row]
         scores, ids = np.concatenate([self.scores[row], scores[keep]]), np.concatenate([self.ids[row], ids[keep]])
-        if len(scores) > self.k:
-            least = np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
-            keep = scores >= least
-            scores, ids = scores[keep], ids[keep]
-        order = np.lexsort((ids, -scores))[: self.k]
+        order = np.lexsort((ids, -scores))
+        _, once = np.unique(ids[order], return_index=True)  # the best score of each id
+        order = order[np.sort(once)][: self.k]
         self.scores[row], self.ids[row] = scores[order], ids[order]
         if len(order) == self.k:
             self.kth[row] = max(self.kth[row], scores[order[-1]])
 
 
 def _products(q: np.ndarray, d: np.ndarray, most: float) -> np.ndarray:
-    """Integer inner products of rows, none above ``most``: in floats where those are exact."""
-    return (q.astype(np.float64) @ d.astype(np.float64).T).astype(np.int64) if most < 2.0**52 else q @ d.T
+    """Inner products of rows of integers held as floats, none above ``most`` in size: in floats or
+    64-bit integers where those are exact, else in Python's integers, cut to 64 bits.
+    """
+    if most < 2.0**52:
+        return (q @ d.T).astype(np.int64)
+    if most < 2.0**62:
+        return q.astype(np.int64) @ d.astype(np.int64).T
+    whole = [[[int(c) for c in row] for row in x.tolist()] for x in (q, d)]
+    return np.array([[min(MOST, max(LEAST, sum(a * b for a, b in zip(x, y)))) for y in whole[1]] for x in whole[0]], np.int64).reshape(len(q), len(d))
 
 
 def dual_search(queries: tuple[np.ndarray, np.ndarray, Node], data: tuple[np.ndarray, np.ndarray, Node], best: Best) -> int:
@@ -116,7 +136,7 @@ def dual_search(queries: tuple[np.ndarray, np.ndarray, Node], data: tuple[np.nda
     stack, scored = [(_bound(qroot, droot), qroot, droot)], 0
     while stack:
         bound, q, d = stack.pop()
-        if bound < best.kth[q.rows].min():
+        if bound < best.kth[q.rows].min() <= MOST // 2:  # cut scores say nothing of the others
             continue
         if not q.children and not d.children:
             scores = _products(qx[q.rows], dx[d.rows], (q.norm + q.radius) * (d.norm + d.radius))
@@ -136,7 +156,7 @@ def dual_search(queries: tuple[np.ndarray, np.ndarray, Node], data: tuple[np.nda
 
 
 def _integers(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, dim, v) with ``v`` the components floor(256 x) as 64-bit integers."""
+    """(id, dim, v) with ``v`` the components floor(256 x), integers held exactly as doubles."""
     kept = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("x")).where("id is not null and x is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,10 +164,10 @@ def _integers(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
             ids, dims, out = [], [], []
             for vec_id, x in zip(b.column(0).to_pylist(), b.column(1)):
                 v = np.floor(256 * np.array(x.values.to_numpy(zero_copy_only=False), np.float64))
-                if np.isfinite(v).all() and np.sqrt(v @ v) < 2.0**31:
+                if np.isfinite(v).all():
                     ids.append(vec_id)
                     dims.append(len(v))
-                    out.append(v.astype("<i8").tobytes())
+                    out.append(v.astype("<f8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(out, pa.binary())], names=["id", "dim", "v"])
 
     return kept.mapInArrow(run, "id long, dim int, v binary")
@@ -157,7 +177,7 @@ def _centres(vectors: DataFrame) -> dict[int, np.ndarray]:
     """The top level's centres for each dimension, from a sample of SAMPLE_ROWS rows at most."""
     sample: dict[int, list[np.ndarray]] = {}
     for row in vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).collect():
-        sample.setdefault(row.dim, []).append(np.frombuffer(row.v, "<i8").astype(np.float64))
+        sample.setdefault(row.dim, []).append(np.frombuffer(row.v, "<f8"))
     out = {}
     for dim, rows in sample.items():
         x = np.array(rows)
@@ -180,8 +200,8 @@ def _blocks(vectors: DataFrame, rows: int, label: str) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 dim, vs = b.column(1)[i].as_py(), b.column(3)[i].as_py()
-                x = np.frombuffer(b"".join(vs), "<i8").reshape(len(vs), dim)
-                tree = cover_tree(x.astype(np.float64))
+                x = np.frombuffer(b"".join(vs), "<f8").reshape(len(vs), dim)
+                tree = cover_tree(x)
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).slice(i, 1),
@@ -251,7 +271,7 @@ def _search(pairs: DataFrame, queries: DataFrame, data: DataFrame, floors: DataF
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
-    once = found.groupBy("block", "query_id", "vec_id").agg(F.max("score").alias("score"))
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -259,9 +279,9 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The k rows with the largest integer inner product for each query row.
 
-    Components are floor(256 x). Vectors that are null, hold null or non-finite components, have a
-    null id, or whose squared length does not fit 62 bits (no score could then be told from an
-    overflow) take no part. A query is compared with all rows of other ids and equal dimension;
+    Components are floor(256 x). Vectors that are null, hold null or non-finite components (or some
+    whose 256-fold is not finite) or have a null id take no part. Scores are exact; one beyond 64
+    bits is given as the largest or smallest such integer, and ties. A query is compared with all rows of other ids and equal dimension;
     ids that repeat count once, with the best score. Ties go to the smaller id. With fewer than k
     candidates all are returned; an empty table gives no rows; further columns are left out.
 
@@ -285,7 +305,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", v
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
                 if dim in centres:
-                    x = np.frombuffer(b"".join(b.column(2)[i].as_py() for i in at.tolist()), "<i8").reshape(len(at), dim).astype(np.float64)
+                    x = np.frombuffer(b"".join(b.column(2)[i].as_py() for i in at.tolist()), "<f8").reshape(len(at), dim)
                     cells[at] = np.array([_distances(x, c) for c in centres[dim]]).argmin(axis=0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells)], names=["id", "dim", "v", "cell"])
 
@@ -296,7 +316,8 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", v
     order = Window.partitionBy("q").orderBy(F.desc("bound"), "d")
     ranked = materialise(pairs.withColumn("n", F.row_number().over(order)), "topk-ranked")
     first = _search(ranked.where("n <= 2"), queries, data, None, k, "topk-first")
-    kth = _best(first, k).groupBy("block", "query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n")).where(F.col("n") == k)
+    kth = _best(first, k).groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("n")).where(F.col("n") == k)
+    kth = kth.drop("n").join(first.select("block", "query_id").distinct(), "query_id")
     asked_of = queries.select("block", "n")
     floors = kth.groupBy("block").agg(F.collect_list(F.struct("query_id", "kth")).alias("floors"), F.min("kth").alias("worst"), F.count("*").alias("known"))
     floors = materialise(floors.join(asked_of, "block"), "topk-floors")

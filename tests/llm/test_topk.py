@@ -70,12 +70,29 @@ def test_tree_covers():
     rng = random.Random(2)
     x = np.array(clustered(rng, 500, 3, 20))
 
-    def walk(node):
+    def walk(node, x):
         assert K._distances(x[node.rows], node.centre).max() <= node.radius + 1e-9
+        assert node.children or len(node.rows) <= 4 or node.radius == 0
         if node.children:
             assert sorted(np.concatenate([c.rows for c in node.children])) == sorted(node.rows)
-            assert all(c.radius <= node.radius / 2 + 1e-9 for c in node.children)
+            assert len(node.children) == K.FAN_OUT or all(c.radius <= node.radius / 2 + 1e-9 for c in node.children)
             for c in node.children:
-                walk(c)
-
-    walk(K.cover_tree(x, 4))
+                walk(c, x)
+
+    plain = np.array([[rng.gauss(0, 1) for _ in range(40)] for _ in range(700)])
+    for rows in (x, plain, np.array([[1.3**i] for i in range(900)] * 2)):  # the last has a deep tree
+        walk(K.cover_tree(rows, 4), rows)
+
+
+def test_ids_in_many_blocks_and_large_components(spark, monkeypatch):
+    monkeypatch.setattr(K, "DATA_ROWS", 12)
+    monkeypatch.setattr(K, "QUERY_ROWS", 5)
+    monkeypatch.setattr(K, "LEAF_ROWS", 3)
+    rng = random.Random(9)
+    rows = [(i % 40, [rng.gauss(0, 1) * 10.0 ** rng.randrange(5) for _ in range(2)]) for i in range(160)]
+    rows += [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 1.0]), (200, [1e8, 0.0]), (201, [1e8, 3.0]), (202, [-1e8, 1e-3]), (205, [-1e9, 1e9])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, K.top_k(df, F.col("vec_id") % 5 == 0).collect()))
+    want = [(q, n, i, max(K.LEAST, min(K.MOST, s))) for q, n, i, s in plain(rows)]
+    assert [r for r in got if abs(r[3]) < K.MOST] == [r for r in want if abs(r[3]) < K.MOST]
+    assert [(r[0], r[1], r[3]) for r in got] == [(r[0], r[1], r[3]) for r in want]
