@@ -5,7 +5,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,8 +16,8 @@ from aeroflow.llm.frames import table
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math noframes xmp object select option button".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style textarea title noscript template iframe svg noframes xmp select option button".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mrow ms msqrt msub msup mtext q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
@@ -32,22 +32,55 @@ BAD_STARTS = ("advert", "banner", "breadcrumb", "comment", "cookie", "disqus", "
 #: Phrases of boilerplate in short blocks outside an article.
 _PHRASES = re.compile(r"copyright|©|\(c\) \d{4}|all rights reserved|privacy policy|terms of (use|service)|cookies?\b|sign (up|in)\b|log ?in\b|subscribe|newsletter|read more|share (this|on)|follow us|advertisement|skip to", re.I)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
+class Element:
+    """An open element: its place in the tree and what it and its ancestors say of a block."""
+
+    def __init__(self, parent: Element | None, name: str, attributes: str = ""):
+        named = " ".join(a or b or c for a, b, c in _NAMED.findall(attributes)) if attributes else ""
+        words = frozenset(_SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", named).lower())) - {""} if named else frozenset()
+        self.parent, self.name, self.chars = parent, name, 0
+        self.depth = parent.depth + 1 if parent else 0
+        self.bad_words = bool(words & BAD_WORDS) or any(w.startswith(BAD_STARTS) for w in words)
+        self.good_words = bool(words & GOOD_WORDS)
+        self.hidden = bool(parent and parent.hidden) or bool(attributes and _HIDDEN.search(attributes))
+        self.holds_main = False
+
+    def learn(self, page_chars: int) -> None:
+        """Take over what the ancestors say; called for parents first, with all characters counted.
+
+        Words and chrome of an element that holds most of the page around its main part say
+        nothing: a form or a class on the body wraps content and boilerplate alike.
+        """
+        up, name = self.parent, self.name
+        wide = name in ("html", "body") or self.holds_main and self.chars >= WIDE * page_chars
+        chrome = name in CHROME and not (wide and name in ("form", "header"))
+        self.article = name == "article" or bool(up and up.article)
+        self.main = name == "main" or bool(up and up.main)
+        self.paragraph = name in ("p", "pre", "blockquote") or bool(up and up.paragraph)
+        self.heading = name in HEADINGS or bool(up and up.heading)
+        self.chrome = chrome or bool(up and up.chrome)
+        self.frame = name if chrome or name in ("article", "main") else up.frame if up else ""
+        self.bad = self.bad_words and not wide or bool(up and up.bad)
+        self.good = self.good_words or bool(up and up.good)
+
+
 @dataclass
 class Block:
-    """Text between block-level tags, with what the classifier looks at."""
+    """Text between block-level tags, with the element that it stands in."""
 
     text: str
-    path: tuple[int, ...]
-    tags: tuple[str, ...]
-    words: frozenset[str]
+    element: Element
     link_chars: int
-    hidden: bool
+
+    @property
+    def hidden(self) -> bool:
+        return self.element.hidden
 
 
 def blocks(page: str) -> list[Block]:
@@ -57,17 +90,18 @@ def blocks(page: str) -> list[Block]:
     block, unclosed and truncated tags are closed where a browser would.
     """
     out: list[Block] = []
-    stack: list[tuple[str, int, frozenset[str], bool]] = [("html", 0, frozenset(), False)]
+    root = Element(None, "html")
+    elements, stack, opened = [root], [root], Counter()
     parts: list[str] = []
-    count = links = in_link = 0
+    links = in_link = 0
 
     def flush() -> None:
         nonlocal links
         text = " ".join(entities.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            own = stack
-            out.append(Block(text, tuple(x[1] for x in own), tuple(x[0] for x in own), frozenset().union(*(x[2] for x in own)), links, any(x[3] for x in own)))
+            out.append(Block(text, stack[-1], links))
+            stack[-1].chars += len(text)
         links = 0
 
     def say(text: str) -> None:
@@ -105,63 +139,74 @@ def blocks(page: str) -> list[Block]:
         flush()
         in_link = 0
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            if opened[name]:
+                while (gone := stack.pop().name) != name:
+                    opened[gone] -= 1
+                opened[name] -= 1
         else:
-            if name in CLOSES_P and stack[-1][0] == "p" or name == stack[-1][0] and name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                stack.pop()
-            count += 1
-            named = " ".join(a or b or c for a, b, c in _NAMED.findall(rest))
-            stack.append((name, count, frozenset(_SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", named).lower())) - {""}, bool(_HIDDEN.search(rest))))
+            if name in CLOSES_P and stack[-1].name == "p" or name == stack[-1].name and name in ("li", "dt", "dd", "tr", "td", "th"):
+                opened[stack.pop().name] -= 1
+            stack.append(Element(stack[-1], name, rest))
+            opened[name] += 1
+            elements.append(stack[-1])
     flush()
+    for e in reversed(elements[1:]):
+        e.parent.chars += e.chars
+        e.parent.holds_main |= e.holds_main or e.name in ("article", "main", "h1")
+    for e in elements:
+        e.learn(root.chars)
     return out
 
 
+#: The share of a page's text from which an element around its main part is taken for a wrapper.
+WIDE = 0.7
+
 #: Weights of the linear classifier: positive speaks for content.
 WEIGHTS = {"bias": -0.4, "article": 2.6, "main": 1.6, "paragraph": 0.9, "heading": 0.3, "length": 0.55, "marks": 0.5, "links": -2.4, "chrome": -6.0, "bad_words": -5.0, "phrases": -3.0, "good_words": 0.8, "hidden": -8.0}
 
 
 def content_score(block: Block) -> float:
     """Log-odds that a block is content."""
-    tags = set(block.tags)
-    last_frame = next((t for t in reversed(block.tags) if t in CHROME or t in ("article", "main")), "")
-    size = len(block.text)
-    heading_in_article = last_frame == "header" and "article" in tags and bool(tags & HEADINGS)
+    e, size = block.element, len(block.text)
+    heading_in_article = e.frame == "header" and e.article and e.heading
     values = {
         "bias": 1.0,
-        "article": "article" in tags,
-        "main": "main" in tags,
-        "paragraph": bool(tags & {"p", "pre", "blockquote"}),
-        "heading": bool(tags & HEADINGS),
+        "article": e.article,
+        "main": e.main,
+        "paragraph": e.paragraph,
+        "heading": e.heading,
         "length": math.log1p(size / 40),
         "marks": min(2, sum(block.text.count(c) for c in ".,;!?")) / 2,
         "links": min(1.0, block.link_chars / size),
-        "chrome": bool(tags & CHROME) and not heading_in_article,
-        "bad_words": bool(block.words & BAD_WORDS) or any(w.startswith(BAD_STARTS) for w in block.words),
-        "phrases": size < 200 and not tags & {"article", "main"} and bool(_PHRASES.search(block.text)),
-        "good_words": bool(block.words & GOOD_WORDS),
-        "hidden": block.hidden,
+        "chrome": e.chrome and not heading_in_article,
+        "bad_words": e.bad,
+        "phrases": size < 200 and not (e.article or e.main) and bool(_PHRASES.search(block.text)),
+        "good_words": e.good,
+        "hidden": e.hidden,
     }
     return sum(WEIGHTS[k] * v for k, v in values.items())
 
 
 #: Cost of giving neighbours different labels, and its share for blocks in different containers.
 SMOOTHNESS = 0.8
+#: Edges that would cost less are left out.
+LEAST_SMOOTHNESS = 0.004
 #: Edges reach this many blocks back.
 REACH = 2
 
 
 def smoothness(a: Block, b: Block, gap: int) -> float:
     """Larger for blocks that stand close in the page and share more of their place in the tree."""
-    shared = 0
-    for x, y in zip(a.path, b.path):
-        if x != y:
-            break
-        shared += 1
-    apart = len(a.path) + len(b.path) - 2 * shared
-    return SMOOTHNESS / gap / (1 + apart) if a.hidden == b.hidden else 0.0
+    if a.hidden != b.hidden:
+        return 0.0
+    x, y, apart = a.element, b.element, 0
+    while x is not y and SMOOTHNESS / gap / (1 + apart) >= LEAST_SMOOTHNESS:
+        if x.depth >= y.depth:
+            x = x.parent
+        else:
+            y = y.parent
+        apart += 1
+    return SMOOTHNESS / gap / (1 + apart) if x is y else 0.0
 
 
 def minimum_cut(content: list[float], other: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 from aeroflow.llm import html_text as H
 
@@ -45,6 +46,27 @@ def test_odd_input():
     assert H.main_text(long) == " ".join([BODY] * 3000)
 
 
+def test_truncated_tags_and_deep_trees():
+    inner = f"<article><p>{BODY}</p>"
+    for tail in ('<p title="abc', "<p title='a > b", "<p class=", "</artic", "<!-- x", '<img alt="x" src="'):
+        assert H.main_text(page(inner)[: -len("</body></html>")] + tail) == BODY
+    began = time.process_time()
+    assert H.main_text("<div>x" * 40_000) is not None
+    assert H.main_text(f"<article><p>{BODY}</p>" + "<div>" * 40_000 + "</b></i></span></section>" * 2000) == BODY
+    assert time.process_time() - began < 10
+
+
+def test_words_of_page_wide_wrappers_say_nothing():
+    article = f"<article><h1>Bridge news here</h1><p>{BODY}</p><p>{MORE}</p></article>"
+    for before, after in (('<form action="/">', "</form>"), ('<div class="header-fixed">', "</div>"), ('<div class="sidebar-right comments-open">', "</div>")):
+        text = f'<body class="single no-sidebar comments-open">{before}<nav><a href="/">Home</a></nav>{article}<div class="comments"><p>Nice one, really.</p></div>{after}</body>'
+        assert H.main_text(text) == f"Bridge news here {BODY} {MORE}"
+
+
+def test_formulas_stay():
+    assert H.main_text(page(f"<article><p>{BODY} <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p></article>")) == f"{BODY} x=1"
+
+
 def test_cut_is_minimal():
     rng = random.Random(5)
     for _ in range(60):
