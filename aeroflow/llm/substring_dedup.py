@@ -47,9 +47,12 @@ _ODD = [np.uint64(int.from_bytes(xxhash.xxh64_digest(b"m%d" % i), "big") | 1) fo
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
+    x = x ^ x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 class _Powers:
@@ -106,13 +109,13 @@ def anchors(shingles: np.ndarray) -> np.ndarray:
         return np.array([shingles.argmin()]) if len(shingles) else np.zeros(0, np.int64)
     least = _over_windows(shingles, ANCHOR, np.minimum)
     none = np.zeros(ANCHOR - 1, np.uint64)  # a place is such if the largest of its windows' minima is its own hash
-    return np.flatnonzero(_over_windows(np.r_[none, least, none], ANCHOR, np.maximum) == shingles)
+    return np.flatnonzero(_over_windows(np.concatenate([none, least, none]), ANCHOR, np.maximum) == shingles)
 
 
 def signatures(shingles: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """BANDS keys, a row for each paragraph with the shingles from a start up to an end."""
-    bounds = np.c_[starts, ends].ravel()
-    padded = np.r_[shingles, np.uint64(0)]  # so that an end may be that of the text
+    bounds = np.stack([starts, ends], axis=1).ravel()
+    padded = np.append(shingles, np.uint64(0))  # so that an end may be that of the text
     least = np.empty((BANDS * ROWS, len(starts)), np.uint64)
     with np.errstate(over="ignore"):
         for i, odd in enumerate(_ODD):
@@ -124,11 +127,13 @@ def signatures(shingles: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
 def _paragraphs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and sizes of the paragraphs, from those of the lines."""
     long = sizes >= MIN_PARAGRAPH
-    short = np.r_[False, (sizes > 0) & ~long, False].astype(np.int8)
-    first, after = np.flatnonzero(np.diff(short) == 1), np.flatnonzero(np.diff(short) == -1)
+    short = np.zeros(len(sizes) + 2, np.int8)
+    short[1:-1] = (sizes > 0) & ~long
+    steps = np.diff(short)
+    first, after = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
     together = starts[after - 1] + sizes[after - 1] - starts[first]
     wrapped = together >= MIN_PARAGRAPH
-    return np.r_[starts[long], starts[first[wrapped]]], np.r_[sizes[long], together[wrapped]]
+    return np.concatenate([starts[long], starts[first[wrapped]]]), np.concatenate([sizes[long], together[wrapped]])
 
 
 @dataclass
@@ -165,7 +170,7 @@ def units(text: str) -> Units | None:
     return Units(hashes.runs(at, WINDOW), at, keys, starts, sizes, bands)
 
 
-_UNITS = "id {id}, h long, w_keys array<long>, w_starts array<int>, p_keys array<long>, p_starts array<int>, p_sizes array<int>, bands array<long>"
+_UNITS = "id {id}, h long, w_keys array<long>, w_starts array<int>, p_keys array<long>, p_starts array<int>, p_sizes array<int>, bands array<array<long>>"
 
 
 def _kind(docs: DataFrame) -> str:
@@ -195,7 +200,10 @@ def _all_units(docs: DataFrame) -> DataFrame:
                     _lists([x.keys for x in found], np.int64),
                     _lists([x.starts for x in found], np.int32),
                     _lists([x.sizes for x in found], np.int32),
-                    _lists([np.ascontiguousarray(x.bands).ravel() for x in found], np.int64),
+                    pa.ListArray.from_arrays(
+                        pa.array(np.cumsum([0, *(len(x.keys) for x in found)]).astype(np.int32)),
+                        _lists([band for x in found for band in np.ascontiguousarray(x.bands)], np.int64),
+                    ),
                 ],
                 names=["id", "h", "w_keys", "w_starts", "p_keys", "p_starts", "p_sizes", "bands"],
             )
@@ -292,12 +300,14 @@ def similar_paragraphs(kept: DataFrame, paragraphs: DataFrame) -> DataFrame:
     those that it is already linked to through leaders. So the links of a group join all of its
     similar pairs, directly or through others, though many near copies take one pass.
     """
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "h", "start", "n")
-    distinct = materialise(paragraphs.groupBy("key").agg(F.count("*").alias("copies"), F.min(place).alias("place"), F.min("bands").alias("bands")), "dedup-paragraphs")
-    banded = distinct.select("key", "copies", F.explode("bands").alias("band"))
+    bands = [F.min(F.col("bands")[i]).alias(f"b{i}") for i in range(BANDS)]  # the same in all rows of a key
+    distinct = materialise(paragraphs.groupBy("key").agg(F.count("*").alias("copies"), *bands), "dedup-paragraphs")
+    banded = distinct.select("key", "copies", F.explode(F.array(*(f"b{i}" for i in range(BANDS)))).alias("band"))
     buckets = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     members = materialise(banded.join(buckets, "band"), "dedup-members")
-    wanted = distinct.join(members.select("key").distinct(), "key", "left_semi").select("place.id", "place.h", F.struct("key", "place.start", "place.n").alias("p"))
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "h", "start", "n")
+    wanted = paragraphs.join(members.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min(place).alias("place"))
+    wanted = wanted.select("place.id", "place.h", F.struct("key", "place.start", "place.n").alias("p"))
     wanted = wanted.groupBy("id", "h").agg(F.collect_list("p").alias("places")).select(F.col("id").alias("_id"), F.col("h").alias("_h"), "places")
     asked = materialise(wanted, "dedup-asked")
     texts = kept.join(asked, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
@@ -390,8 +400,8 @@ def _extensions(kept: DataFrame, by_doc: DataFrame) -> DataFrame:
     windows = F.filter("spans", lambda s: s["end"] - s["start"] == WINDOW)
     split = by_doc.select("id", "h", windows.alias("w"), F.filter(windows, lambda s: s["removed"]).alias("r"))
     split = materialise(split, "dedup-windows")  # else the filters run anew for each window
-    ends = F.filter(F.array_union(_sides(F.col("w")), _sides(F.col("r"))), lambda s: s["other"].isNull())
-    ends = materialise(split.select("id", "h", F.explode(ends).alias("s")).select("id", "h", "s.*").drop("other", "gap"), "dedup-ends")
+    open_sides = [F.filter(_sides(F.col(c)), lambda s: s["other"].isNull()) for c in ("w", "r")]  # places told twice meet below
+    ends = materialise(split.select("id", "h", F.explode(F.concat(*open_sides)).alias("s")).select("id", "h", "s.*").drop("other", "gap"), "dedup-ends")
     inner = split.select("id", "h", F.explode(F.filter(_sides(F.col("w")), lambda s: s["other"].isNotNull())).alias("s")).select("id", "h", "s.*")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "h")
     first = materialise(inner.groupBy("cluster", "left", "other", "gap").agg(F.min(F.struct(order.alias("doc"), "start", "first_id")).alias("m")), "dedup-inner")
@@ -433,8 +443,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kept = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
     found = materialise(_all_units(kept), "dedup-units")
     doc = F.xxhash64("id", "h").alias("doc")
-    paragraphs = found.select("id", "h", doc, F.posexplode("p_keys").alias("i", "key"), "p_starts", "p_sizes", "bands").select("id", "h", "doc", "key", F.get("p_starts", F.col("i")).alias("start"), F.get("p_sizes", F.col("i")).alias("n"), F.slice("bands", F.col("i") * BANDS + 1, F.lit(BANDS)).alias("bands"))
-    windows = found.select("id", "h", doc, F.posexplode("w_keys").alias("i", "key"), "w_starts").select("id", "h", "doc", "key", F.get("w_starts", F.col("i")).alias("start"), F.lit(WINDOW).alias("n"))
+    # one struct for each row: a row that carried its text's arrays would make long texts quadratic
+    paragraphs = found.select("id", "h", doc, F.explode(F.arrays_zip("p_keys", "p_starts", "p_sizes", "bands")).alias("u"))
+    paragraphs = paragraphs.select("id", "h", "doc", F.col("u.p_keys").alias("key"), F.col("u.p_starts").alias("start"), F.col("u.p_sizes").alias("n"), "u.bands")
+    windows = found.select("id", "h", doc, F.explode(F.arrays_zip("w_keys", "w_starts")).alias("u"))
+    windows = windows.select("id", "h", "doc", F.col("u.w_keys").alias("key"), F.col("u.w_starts").alias("start"), F.lit(WINDOW).alias("n"))
     both = windows.unionByName(paragraphs.drop("bands"))
     twice = both.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("key")
     labels = connected_components(similar_paragraphs(kept, paragraphs.drop("doc")))
