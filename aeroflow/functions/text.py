@@ -54,13 +54,43 @@ def tokens(text: Column, least: int = 5) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"[a-z0-9]{{{least},}}"), F.lit(0))))
 
 
+def query_tokens(text: Column) -> Column:
+    """A question's ASCII words of two or more letters and digits, and the pairs of neighbouring CJK characters."""
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{2,}"), F.lit(0))
+    runs = F.regexp_extract_all(text, F.lit("[\u4e00-\u9fff]{2,}"), F.lit(0))
+    pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
+    return F.struct(words.alias("words"), pairs.alias("pairs"))
+
+
+def either(first: Column, second: Column) -> Column:
+    """The first text that is not blank."""
+    return F.coalesce(*(F.when(F.trim(x) != "", x) for x in (first, second)))
+
+
+def thousands(value: Column) -> Column:
+    """A whole number with commas."""
+    return F.format_number(value, 0)
+
+
+@F.pandas_udf(StringType())
+def accent_key(text: pd.Series) -> pd.Series:
+    """Lower case without accents."""
+    plain = lambda x: "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)).lower()
+    return text.map(lambda x: None if x is None else plain(x))
+
+
+def core_name(key: Column, generic: list[str]) -> Column:
+    """A name's words without the generic ones."""
+    return F.array_join(F.filter(F.split(key, " "), lambda w: ~w.isin(*generic)), " ")
+
+
 def first_line(text: Column) -> Column:
     return F.substring_index(text, "\n", 1)
 
 
-def rest_of(text: Column, chars: int = 280) -> Column:
-    """The first characters after the first line."""
-    return F.substring(F.substring(text, F.length(first_line(text)) + 2, F.length(text)), 1, chars)
+def rest_of(text: Column) -> Column:
+    """What follows the first line."""
+    return F.substring(text, F.length(first_line(text)) + 2, F.length(text))
 
 
 def canonical_url(url: Column) -> Column:

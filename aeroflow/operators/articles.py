@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -110,27 +110,38 @@ def evidence_budget(facts: DataFrame, group: str, event: str, rank: str, number:
     """The facts that fit a group's budget, in rank order of events.
 
     An event keeps its leading facts that fit; one with none is skipped and the next may still
-    fit. What fits depends on what came before, so the fold is a loop over a group's facts.
+    fit. What fits depends on what came before, so a group's facts pass in order and only the
+    state of the budget is held. No event gives more than its first ``most`` facts, which are
+    picked before the shuffle by group.
     """
     kept = facts.select(F.col(group).alias("grp"), F.col(event).alias("event"), F.col(rank).alias("rank"), F.col(number).alias("number"), F.length(text).alias("size"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, room, taken, out = chars, most, 0, []
-        for _, rows in pdf.sort_values(["rank", "event", "number"]).groupby(["rank", "event"], sort=True):
-            if taken == events or not room:
-                break
-            fits = []
-            for row in rows.itertuples():
+    leading = Window.partitionBy("grp", "rank", "event").orderBy("number")
+    kept = kept.withColumn("place", F.row_number().over(leading)).where(F.col("place") <= most).drop("place")
+    dealt = kept.repartition("grp").sortWithinPartitions("grp", "rank", "event", "number")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = now = None
+        left, room, taken, open_, fits = chars, most, 0, False, False
+        for b in batches:
+            out = []
+            for row in b.itertuples():
+                if own is None or own[0] != row.grp:
+                    own, now, left, room, taken = (row.grp,), None, chars, most, 0
+                if now != (row.rank, row.event):
+                    now, open_, fits = (row.rank, row.event), taken < events and room > 0, False
+                if not open_:
+                    continue
                 if row.size > left or not room:
-                    break
+                    open_ = False
+                    continue
                 left, room = left - row.size, room - 1
-                fits.append((row.grp, row.event, row.number))
-            taken += bool(fits)
-            out += fits
-        return pd.DataFrame(out, columns=["grp", "event", "number"])
+                taken += not fits
+                fits = True
+                out.append((row.grp, row.event, row.number))
+            yield pd.DataFrame(out, columns=["grp", "event", "number"])
 
     kinds = dict(kept.dtypes)
-    return kept.groupBy("grp").applyInPandas(fold, f"grp {kinds['grp']}, event {kinds['event']}, number {kinds['number']}")
+    return dealt.mapInPandas(fold, f"grp {kinds['grp']}, event {kinds['event']}, number {kinds['number']}")
 
 
 def priced_jobs(calls: DataFrame, prices: DataFrame, job: str, label: str, tokens_in: str, tokens_out: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -47,36 +47,41 @@ def rate_limited(requests: DataFrame, user: str, stamp: str, request: str, per_m
     """allowed, or the limit that denies a request; denied requests do not count.
 
     Requests of one user are taken in order of time and id: a sliding minute, the day's total and
-    a cooldown for an equal question. Whether one counts depends on those before it, so the fold
-    is a loop over a user's rows.
+    a cooldown for an equal question. Whether one counts depends on those before it, so a user's
+    requests pass in order; held are the last minute's times, the day's total and the questions
+    that still cool down, which the minute and day limits bound.
     """
     asked = F.col(question) if question else F.lit(None).cast("string")
     rows = requests.select(F.col(user).alias("user"), F.col(request).alias("request"), F.col(stamp).cast("timestamp").alias("ts"), asked.cast("string").alias("question"))
+    dealt = rows.repartition("user").sortWithinPartitions("user", "ts", "request")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "request"])
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, day, in_day = None, None, 0
         recent: list[float] = []
-        day, in_day = None, 0
         last: dict[str, float] = {}
-        out = []
-        for ts, q in zip(pdf["ts"], pdf["question"]):
-            t = ts.timestamp()
-            if ts.date() != day:
-                day, in_day = ts.date(), 0
-            recent = [x for x in recent if x > t - 60]
-            if q is not None and t - last.get(q, -1e18) < cooldown_s:
-                out.append("cooldown")
-            elif len(recent) >= per_minute:
-                out.append("minute")
-            elif in_day >= per_day:
-                out.append("day")
-            else:
-                out.append("allowed")
-                recent.append(t)
-                in_day += 1
-                if q is not None:
-                    last[q] = t
-        return pdf.assign(decision=out)[["user", "request", "decision"]]
+        for b in batches:
+            out = []
+            for user_id, ts, q in zip(b["user"], b["ts"], b["question"]):
+                if own is None or own[0] != user_id:
+                    own, day, recent, last = (user_id,), None, [], {}
+                t = ts.timestamp()
+                if ts.date() != day:
+                    day, in_day = ts.date(), 0
+                recent = [x for x in recent if x > t - 60]
+                last = {k: x for k, x in last.items() if x > t - cooldown_s}
+                if q is not None and q in last:
+                    out.append("cooldown")
+                elif len(recent) >= per_minute:
+                    out.append("minute")
+                elif in_day >= per_day:
+                    out.append("day")
+                else:
+                    out.append("allowed")
+                    recent.append(t)
+                    in_day += 1
+                    if q is not None:
+                        last[q] = t
+            yield b.assign(decision=out)[["user", "request", "decision"]]
 
     kinds = dict(rows.dtypes)
-    return rows.groupBy("user").applyInPandas(fold, f"user {kinds['user']}, request {kinds['request']}, decision string")
+    return dealt.mapInPandas(fold, f"user {kinds['user']}, request {kinds['request']}, decision string")

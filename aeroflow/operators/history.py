@@ -82,6 +82,21 @@ def resolved(mentions: DataFrame, aliases: DataFrame, mention: str) -> DataFrame
     return mentions.join(unique, F.lower(F.col(mention)) == F.col("_alias"), "left").drop("_alias", "_n")
 
 
-def within_radius(points: DataFrame, places: DataFrame, distance: Column, box: Column) -> DataFrame:
-    """Points with every place in reach: a box first, then the distance in km to ``radius_km``."""
-    return points.join(F.broadcast(places), box).withColumn("distance_km", distance).where(F.col("distance_km") <= F.col("radius_km"))
+def within_radius(points: DataFrame, places: DataFrame, lat: tuple[str, str], lon: tuple[str, str], distance: Column, cell: float = 2.0) -> DataFrame:
+    """Points with every place whose ``radius_km`` reaches them.
+
+    The globe is cut into cells of ``cell`` degrees; a place stands in every cell that its radius
+    touches, so points meet places by an equality of cells, of whatever number. ``lat`` and ``lon``
+    name the columns of points and of places. Cells run over the date line.
+    """
+    across = int(360 / cell)
+    column = lambda c: F.pmod(F.floor((c + 180) / cell).cast("int"), F.lit(across))
+    row = lambda c: F.floor((c + 90) / cell).cast("int")
+    high = F.degrees(F.col("radius_km") / 6371.0)
+    edge = F.abs(F.col(lat[1])) + high
+    wide = F.when(edge >= 89, F.lit(180.0)).otherwise(F.least(F.lit(180.0), F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(high)) / F.cos(F.radians(F.col(lat[1]))))))))
+    steps = F.sequence(F.floor((F.col(lon[1]) - wide + 180) / cell).cast("int"), F.floor((F.col(lon[1]) + wide + 180) / cell).cast("int"))
+    reached = places.select("*", F.explode(F.sequence(row(F.col(lat[1]) - high), row(F.col(lat[1]) + high))).alias("_row"), F.array_distinct(F.transform(steps, lambda x: F.pmod(x, F.lit(across)))).alias("_columns"))
+    reached = reached.select("*", F.explode("_columns").alias("_column")).drop("_columns")
+    placed = points.withColumns({"_row": row(F.col(lat[0])), "_column": column(F.col(lon[0]))})
+    return placed.join(reached, ["_row", "_column"]).drop("_row", "_column").withColumn("distance_km", distance).where(F.col("distance_km") <= F.col("radius_km"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def usage_totals(calls: DataFrame, label: str, events: str, tokens_in: str, tokens_out: str) -> DataFrame:
@@ -62,7 +64,7 @@ def series_context(series: DataFrame, day: str, value: str) -> DataFrame:
     )
 
 
-def retained(rows: DataFrame, stamp: str, as_of, days: int, cap: int, row_id: str) -> DataFrame:
-    """Rows at most ``days`` old (inclusive), the newest ``cap`` of them."""
+def retained(rows: DataFrame, stamp: str, as_of: Column, days: int, cap: int, order: Sequence[Column]) -> DataFrame:
+    """Rows at most ``days`` old (inclusive), the first ``cap`` of them in ``order``."""
     young = rows.where(F.timestamp_diff("MINUTE", F.col(stamp), as_of) <= days * 1440)
-    return young.orderBy(F.desc(stamp), F.desc(row_id)).limit(cap)
+    return young.orderBy(*order).limit(cap)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -72,18 +73,33 @@ def live_rows(rows: DataFrame, columns: Sequence[str], query: str, airborne: Col
     return rows.where(airborne & hit).orderBy(F.nullif(F.col(order), F.lit("")).asc_nulls_last())
 
 
+#: Lengths from which and up to which a summary may be cut, and marks that may
+#: follow the end of a sentence.
+SOFT, HARD = 180, 260
+CLOSERS = "\"'\u201d\u2019)\uff09]\u300f\u300d\u300b"
+_SENTENCE_END = re.compile(r"([!?\u3002\uff01\uff1f]|\.(?![^\s" + re.escape(CLOSERS) + "]))[" + re.escape(CLOSERS) + "]*")
+
+
 @F.pandas_udf(StringType())
 def sentence_safe(text: pd.Series) -> pd.Series:
-    """A summary cut at the first sentence end from 180 characters on, else at the last before, else at a word."""
+    """A summary in single spaces: whole up to SOFT characters, else up to the first sentence end from
+    there to HARD, else to the last one before; without any it ends at a word, with an ellipsis."""
 
     def cut(x: str | None) -> str | None:
-        if x is None or len(x) <= 220:
-            return x
-        ends = [i + 1 for i, c in enumerate(x[:400]) if c in ".!?。！？"]
-        late = next((i for i in ends if i >= 180), None)
+        if x is None:
+            return None
+        clean = " ".join(x.split())
+        if len(clean) <= SOFT:
+            return clean
+        ends = [m.end() for m in _SENTENCE_END.finditer(clean[:HARD])]
+        late = next((e for e in ends if e >= SOFT), None)
         if late or ends:
-            return x[: late or ends[-1]]
-        return x[:220].rsplit(" ", 1)[0]
+            return clean[: late or ends[-1]].strip()
+        prefix = clean[:SOFT].rstrip()
+        at = max(prefix.rfind(" "), prefix.rfind("\u3000"))
+        if at >= SOFT // 2:
+            prefix = prefix[:at].rstrip()
+        return prefix.rstrip(",;:\uff0c\uff1b\uff1a") + "…"
 
     return text.map(cut)
 
@@ -138,7 +154,8 @@ def media_choice(records: DataFrame, photos: DataFrame, record_id: str, exact: s
 
     ``photos``: photo, the two keys and year. Each rule is an equality join on its own.
     """
-    first = records.join(photos.select(exact, "photo", "year"), exact).select(record_id, F.lit(0).alias("rule"), (-F.col("year")).alias("age"), "photo")
+    best = photos.groupBy(exact).agg(F.min(F.struct((-F.col("year")).alias("age"), "photo")).alias("p"))
+    first = records.join(best, exact).select(record_id, F.lit(0).alias("rule"), "p.age", "p.photo")
     newest = photos.groupBy(kind).agg(F.min(F.struct((-F.col("year")).alias("age"), "photo")).alias("p"))
     second = records.join(newest, kind).select(record_id, F.lit(1).alias("rule"), "p.age", "p.photo")
     return first.union(second).groupBy(record_id).agg(F.min(F.struct("rule", "age", "photo")).alias("m")).select(record_id, "m.photo", "m.rule")

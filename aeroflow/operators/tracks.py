@@ -42,36 +42,45 @@ def track_status(points: DataFrame, keys: list[str], fence_km: float = 5.0) -> D
     """What each track shows, from its points in order of time.
 
     ``points``: the keys, ts, point_id, alt_ft (null on the ground), on_ground, distance_km,
-    ground_speed. In this order: a climb of over 2000 ft after the first lowest point is an
-    overflight; on the ground inside the fence is insufficient at over 100 kt, else confirmed if
-    an earlier point was below 15 000 ft or farther out; three airborne points or more that sink
-    by over 500 ft and close by over 2 km to within two fences and 3000 ft are a probable arrival;
-    a last point from 15 000 ft on is an overflight; closing tracks approach; others are observed.
+    ground_speed, low_confidence. In this order: a climb of over 2000 ft after the first lowest
+    point is an overflight; on the ground inside the fence is insufficient at over 100 kt, else
+    confirmed if an earlier point was below 15 000 ft or farther out than the last; three airborne
+    points or more that sink by over 500 ft and close by over 2 km to within two fences and
+    3000 ft, not all of low confidence, are a probable arrival; a last airborne point from
+    15 000 ft on is an overflight; airborne points that close approach; others are observed.
     """
     order = Window.partitionBy(*keys).orderBy("ts", "point_id")
     marked = points.withColumn("_n", F.row_number().over(order))
-    low = marked.groupBy(*keys).agg(F.min_by("_n", F.when(F.col("alt_ft").isNotNull(), F.struct("alt_ft", "_n"))).alias("_low_n"), F.min("alt_ft").alias("low"))
-    facts = marked.join(low, keys).groupBy(*keys).agg(
-        F.count("*").alias("n_points"),
+    ends = marked.groupBy(*keys).agg(
+        F.min_by("_n", F.when(F.col("alt_ft").isNotNull(), F.struct("alt_ft", "_n"))).alias("_low_n"),
+        F.min("alt_ft").alias("low"),
+        F.max("_n").alias("n_points"),
+        F.max_by("distance_km", "_n").alias("last_km"),
+    )
+    in_air = F.when(F.col("alt_ft").isNotNull(), F.col("_n"))
+    farther = F.col("distance_km") > F.col("last_km")
+    facts = marked.join(ends, keys).groupBy(*keys).agg(
+        F.first("n_points").alias("n_points"),
         F.max(F.when(F.col("_n") > F.col("_low_n"), F.col("alt_ft"))).alias("after_low"),
         F.first("low").alias("low"),
         F.max_by("on_ground", "_n").alias("last_ground"),
         F.max_by("ground_speed", "_n").alias("last_speed"),
-        F.max_by("distance_km", "_n").alias("last_km"),
-        F.min_by("distance_km", "_n").alias("first_km"),
-        F.max_by(F.coalesce("alt_ft", F.lit(0.0)), "_n").alias("last_alt"),
+        F.first("last_km").alias("last_km"),
         F.count("alt_ft").alias("airborne"),
-        F.min_by("alt_ft", F.when(F.col("alt_ft").isNotNull(), F.col("_n"))).alias("first_alt"),
-        F.max_by("alt_ft", F.when(F.col("alt_ft").isNotNull(), F.col("_n"))).alias("last_air_alt"),
-        F.bool_or(~F.col("on_ground") & ((F.col("alt_ft") < 15000) | (F.col("distance_km") > fence_km))).alias("came"),
+        F.min_by("alt_ft", in_air).alias("first_alt"),
+        F.max_by("alt_ft", in_air).alias("last_alt"),
+        F.min_by("distance_km", in_air).alias("first_air_km"),
+        F.max_by("distance_km", in_air).alias("last_air_km"),
+        F.bool_and(F.when(F.col("alt_ft").isNotNull(), F.col("low_confidence"))).alias("unsure"),
+        F.bool_or((F.col("_n") < F.col("n_points")) & (F.coalesce(F.col("alt_ft") < 15000, F.lit(False)) | farther)).alias("came"),
     )
+    closing = F.col("first_air_km") - F.col("last_air_km")
     status = (
-        F.when(F.col("n_points") == 0, "insufficient")
-        .when(F.col("after_low") - F.col("low") > 2000, "overflight")
-        .when(F.col("last_ground") & (F.col("last_km") <= fence_km), F.when(F.col("last_speed") > 100, "insufficient").when(F.coalesce("came", F.lit(False)), "confirmed").otherwise("insufficient"))
-        .when((F.col("airborne") >= 3) & (F.col("first_alt") - F.col("last_air_alt") > 500) & (F.col("first_km") - F.col("last_km") > 2) & (F.col("last_km") <= 2 * fence_km) & (F.col("last_air_alt") <= 3000), "probable")
+        F.when(F.col("after_low") - F.col("low") > 2000, "overflight")
+        .when(F.col("last_ground") & (F.col("last_km") <= fence_km), F.when(F.col("last_speed") > 100, "insufficient").when(F.col("came"), "confirmed").otherwise("insufficient"))
+        .when((F.col("airborne") >= 3) & (F.col("first_alt") - F.col("last_alt") > 500) & (closing > 2) & (F.col("last_air_km") <= 2 * fence_km) & (F.col("last_alt") <= 3000) & ~F.col("unsure"), "probable")
         .when(F.col("last_alt") >= 15000, "overflight")
-        .when(F.col("last_km") < F.col("first_km"), "approaching")
+        .when(closing > 0, "approaching")
         .otherwise("observed")
     )
     return facts.withColumn("status", status)

@@ -64,11 +64,11 @@ def thin_groups(spark, d):
     return A.thin(_read(spark, d, "documents"), "source", "lang", "text", chars=160000)
 
 
-@query("""
-WITH i AS (SELECT page_id AS id, url, split_part(regexp_extract(html, '<title>([^<]*)', 1), ' ', 1) AS title FROM pages)
+@query(r"""
+WITH i AS (SELECT page_id AS id, url, trim(regexp_replace(lower(regexp_replace(regexp_extract(html, '<title>([^<]*)', 1), '\s+[-|]\s+[^-|]{1,40}$', '')), '[^\p{L}\p{N}_]+', ' ', 'g')) AS title FROM pages)
 SELECT id, CASE WHEN url IN (SELECT url FROM i WHERE id % 3 = 0) THEN 'seen' WHEN title IN (SELECT title FROM i WHERE id % 5 = 0) THEN 'update' ELSE 'new' END AS state FROM i""")
 def seen_states(spark, d):
-    pages = _read(spark, d, "pages").select(F.col("page_id").alias("id"), "url", F.substring_index(F.regexp_extract("html", "<title>([^<]*)", 1), " ", 1).alias("title"))
+    pages = _read(spark, d, "pages").select(F.col("page_id").alias("id"), "url", T.title_key(F.regexp_extract("html", "<title>([^<]*)", 1)).alias("title"))
     return A.seen_state(pages, pages.where("id % 3 = 0"), pages.where("id % 5 = 0"))
 
 

@@ -30,15 +30,15 @@ def _time(column: str):
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as items: the first line is the title, 280 characters of the rest the summary."""
+    """Documents as items: the first line is the title, the rest the summary."""
     docs = _read(spark, d, "documents")
     return docs.select("doc_id", "source", "text", T.first_line(F.col("text")).alias("title"), T.rest_of(F.col("text")).alias("summary"))
 
 
-_ITEMS = "items AS (SELECT doc_id, source, text, split_part(text, chr(10), 1) AS title, substr(substr(text, length(split_part(text, chr(10), 1)) + 2), 1, 280) AS summary FROM documents)"
+_ITEMS = "items AS (SELECT doc_id, source, text, split_part(text, chr(10), 1) AS title, substr(text, length(split_part(text, chr(10), 1)) + 2) AS summary FROM documents)"
 _GROUPS = f"""
 WITH RECURSIVE {_ITEMS},
-sets AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(title || ' ' || summary), '[a-z0-9]{{5,}}'))) AS t FROM items),
+sets AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(title || ' ' || substr(summary, 1, 280)), '[a-z0-9]{{5,}}'))) AS t FROM items),
 distinct_sets AS (SELECT t, min(doc_id) AS id, len(t) AS n FROM sets WHERE len(t) >= 4 GROUP BY t),
 spread AS (SELECT id, n, unnest(t) AS token FROM distinct_sets),
 shared AS (SELECT a.id AS a, b.id AS b, count(*) AS s, any_value(a.n) AS n, any_value(b.n) AS m FROM spread a JOIN spread b ON a.token = b.token AND a.id < b.id GROUP BY a.id, b.id HAVING count(*) >= 4),
@@ -51,7 +51,7 @@ groups AS (SELECT s.doc_id, coalesce(l.label, s.doc_id) AS group_id FROM sets s
 
 
 def _grouped(spark: SparkSession, d: str) -> DataFrame:
-    items = _items(spark, d).select(F.col("doc_id").alias("id"), T.tokens(F.concat_ws(" ", "title", "summary")).alias("tokens"))
+    items = _items(spark, d).select(F.col("doc_id").alias("id"), T.tokens(F.concat_ws(" ", "title", F.substring("summary", 1, 280))).alias("tokens"))
     return P.event_groups(items)
 
 
@@ -81,6 +81,28 @@ def group_facts_ranked(spark, d):
     return P.ranked_groups(_facts(spark, d))
 
 
+_PENDING = _GROUPS.replace("FROM documents)", "FROM documents WHERE doc_id % 160 <= 120)", 1) + """,
+sized AS (SELECT g.*, i.source, i.summary, i.title, count(*) OVER (PARTITION BY g.group_id) AS n FROM groups g JOIN items i USING (doc_id)),
+notices AS (SELECT doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id % 160, doc_id) - 1) // 6 AS chunk, source FROM sized WHERE n = 1 AND regexp_matches(title, '^[A-C]')),
+rounds AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY source, chunk) AS first, count(*) OVER (PARTITION BY source, chunk) AS n FROM notices),
+kinds AS (SELECT s.doc_id, s.source, s.summary, coalesce(r.first, s.group_id) AS group_id, coalesce(r.n > 1, false) AS roundup FROM sized s LEFT JOIN rounds r USING (doc_id)),
+told AS (SELECT *, doc_id % 7 = 0 AS seen FROM kinds),
+pending AS (SELECT group_id, bool_or(roundup) AS roundup, bool_or(seen) AS is_update FROM told GROUP BY group_id HAVING NOT bool_and(seen)),
+best AS (SELECT t.*, row_number() OVER (PARTITION BY group_id ORDER BY length(summary) DESC, doc_id) AS place FROM told t),
+facts AS (SELECT p.group_id, p.roundup, p.is_update, count(*) AS n_members, count(DISTINCT b.source) AS n_sources, arg_min(b.doc_id, b.place) AS lead_id, p.roundup OR bool_or(length(trim(b.summary)) >= 25) AS material, min(b.doc_id % 160) AS newest_h FROM pending p JOIN best b USING (group_id) WHERE b.place <= 6 GROUP BY p.group_id, p.roundup, p.is_update)
+SELECT *, row_number() OVER (ORDER BY material DESC, n_sources > 1 DESC, newest_h, group_id)::INTEGER AS rank FROM facts QUALIFY rank <= 12
+"""
+
+
+@query(_PENDING)
+def pending_groups(spark, d):
+    """Fresh items to ranked groups: stories, roundups of lone notices, nothing that is all known."""
+    age = F.col("doc_id") % 160
+    items = _items(spark, d).where(G.freshness(F.timestamp_add("HOUR", (-age).cast("int"), F.lit(AS_OF).cast("timestamp_ntz")), _as_of(spark), F.lit("x")) == "fresh")
+    rows = items.select(F.col("doc_id").alias("id"), "source", age.alias("age"), "title", "summary", (F.col("doc_id") % 7 == 0).alias("seen"), T.tokens(F.concat_ws(" ", "title", F.substring("summary", 1, 280))).alias("tokens"))
+    return P.pending_groups(rows, F.col("title").rlike("^[A-C]")).select("group_id", "roundup", "is_update", "n_members", "n_sources", "lead_id", "material", F.col("newest").alias("newest_h"), "rank")
+
+
 @query(f"""
 WITH reasons AS (SELECT event_type, CASE WHEN trim(event_type) = '' THEN 'untitled' WHEN ts IS NULL THEN 'fresh'
   WHEN date_diff('second', ts, TIMESTAMP '{AS_OF}') > 432000 THEN 'old' WHEN date_diff('second', ts, TIMESTAMP '{AS_OF}') < -21600 THEN 'future' ELSE 'fresh' END AS reason FROM events)
@@ -113,7 +135,7 @@ def distinct_links(spark, d):
 
 
 @query("""
-SELECT event_id, value IS NULL OR event_id % 3 = 0 AS inferred, strftime(CASE WHEN event_id % 3 = 0 THEN min(ts) OVER (PARTITION BY user_id, event_type) ELSE ts END, '%Y-%m-%d %H:%M:%S') AS stamp FROM events""".replace("value IS NULL OR ", ""))
+SELECT event_id, event_id % 3 = 0 AS inferred, strftime(CASE WHEN event_id % 3 = 0 THEN min(ts) OVER (PARTITION BY user_id, event_type) ELSE ts END, '%Y-%m-%d %H:%M:%S') AS stamp FROM events""")
 def first_seen_stamp(spark, d):
     events = _read(spark, d, "events").withColumn("dated", F.when(F.col("event_id") % 3 != 0, F.col("ts")))
     return I.first_seen(events, ["user_id", "event_type"], "dated", "ts").select("event_id", "inferred", _time("dated").alias("stamp"))
@@ -298,8 +320,7 @@ def series_context(spark, d):
 @query("SELECT event_id FROM events WHERE date_diff('minute', date_trunc('minute', ts), TIMESTAMP '2024-01-25 00:00:00') <= 10080 ORDER BY ts DESC, event_id DESC LIMIT 2000")
 def retained_rows(spark, d):
     events = _read(spark, d, "events").withColumn("minute", F.date_trunc("minute", "ts").cast("timestamp_ntz"))
-    young = events.where(F.timestamp_diff("MINUTE", "minute", F.lit("2024-01-25 00:00:00").cast("timestamp_ntz")) <= 10080)
-    return young.orderBy(F.desc("ts"), F.desc("event_id")).limit(2000).select("event_id")
+    return M.retained(events, "minute", F.lit("2024-01-25 00:00:00").cast("timestamp_ntz"), 7, 2000, [F.desc("ts"), F.desc("event_id")]).select("event_id")
 
 
 _DELTA = """
@@ -328,18 +349,14 @@ def upserted_index(spark, d):
     return I.upserted(old, new, "c_custkey")
 
 
-_QUOTE = r"""
-WITH q AS (SELECT item_id, array_to_string(list_slice(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), 1, 14), ' ') AS quote FROM benchmark)
-SELECT item_id, doc_id FROM q JOIN documents ON contains(text, quote) WHERE length(quote) >= 8"""
-
-
-@query(_QUOTE)
+@query(r"""
+WITH q AS (SELECT item_id, unnest(string_split(text, chr(10))) AS quote FROM benchmark)
+SELECT DISTINCT item_id, trim(quote) AS quote, doc_id FROM q JOIN documents ON contains(text, trim(quote)) WHERE length(trim(quote)) >= 8""")
 def quote_verification(spark, d):
-    quotes = _read(spark, d, "benchmark").select("item_id", F.array_join(F.slice(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), 2, 12), " ").alias("quote"))
-    return G.verified_quotes(quotes, _read(spark, d, "documents").select("doc_id", "text"), "quote", "text").select("item_id", "doc_id")
-
-
-ORACLE_SQL["quote_verification"] = _QUOTE.replace("1, 14", "2, 13")
+    """Each line of a benchmark item is a quote."""
+    lines = _read(spark, d, "benchmark").select("item_id", F.explode(F.split("text", "\n")).alias("quote"))
+    quotes = lines.select("item_id", F.trim("quote").alias("quote")).distinct()
+    return G.verified_quotes(quotes, _read(spark, d, "documents").select("doc_id", "text"), "quote", "text", "doc_id").select("item_id", "quote", "doc_id")
 
 
 @query(f"""
@@ -443,17 +460,18 @@ def _points(spark, d):
     """Events as points of tracks: a user's day is a track, the value sets height and distance."""
     events = _read(spark, d, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
     ground = F.col("event_type") == "purchase"
-    return events.select("user_id", "day", "ts", F.col("event_id").alias("point_id"), F.when(~ground, F.col("value") * 300).alias("alt_ft"), ground.alias("on_ground"), (F.col("value") / 4).alias("distance_km"), (F.col("value") * 3).alias("ground_speed"))
+    return events.select("user_id", "day", "ts", F.col("event_id").alias("point_id"), F.when(~ground, F.col("value") * 300).alias("alt_ft"), ground.alias("on_ground"), (F.col("value") / 4).alias("distance_km"), (F.col("value") * 3).alias("ground_speed"), (F.col("event_id") % 2 == 0).alias("low_confidence"))
 
 
 @query("""
 WITH p AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, ts, event_id, CASE WHEN event_type <> 'purchase' THEN value * 300 END AS alt, event_type = 'purchase' AS g, value / 4 AS km, value * 3 AS v,
   row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) AS n FROM events),
-l AS (SELECT user_id, day, arg_min(n, (alt, n)) FILTER (alt IS NOT NULL) AS ln, min(alt) AS low FROM p GROUP BY ALL),
-f AS (SELECT user_id, day, count(*) AS n_points, max(alt) FILTER (n > ln) AS after_low, any_value(low) AS low, arg_max(g, n) AS lg, arg_max(v, n) AS lv, arg_max(km, n) AS lk, arg_min(km, n) AS fk, arg_max(coalesce(alt, 0), n) AS la, count(alt) AS air,
-  arg_min(alt, n) FILTER (alt IS NOT NULL) AS fa, arg_max(alt, n) FILTER (alt IS NOT NULL) AS laa, bool_or(NOT g AND (alt < 15000 OR km > 5)) AS came FROM p JOIN l USING (user_id, day) GROUP BY user_id, day)
-SELECT user_id, day, n_points, CASE WHEN after_low - low > 2000 THEN 'overflight' WHEN lg AND lk <= 5 THEN CASE WHEN lv > 100 THEN 'insufficient' WHEN coalesce(came, false) THEN 'confirmed' ELSE 'insufficient' END
-  WHEN air >= 3 AND fa - laa > 500 AND fk - lk > 2 AND lk <= 10 AND laa <= 3000 THEN 'probable' WHEN la >= 15000 THEN 'overflight' WHEN lk < fk THEN 'approaching' ELSE 'observed' END AS status FROM f""")
+l AS (SELECT user_id, day, arg_min(n, (alt, n)) FILTER (alt IS NOT NULL) AS ln, min(alt) AS low, max(n) AS n_points, arg_max(km, n) AS lk FROM p GROUP BY ALL),
+f AS (SELECT user_id, day, any_value(n_points) AS n_points, max(alt) FILTER (n > ln) AS after_low, any_value(low) AS low, arg_max(g, n) AS lg, arg_max(v, n) AS lv, any_value(lk) AS lk, count(alt) AS air,
+  arg_min(alt, n) FILTER (alt IS NOT NULL) AS fa, arg_max(alt, n) FILTER (alt IS NOT NULL) AS la, arg_min(km, n) FILTER (alt IS NOT NULL) AS fk, arg_max(km, n) FILTER (alt IS NOT NULL) AS ak, bool_and(event_id % 2 = 0) FILTER (alt IS NOT NULL) AS unsure,
+  bool_or(n < n_points AND (coalesce(alt < 15000, false) OR km > lk)) AS came FROM p JOIN l USING (user_id, day) GROUP BY user_id, day)
+SELECT user_id, day, n_points::INTEGER AS n_points, CASE WHEN after_low - low > 2000 THEN 'overflight' WHEN lg AND lk <= 5 THEN CASE WHEN lv > 100 THEN 'insufficient' WHEN came THEN 'confirmed' ELSE 'insufficient' END
+  WHEN air >= 3 AND fa - la > 500 AND fk - ak > 2 AND ak <= 10 AND la <= 3000 AND NOT unsure THEN 'probable' WHEN la >= 15000 THEN 'overflight' WHEN fk - ak > 0 THEN 'approaching' ELSE 'observed' END AS status FROM f""")
 def track_status(spark, d):
     return K.track_status(_points(spark, d), ["user_id", "day"]).select("user_id", "day", "n_points", "status")
 
@@ -466,13 +484,9 @@ def rate_limited(spark, d):
 
 @query(None)
 def title_ratio_pairs(spark, d):
-    """Title pairs that share three tokens, with their sequence ratio; equal titles meet once."""
-    items = _items(spark, d).withColumn("tokens", T.tokens(F.col("title")))
-    reps = items.groupBy("title", "tokens").agg(F.min("doc_id").alias("id")).where(F.size("tokens") >= 4)
-    links = P.same_event_links(reps.select("id", "tokens"))
-    titles = reps.select("id", "title")
-    met = links.join(titles.toDF("src", "a"), "src").join(titles.toDF("dst", "b"), "dst")
-    return met.withColumn("ratio", T.sequence_ratio("a", "b")).where("ratio >= 0.75").select("src", "dst", "ratio")
+    """New titles (ids divisible by 100) against all titles; equal titles meet once."""
+    titles = _items(spark, d).groupBy(T.title_key(F.col("title")).alias("title")).agg(F.min("doc_id").alias("id")).where("title <> ''")
+    return P.similar_titles(titles.where("id % 100 = 0"), titles)
 
 
 @query(None)
@@ -489,9 +503,8 @@ SELECT c_custkey, s_suppkey, round(km, 3) AS distance_km FROM m WHERE km <= 150"
 def geo_range_join(spark, d):
     points = _read(spark, d, "customer").select("c_custkey", (F.col("c_nationkey") + 20).alias("lat"), (F.col("c_custkey") % 40 + 100).alias("lon"))
     places = _read(spark, d, "supplier").select("s_suppkey", (F.col("s_nationkey") + 20).alias("p_lat"), (F.col("s_suppkey") % 40 + 100).alias("p_lon"), F.lit(150.0).alias("radius_km"))
-    box = (F.abs(F.col("lat") - F.col("p_lat")) <= 2) & (F.abs(F.col("lon") - F.col("p_lon")) <= 3)
-    met = H.within_radius(points, places, T.haversine_km(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon")), box)
+    met = H.within_radius(points, places, ("lat", "p_lat"), ("lon", "p_lon"), T.haversine_km(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon")))
     return met.select("c_custkey", "s_suppkey", F.round("distance_km", 3).alias("distance_km"))
 
 
-from aeroflow.plans import article_queries as _articles, site_queries as _site  # noqa: E402,F401
+from aeroflow.plans import article_queries as _articles, desk_queries as _desk, publish_queries as _publish, site_queries as _site  # noqa: E402,F401

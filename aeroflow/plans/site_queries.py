@@ -95,10 +95,10 @@ def compact_summaries(spark, d):
 
 
 @query("""
-WITH t AS (SELECT conv_id, substr(text, 1, 100) AS t FROM conversations)
+WITH t AS (SELECT conv_id, text AS t FROM conversations)
 SELECT conv_id, bool_and(length(t) BETWEEN 10 AND 120 AND contains(lower(t), 'e')) AND count(*) = 4 AND count(DISTINCT t) = 4 AS valid FROM t GROUP BY conv_id""")
 def suggestion_sets(spark, d):
-    turns = _read(spark, d, "conversations").select("conv_id", F.substring("text", 1, 100).alias("t"), F.lit("E").alias("anchor"))
+    turns = _read(spark, d, "conversations").select("conv_id", F.col("text").alias("t"), F.lit("E").alias("anchor"))
     return S.valid_sets(turns, "conv_id", "t", "anchor", 4)
 
 
@@ -120,11 +120,11 @@ def latest_closed(spark, d):
 
 
 @query("""
-WITH a AS (SELECT doc_id, text AS u, substr(text, 1, 40) AS t FROM documents WHERE doc_id % 2 = 0), r AS (SELECT doc_id, text AS u, substr(text, 1, 40) AS t FROM documents WHERE doc_id % 2 = 1),
+WITH a AS (SELECT doc_id, text AS u, split_part(text, chr(10), 1) AS t FROM documents WHERE doc_id % 2 = 0), r AS (SELECT doc_id, text AS u, split_part(text, chr(10), 1) AS t FROM documents WHERE doc_id % 2 = 1),
 m AS (SELECT a.doc_id, 0 AS rule, r.doc_id AS match FROM a JOIN r USING (u) UNION ALL SELECT a.doc_id, 1, r.doc_id FROM a JOIN r USING (t))
 SELECT doc_id, match, rule FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY rule, match) = 1""")
 def update_targets(spark, d):
-    docs = _read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("u"), F.substring("text", 1, 40).alias("t"))
+    docs = _read(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("u"), T.first_line(F.col("text")).alias("t"))
     return S.best_match(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"), "doc_id", "doc_id", "u", "t")
 
 
@@ -158,8 +158,7 @@ def changes_by_day(spark, d):
 
 @query(r"""
 WITH t AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN o_custkey % 50 || ' aircraft and ' || o_orderkey % 9 || ' ships' WHEN 1 THEN 'Aircraft: ' || o_custkey % 50 || '; ships: ' || o_orderkey % 9 ELSE 'none' END AS t FROM orders)
-SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN regexp_extract(t, '(\d+) aircraft|Aircraft: (\d+)', CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 2 END)::INT END AS aircraft,
-  CASE WHEN o_orderkey % 3 < 2 THEN regexp_extract(t, '(\d+) ships|ships: (\d+)', CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 2 END)::INT END AS ships FROM t""".replace("regexp_extract(t, '(\\d+) aircraft|Aircraft: (\\d+)', CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 2 END)::INT", "regexp_extract(t, '(\\d+)[^0-9]+(\\d+)', 1)::INT").replace("regexp_extract(t, '(\\d+) ships|ships: (\\d+)', CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 2 END)::INT", "regexp_extract(t, '(\\d+)[^0-9]+(\\d+)', 2)::INT"))
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN regexp_extract(t, '(\d+)[^0-9]+(\d+)', 1)::INT END AS aircraft, CASE WHEN o_orderkey % 3 < 2 THEN regexp_extract(t, '(\d+)[^0-9]+(\d+)', 2)::INT END AS ships FROM t""")
 def activity_counts(spark, d):
     n, c, s = F.col("o_orderkey") % 3, (F.col("o_custkey") % 50).cast("string"), (F.col("o_orderkey") % 9).cast("string")
     text = F.when(n == 0, F.concat(c, F.lit(" aircraft and "), s, F.lit(" ships"))).when(n == 1, F.concat(F.lit("Aircraft: "), c, F.lit("; ships: "), s)).otherwise("none")

@@ -17,27 +17,30 @@ ARRIVAL = StructType([StructField("hex", StringType()), StructField("airport", S
 
 
 def assess(points: list[tuple], fence_km: float = 5.0) -> str:
-    """What a track of (ts, alt_ft, on_ground, distance_km, ground_speed) shows, in order of time.
+    """What a track of (ts, alt_ft, on_ground, distance_km, ground_speed[, low_confidence]) shows, in order of time.
 
     The same rules as the batch form ``operators.tracks.track_status``.
     """
-    heights = [(i, p[1]) for i, p in enumerate(points) if p[1] is not None]
+    air = [(i, p) for i, p in enumerate(points) if p[1] is not None]
     if not points:
         return "insufficient"
-    if heights:
-        low_at, low = min(heights, key=lambda x: (x[1], x[0]))
-        if max((h for i, h in heights if i > low_at), default=low) - low > 2000:
+    if air:
+        low_at, low = min(((i, p[1]) for i, p in air), key=lambda x: (x[1], x[0]))
+        if max((p[1] for i, p in air if i > low_at), default=low) - low > 2000:
             return "overflight"
-    last, first = points[-1], points[0]
+    last = points[-1]
     if last[2] and last[3] <= fence_km:
-        came = any(not p[2] and ((p[1] is not None and p[1] < 15000) or p[3] > fence_km) for p in points)
+        came = any((p[1] is not None and p[1] < 15000) or p[3] > last[3] for p in points[:-1])
         return "insufficient" if last[4] > 100 or not came else "confirmed"
-    sunk = len(heights) >= 3 and heights[0][1] - heights[-1][1] > 500 and heights[-1][1] <= 3000
-    if sunk and min(points, key=lambda p: p[0])[3] - last[3] > 2 and last[3] <= 2 * fence_km:
+    if not air:
+        return "observed"
+    (_, begin), (_, end) = air[0], air[-1]
+    sure = not all(len(p) > 5 and p[5] for _, p in air)
+    if len(air) >= 3 and begin[1] - end[1] > 500 and begin[3] - end[3] > 2 and end[3] <= 2 * fence_km and end[1] <= 3000 and sure:
         return "probable"
-    if (last[1] or 0) >= 15000:
+    if end[1] >= 15000:
         return "overflight"
-    return "approaching" if last[3] < first[3] else "observed"
+    return "approaching" if end[3] < begin[3] else "observed"
 
 
 class _Tracks(StatefulProcessor):

@@ -39,4 +39,22 @@ def test_material_ignores_one_echo_of_the_title(spark):
 def test_quotes_are_found_inside_texts(spark):
     quotes = spark.createDataFrame([(1, "one two three four five six seven eight nine"), (2, "short")], "qid int, q string")
     texts = spark.createDataFrame([(1, "zero one two three four five six seven eight nine ten"), (2, "one two three")], "id int, text string")
-    assert [tuple(r) for r in G.verified_quotes(quotes, texts, "q", "text").select("qid", "id").collect()] == [(1, 1)]
+    assert [tuple(r) for r in G.verified_quotes(quotes, texts, "q", "text", "id").select("qid", "id").collect()] == [(1, 1)]
+
+
+def test_summaries_end_at_sentences(spark):
+    from pyspark.sql import functions as F
+
+    from aeroflow.operators.site import sentence_safe
+
+    start = "word " * 30
+    rows = [
+        ("short  one\n", "short one"),
+        (start + "and more to say here, so that it goes on. Then more" + " x" * 200, (start + "and more to say here, so that it goes on.")),
+        ("Begin. " + "word " * 80, "Begin."),
+        ("word, " * 80, "word, " * 28 + "word…"),
+        ("v1.5 is " * 40, None),
+    ]
+    got = [r.s for r in spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string").orderBy("i").select(sentence_safe(F.col("t")).alias("s")).collect()]
+    for (text, want), found in zip(rows, got):
+        assert found == want if want else found.endswith("…") and len(found) <= 181

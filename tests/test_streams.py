@@ -48,3 +48,11 @@ def test_stream_windows_equal_batch_windows(spark, tmp_path):
     batch = closed(events, "ts", F.lit(str(newest)).cast("timestamp_ntz")).groupBy("window.start", "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     want = {(r.start, r.event_type): (r.n, r.total) for r in batch.collect()}
     assert got and got == want
+
+
+def test_low_confidence_and_closing():
+    sinking = [(*point(i, a, km=k), True) for i, (a, k) in enumerate([(9000.0, 40.0), (4500.0, 18.0), (2200.0, 5.0)])]
+    assert assess(sinking) == "approaching"
+    assert assess(sinking[:2] + [(*sinking[2][:5], False)]) == "probable"
+    assert assess([point(0, 16000.0, km=1.0), point(5, None, True, 1.5, 15.0)]) == "insufficient"  # came from nowhere farther
+    assert assess([point(0, 16000.0, km=2.0), point(5, None, True, 1.5, 15.0)]) == "confirmed"
