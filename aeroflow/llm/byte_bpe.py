@@ -160,6 +160,7 @@ def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded by the rank file and decoded again: doc_id, n_tokens and both digests; null counts as empty, repeated rows stay."""
     import public_tokenizers
 
     return digests(encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))

@@ -313,4 +313,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
 
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page: page_id, url, text and n_chars; null html gives an empty text."""
     return extract(table(spark, sf_dir, "pages"))

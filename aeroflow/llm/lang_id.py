@@ -21,6 +21,10 @@ BUCKETS = 1 << 15
 TRAIN_ROWS = 3000
 MIN_PER_LANGUAGE = 20
 
+#: Languages that are learned at most: those with the most training documents, of equally frequent
+#: ones the first. This bounds the weights on the driver and in each worker.
+MAX_LANGUAGES = 256
+
 #: One in so many of the fitted documents serves to find the temperature only.
 CALIBRATION = 5
 
@@ -177,7 +181,7 @@ def _sample(training: DataFrame, sizes: dict[str, int]) -> list[tuple[str, np.nd
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on all rows of ``docs`` that have a text and a language.
+    """Fit on all rows of ``docs`` that have a text and one of the MAX_LANGUAGES commonest languages.
 
     Document frequencies cover all of them. The weights are fitted by FTRL on a sample of
     TRAIN_ROWS documents at most (more only if there are over TRAIN_ROWS / MIN_PER_LANGUAGE
@@ -185,10 +189,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     kept = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     kept = kept.where("text is not null and lang is not null")
-    sizes = {r.lang: r["count"] for r in kept.groupBy("lang").count().collect()}
+    sizes = {r.lang: r["count"] for r in kept.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
     if not sizes:
         return Model([], np.zeros(BUCKETS), np.zeros((BUCKETS, 0)), 1.0)
-    frequencies, n = _document_frequencies(kept)
+    frequencies, n = _document_frequencies(kept.where(F.col("lang").isin(*sizes)))
     idf = np.log((1 + n) / (1 + frequencies)) + 1
     languages = sorted(sizes)
     place = {x: i for i, x in enumerate(languages)}
@@ -229,6 +233,7 @@ def held_out(id_col: str = "doc_id"):
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learned from the documents that are not held out; und without a letter."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = identify(docs, train(docs.where(~held_out())))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

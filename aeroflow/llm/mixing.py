@@ -140,6 +140,7 @@ def mixed_documents(
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents by the contract's weights: size, source_size, target and taken words of each row."""
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -238,5 +238,6 @@ def classify(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_
 
 
 def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text by the scorer that is trained on the posterior of the heuristic labellers."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return classify(docs, train(docs))

@@ -225,6 +225,7 @@ def good_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict for every whole text; null texts fail the base rules."""
     return judged(table(spark, sf_dir, "documents")).drop("class_distance", "word_distance")
 
 

@@ -220,5 +220,6 @@ def deduplicated(docs: DataFrame, max_bits: int = 2, id_col: str = "doc_id", tex
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every whole text and the smallest doc_id that its links reach."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

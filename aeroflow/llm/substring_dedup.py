@@ -559,6 +559,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share a passage with another: their class, the first documents of their passages, and the words repeated and removed."""
     found = repeated_passages(table(spark, sf_dir, "documents"))
     firsts = F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["first_id"])))
     return found.select(F.col("id").alias("doc_id"), "class_id", firsts.alias("first_ids"), F.size("spans").alias("n_spans"), F.col("n_words").alias("repeated_words"), F.col("n_removed").alias("removed_words"))

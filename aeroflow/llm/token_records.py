@@ -228,6 +228,7 @@ def digests(records: DataFrame) -> DataFrame:
 
 
 def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as token records and read back: start, n_tokens and checksum of each."""
     import public_tokenizers
 
     manifest = write_token_records(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, new_path(spark, "tokens"))

@@ -328,6 +328,7 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", v
 
 
 def op10_cover_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best rows for each vector whose id is divisible by 50."""
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 

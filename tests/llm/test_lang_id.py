@@ -54,3 +54,67 @@ def test_counts_ignore_case_and_marks():
     assert (L.counts("Le chat, 12 noir") == L.counts("le CHAT noir")).all()
     assert L.counts("x" * 100_000).sum() == 100_000 + 99_999 + 99_998
     assert L.counts("a") is not None
+
+
+def test_counts_and_frequencies_by_direct_loops(spark):
+    """N-grams, document frequencies and TF-IDF against loops over characters."""
+    texts = ["Abc  d1e", "abc", None, "42", "é!é", "abc abc"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    found, n = L._document_frequencies(df.where("text is not null"))
+
+    def buckets(text):
+        letters = "".join(c if c.isalpha() else " " for c in text.lower())
+        while "  " in letters:
+            letters = letters.replace("  ", " ")
+        x = [ord(c) for c in letters]
+        m = lambda v: v & 0xFFFFFFFF
+        one = [m(a * 0x9E3779B1) for a in x]
+        two = [m(m(p * 31) + m(b * 0x85EBCA77)) for p, b in zip(one, x[1:])]
+        three = [m(m(p * 31) + m(c * 0xC2B2AE3D)) for p, c in zip(two, x[2:])]
+        return [g >> 17 for g in [*one, *(m(g * 0x27D4EB2F) for g in two), *(m(g * 0x165667B1) for g in three)]]
+
+    lettered = [t for t in texts if t and any(c.isalpha() for c in t)]
+    want = np.zeros(L.BUCKETS)
+    for t in lettered:
+        for b in set(buckets(t)):
+            want[b] += 1
+        count = L.counts(t)
+        assert count.sum() == len(buckets(t)) and all(count[b] == buckets(t).count(b) for b in set(buckets(t)))
+    assert n == len(lettered) and (found == want).all()
+
+
+def test_ftrl_updates_by_direct_loops():
+    """Each coordinate by the published update, one at a time."""
+    rng = random.Random(4)
+    model, z, n = L.Ftrl(6, 3, l1=1.0), [[0.0] * 3 for _ in range(6)], [[0.0] * 3 for _ in range(6)]
+
+    def weight(i, k):
+        if abs(z[i][k]) <= model.l1:
+            return 0.0
+        sign = 1 if z[i][k] > 0 else -1
+        return -(z[i][k] - sign * model.l1) / ((model.beta + n[i][k] ** 0.5) / model.alpha + model.l2)
+
+    for _ in range(80):
+        at = sorted(rng.sample(range(6), 3))
+        x, target = [rng.random() for _ in at], rng.randrange(3)
+        w = [[weight(i, k) for k in range(3)] for i in at]
+        logits = [sum(v * w[j][k] for j, v in enumerate(x)) for k in range(3)]
+        e = [np.exp(v - max(logits)) for v in logits]
+        for j, i in enumerate(at):
+            for k in range(3):
+                g = x[j] * (e[k] / sum(e) - (k == target))
+                sigma = ((n[i][k] + g * g) ** 0.5 - n[i][k] ** 0.5) / model.alpha
+                z[i][k] += g - sigma * w[j][k]
+                n[i][k] += g * g
+        model.update(np.array(at), np.array(x), target)
+    assert np.allclose(model.weights(), [[weight(i, k) for k in range(3)] for i in range(6)])
+    assert (model.weights() == 0).any()
+
+
+def test_a_very_long_text_and_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(L, "MAX_LANGUAGES", 2)
+    rows = [(i, t, x) for i, t, x, _, _ in documents(300)] + [(1000, "der die das " * 40_000, "de")]
+    model = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 2 and "en" in model.languages
+    got = L.identify(spark.createDataFrame(rows[-1:], "doc_id long, text string, lang string"), model).collect()
+    assert got[0].lang_pred in model.languages and 0 <= got[0].score <= 1

@@ -53,3 +53,41 @@ def test_scores_separate(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert Q.classify(docs, Q.train(docs)).collect() == []
+
+
+def test_em_against_direct_loops():
+    """Posteriors and accuracies document by document, without patterns and counts."""
+    import random
+
+    import numpy as np
+
+    from aeroflow.llm import quality_model as Q
+
+    rng = random.Random(6)
+    docs = []
+    for _ in range(400):
+        good = rng.random() < 0.7
+        docs.append([0 if rng.random() < 0.3 else (1 if good == (rng.random() < a) else -1) for a in (0.9, 0.8, 0.65, 0.95)])
+    names = sorted({tuple(x) for x in docs})
+    model = Q.fit_labels(np.array(names), np.array([sum(tuple(x) == n for x in docs) for n in names]), rounds=7)
+    p = [min(0.98, max(0.02, 0.5 + sum(x) / 8)) for x in docs]
+    for _ in range(7):
+        prior = min(1 - 1e-3, max(1e-3, sum(p) / len(p)))
+        right = []
+        for j in range(4):
+            cell = {(kind, v): 1.0 + sum(w for x, w in zip(docs, p if kind else [1 - q for q in p]) if x[j] == v) for kind in (0, 1) for v in (-1, 1)}
+            right.append([max(0.5, cell[0, -1] / (cell[0, -1] + cell[0, 1])), max(0.5, cell[1, 1] / (cell[1, -1] + cell[1, 1]))])
+        new = []
+        for x in docs:
+            bad, good = 1 - prior, prior
+            for j, v in enumerate(x):
+                if v:
+                    bad *= right[j][0] if v < 0 else 1 - right[j][0]
+                    good *= right[j][1] if v > 0 else 1 - right[j][1]
+            new.append(good / (good + bad))
+        done = max(abs(a - b) for a, b in zip(new, p)) < 1e-9
+        p = new
+        if done:
+            break
+    assert np.allclose(model.posterior(np.array(docs)), p, atol=1e-6)
+    assert abs(model.prior - prior) < 1e-6
