@@ -150,3 +150,65 @@ def due_days(slots: DataFrame, done: DataFrame, day: str, version: Column) -> Da
 def routed_candidates(rows: DataFrame, threshold: int = 60) -> Column:
     """history below the threshold, rejected where a second source disagrees, else queued."""
     return F.when((F.col("score") < threshold) & ~F.col("watched"), "history").when(F.col("second") == "conflict", "rejected").otherwise("queued")
+
+
+def listing_items(pages: DataFrame, rules: DataFrame, page: str, url: str, html: str) -> DataFrame:
+    """Item rows of listing pages by their site's pattern; pages without an item give one row with none.
+
+    ``rules``: suffix, pattern (group 1 the link, group 2 the title), a dimension kept by hand; the
+    longest suffix of a page's host counts. Items are numbered from 1 in page order.
+    """
+    host = F.lower(F.regexp_extract(F.col(url), "^https?://([^/?#]+)", 1))
+    hosts = pages.select(host.alias("_host")).distinct()
+    fits = (F.col("_host") == F.col("suffix")) | F.endswith("_host", F.concat(F.lit("."), "suffix"))
+    chosen = hosts.join(F.broadcast(rules), fits).groupBy("_host").agg(F.max_by("pattern", F.length("suffix")).alias("pattern"))
+    met = pages.select(page, F.col(html).alias("_html"), host.alias("_host")).join(chosen, "_host")
+    both = F.arrays_zip(F.regexp_extract_all("_html", F.col("pattern"), F.lit(1)).alias("link"), F.regexp_extract_all("_html", F.col("pattern"), F.lit(2)).alias("title"))
+    spread = met.select(page, F.posexplode_outer(both).alias("n", "item"))
+    return spread.select(page, (F.col("n") + 1).alias("n"), F.col("item.link").alias("link"), F.trim("item.title").alias("title"))
+
+
+def annotated(rows: DataFrame, names: DataFrame, record: str, text: str) -> DataFrame:
+    """Texts with the code after the first mention of the first name that they hold.
+
+    ``names``: name, code, a dimension kept by hand. Of names at one place the longest counts; a
+    text that already tells the code there, or holds no name, stays as it is.
+    """
+    at = F.instr(F.lower(F.col(text)), F.lower("name"))
+    hit = rows.select(record, text).join(F.broadcast(names), at > 0).select(record, at.alias("at"), F.length("name").alias("size"), "code")
+    best = hit.groupBy(record).agg(F.min(F.struct("at", (-F.col("size")).alias("less"), "code")).alias("m"))
+    met = rows.join(best, record, "left")
+    end = F.col("m.at") - F.col("m.less")
+    told = F.startswith(F.substring(F.col(text), end, F.length(text)), F.concat(F.lit(" ("), "m.code", F.lit(")")))
+    added = F.concat(F.substring(F.col(text), F.lit(1), end - 1), F.lit(" ("), "m.code", F.lit(")"), F.substring(F.col(text), end, F.length(text)))
+    return met.withColumn(text, F.when(F.col("m").isNull() | told, F.col(text)).otherwise(added)).drop("m")
+
+
+def stale_media(records: DataFrame, media: DataFrame, record: str, key: str) -> DataFrame:
+    """Each record's medium, kept only while it was chosen for the record's key of today."""
+    old = media.select(record, F.col(key).alias("_key"), "photo")
+    met = records.join(old, record)
+    return met.select(record, F.when(F.col("_key").eqNullSafe(F.col(key)), F.col("photo")).alias("photo"), (~F.col("_key").eqNullSafe(F.col(key))).alias("stale"))
+
+
+def archive_ranking(pairs: DataFrame, current: str, archive: str, tiers: Sequence[str], most: int = 5) -> DataFrame:
+    """The archive rows of each current one: by tier, then shared keys, then the newest.
+
+    ``pairs``: current, archive, kinds array<string>, shared. A pair's tier is that of its most
+    telling kind, in the order of ``tiers``; others come last.
+    """
+    tier = F.coalesce(*(F.when(F.array_contains("kinds", kind), i) for i, kind in enumerate(tiers, 1)), F.lit(len(tiers) + 1))
+    order = Window.partitionBy(current).orderBy("tier", F.desc("shared"), F.desc(archive))
+    return pairs.withColumn("tier", tier).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+
+
+def queue_groups(queue: DataFrame, background: DataFrame) -> DataFrame:
+    """Queued events as story groups: the event, a second item where two sources agree, and dated background.
+
+    ``queue``: event, place, stamp, agreed; ``background``: place, since, through, note. Gives event,
+    n_items and notes in order.
+    """
+    known = background.select("place", "since", "through", "note")
+    valid = (F.col("since").isNull() | (F.col("since") <= F.col("stamp"))) & (F.col("through").isNull() | (F.col("stamp") <= F.col("through")))
+    notes = queue.join(known, "place").where(valid).groupBy("event").agg(F.array_sort(F.collect_set("note")).alias("notes"))
+    return queue.join(notes, "event", "left").select("event", (F.when(F.col("agreed"), 2).otherwise(1) + F.coalesce(F.size("notes"), F.lit(0))).alias("n_items"), F.array_join("notes", ",").alias("notes"))

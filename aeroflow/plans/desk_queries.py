@@ -275,3 +275,83 @@ def search_documents(spark, d):
     return rows.select("doc_id", F.md5(F.concat_ws(" ", "title", F.coalesce("aliases", F.lit("")))).alias("body"), F.substring(T.content_hash("doc_id", "title"), 1, 16).alias("content_id"))
 
 
+
+
+@query(r"""
+WITH p AS (SELECT page_id, html, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host FROM pages),
+r(suffix, pattern) AS (VALUES ('example.org', 'a'), ('example.net', 'b')),
+m AS (SELECT page_id, html, arg_max(pattern, length(suffix)) AS pattern FROM p JOIN r ON host = suffix OR ends_with(host, '.' || suffix) GROUP BY page_id, html, host),
+i AS (SELECT page_id, CASE pattern WHEN 'a' THEN regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) ELSE regexp_extract_all(html, '<(h1)>([^<]*)</h1>', 1) END AS l, CASE pattern WHEN 'a' THEN regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) ELSE regexp_extract_all(html, '<(h1)>([^<]*)</h1>', 2) END AS t FROM m)
+SELECT page_id, n::INTEGER AS n, l[n] AS link, trim(t[n]) AS title FROM (SELECT page_id, l, t, unnest(CASE WHEN len(l) > 0 THEN range(1, len(l) + 1) ELSE [NULL] END) AS n FROM i)""")
+def listing_items(spark, d):
+    rules = spark.createDataFrame([("example.org", '<a href="([^"]*)">([^<]*)</a>'), ("example.net", "<(h1)>([^<]*)</h1>")], "suffix string, pattern string")
+    return D.listing_items(_read(spark, d, "pages"), rules, "page_id", "url", "html")
+
+
+@query("""
+WITH n(name, code) AS (VALUES ('the', 'T1'), ('los', 'L2'), ('der', 'D3'), ('les', 'F4')),
+t AS (SELECT doc_id, split_part(text, chr(10), 1) AS title FROM documents),
+h AS (SELECT doc_id, min((instr(lower(title), name), -length(name), code)) AS m FROM t JOIN n ON instr(lower(title), name) > 0 GROUP BY doc_id)
+SELECT doc_id, md5(CASE WHEN m IS NULL THEN title ELSE substr(title, 1, (m[1] - m[2] - 1)::INT) || ' (' || m[3] || ')' || substr(title, (m[1] - m[2])::INT) END) AS title FROM t LEFT JOIN h USING (doc_id)""")
+def annotated_titles(spark, d):
+    names = spark.createDataFrame([("the", "T1"), ("los", "L2"), ("der", "D3"), ("les", "F4")], "name string, code string")
+    docs = _read(spark, d, "documents").select("doc_id", T.first_line(F.col("text")).alias("title"))
+    return D.annotated(docs, names, "doc_id", "title").select("doc_id", F.md5("title").alias("title"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 > 0 THEN p_partkey * 10 END AS photo, p_size % 3 = 0 AS stale FROM part WHERE p_partkey % 2 = 0")
+def stale_media(spark, d):
+    part = _read(spark, d, "part")
+    media = part.where("p_partkey % 2 = 0").select("p_partkey", F.when(F.col("p_size") % 3 == 0, "old").otherwise(F.col("p_brand")).alias("p_brand"), (F.col("p_partkey") * 10).alias("photo"))
+    return D.stale_media(part.select("p_partkey", "p_brand"), media, "p_partkey", "p_brand")
+
+
+@query("""
+WITH k AS (SELECT event_id % 4000 AS key, user_id, event_type, max(ts) AS t FROM events GROUP BY ALL),
+p AS (SELECT a.user_id AS current, b.user_id AS archive, list_distinct(list(a.event_type)) AS kinds, count(*) AS shared FROM k a JOIN k b ON a.key = b.key AND a.event_type = b.event_type AND a.user_id > b.user_id GROUP BY ALL),
+r AS (SELECT *, CASE WHEN list_contains(kinds, 'error') THEN 1 WHEN list_contains(kinds, 'purchase') THEN 2 ELSE 3 END AS tier FROM p)
+SELECT current, archive, tier, shared, row_number() OVER (PARTITION BY current ORDER BY tier, shared DESC, archive DESC)::INTEGER AS place FROM r QUALIFY place <= 5""")
+def archive_ranking(spark, d):
+    keys = _read(spark, d, "events").select((F.col("event_id") % 4000).alias("key"), "user_id", "event_type").distinct()
+    a, b = keys.alias("a"), keys.alias("b")
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.event_type") == F.col("b.event_type")) & (F.col("a.user_id") > F.col("b.user_id")))
+    pairs = met.groupBy(F.col("a.user_id").alias("current"), F.col("b.user_id").alias("archive")).agg(F.collect_set("a.event_type").alias("kinds"), F.count("*").alias("shared"))
+    return D.archive_ranking(pairs, "current", "archive", ["error", "purchase"]).select("current", "archive", "tier", "shared", "place")
+
+
+@query("""
+WITH q AS (SELECT event_id AS event, user_id % 20 AS place, ts, event_type = 'view' AS agreed FROM events WHERE value > 20),
+b AS (SELECT user_id % 20 AS place, event_type AS note, min(ts) AS since, CASE WHEN event_type <> 'view' THEN max(ts) END AS through FROM events WHERE event_type <> 'click' GROUP BY user_id % 20, event_type),
+n AS (SELECT event, list_sort(list_distinct(list(note))) AS notes FROM q JOIN b USING (place) WHERE since <= ts AND (through IS NULL OR ts <= through) GROUP BY event)
+SELECT event, (CASE WHEN agreed THEN 2 ELSE 1 END + coalesce(len(notes), 0))::INTEGER AS n_items, array_to_string(notes, ',') AS notes FROM q LEFT JOIN n USING (event)""")
+def queue_groups(spark, d):
+    e = _read(spark, d, "events").withColumn("place", F.col("user_id") % 20)
+    queue = e.where(F.col("value") > 20).select(F.col("event_id").alias("event"), "place", F.col("ts").alias("stamp"), (F.col("event_type") == "view").alias("agreed"))
+    background = e.where("event_type <> 'click'").groupBy("place", F.col("event_type").alias("note")).agg(F.min("ts").alias("since"), F.max(F.when(F.col("event_type") != "view", F.col("ts"))).alias("through"))
+    return D.queue_groups(queue, background)
+
+
+@query("SELECT event_id FROM events WHERE NOT coalesce(CASE WHEN event_type = 'error' THEN true WHEN event_type = 'view' THEN NULL ELSE false END, false)")
+def unarchived_rows(spark, d):
+    archived = F.when(F.col("event_type") == "error", True).when(F.col("event_type") != "view", False)
+    return _read(spark, d, "events").where(~F.coalesce(archived, F.lit(False))).select("event_id")
+
+
+@query("""
+WITH s AS (SELECT o_orderdate::DATE AS day, count(*) AS n FROM orders GROUP BY ALL)
+SELECT strftime(day, '%Y-%m-%d') AS day, n, lag(n) OVER (ORDER BY day) AS previous FROM s""")
+def series_upsert(spark, d):
+    """A series with its old days overwritten by new counts, and each day's context."""
+    from aeroflow.operators import metrics as M
+
+    new = _read(spark, d, "orders").groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.count("*").alias("n"))
+    old = new.where(F.dayofyear("day") < 200).withColumn("n", F.lit(-1).cast("long"))
+    twice = I.upserted(I.upserted(old, new, "day"), new, "day")
+    return M.series_context(twice, "day", "n").select(_day("day").alias("day"), "n", "previous")
+
+
+@query("SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey <> 2 AND s_acctbal > 0")
+def active_dimension(spark, d):
+    """Suppliers of active nations: the dimension is filtered before it is sent out."""
+    active = _read(spark, d, "nation").where("n_regionkey <> 2").select("n_nationkey", "n_name")
+    return _read(spark, d, "supplier").where("s_acctbal > 0").join(F.broadcast(active), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
