@@ -39,7 +39,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 6, 2
 
 #: Members of a band's bucket that are dealt out together, about.
-BLOCK = 512
+BLOCK = 2048
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -291,7 +291,7 @@ class _Bucket:
 def similar_paragraphs(kept: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """Links (src, dst) between paragraph keys whose shingle sets have Jaccard similarity >= 0.8.
 
-    ``kept``: id, h, text. ``paragraphs``: id, h, key, start, n, bands. Equal paragraphs meet in one
+    ``kept``: id, h, text. ``paragraphs``: id, h, doc (a hash of both), key, start, n, bands. Equal paragraphs meet in one
     row before anything is compared, and one text gives the shingles of each. A bucket of equal
     band keys is dealt in blocks of about BLOCK members; each pair of blocks of a bucket is a task's
     group, so no group is larger than two blocks and no pair of members is left out. In a group
@@ -301,12 +301,13 @@ def similar_paragraphs(kept: DataFrame, paragraphs: DataFrame) -> DataFrame:
     similar pairs, directly or through others, though many near copies take one pass.
     """
     bands = [F.min(F.col("bands")[i]).alias(f"b{i}") for i in range(BANDS)]  # the same in all rows of a key
-    distinct = materialise(paragraphs.groupBy("key").agg(F.count("*").alias("copies"), *bands), "dedup-paragraphs")
+    distinct = materialise(paragraphs.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc").alias("doc"), *bands), "dedup-paragraphs")
     banded = distinct.select("key", "copies", F.explode(F.array(*(f"b{i}" for i in range(BANDS)))).alias("band"))
     buckets = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     members = materialise(banded.join(buckets, "band"), "dedup-members")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "h", "start", "n")
-    wanted = paragraphs.join(members.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min(place).alias("place"))
+    told = distinct.join(members.select("key").distinct(), "key", "left_semi").select("key", "doc")
+    wanted = paragraphs.join(told, ["key", "doc"], "left_semi").groupBy("key").agg(F.min(place).alias("place"))  # one text for all copies
     wanted = wanted.select("place.id", "place.h", F.struct("key", "place.start", "place.n").alias("p"))
     wanted = wanted.groupBy("id", "h").agg(F.collect_list("p").alias("places")).select(F.col("id").alias("_id"), F.col("h").alias("_h"), "places")
     asked = materialise(wanted, "dedup-asked")
@@ -450,7 +451,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     windows = windows.select("id", "h", "doc", F.col("u.w_keys").alias("key"), F.col("u.w_starts").alias("start"), F.lit(WINDOW).alias("n"))
     both = windows.unionByName(paragraphs.drop("bands"))
     twice = both.groupBy("key").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("key")
-    labels = connected_components(similar_paragraphs(kept, paragraphs.drop("doc")))
+    labels = connected_components(similar_paragraphs(kept, paragraphs))
     cluster = materialise(twice.join(labels.withColumnRenamed("node", "key"), "key", "full").select("key", F.coalesce("component", "key").alias("cluster")), "dedup-clusters")
     places = materialise(both.join(cluster, "key").select("cluster", "id", "h", "start", "n"), "dedup-places")
     release(found)

@@ -72,7 +72,7 @@ def links_of(spark, paragraphs):
         rows.append((i, 0, text, int(u.keys.view(np.int64)[0]), int(u.starts[0]), int(u.sizes[0]), u.bands.view(np.int64)[0].tolist()))
     df = spark.createDataFrame(rows, "id long, h long, text string, key long, start int, n int, bands array<long>")
     at = {r[3]: r[0] for r in rows}
-    return {tuple(sorted(at[x] for x in r)) for r in D.similar_paragraphs(df.select("id", "h", "text"), df.drop("text")).collect()}
+    return {tuple(sorted(at[x] for x in r)) for r in D.similar_paragraphs(df.select("id", "h", "text"), df.drop("text").withColumn("doc", df.id)).collect()}
 
 
 def groups(links, n):
