@@ -221,7 +221,10 @@ def good_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = judged(held, at[id_col], at[text_col], at[lang_col], keep=names)
     places = [f"p{i}" for i in range(len(found.columns))]
     verdict = places[found.columns.index("kept")]
-    return found.toDF(*places).where(verdict).select(*places[-len(names) :]).toDF(*docs.columns)
+    # pushed below the rules, the filter would repeat their expressions inside their own loops; it
+    # can't pass a column that is not deterministic
+    fixed = found.toDF(*places).withColumn("row", F.monotonically_increasing_id())
+    return fixed.where(F.col(verdict) & (F.col("row") >= 0)).select(*places[-len(names) :]).toDF(*docs.columns)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
