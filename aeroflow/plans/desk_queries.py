@@ -253,7 +253,7 @@ def answer_cards(spark, d):
     asked = D.first_notable(turns, F.lit(True), ["conv_id"], [F.col("turn")])
     fine = asked.where(G.guardrail(F.col("text"), " ").isin("on_topic", "off_topic") & (F.length("text") >= 12))
     docs = _read(spark, d, "documents")
-    found = P.lexical_search(fine.select(F.col("conv_id").alias("query_id"), T.tokens(F.col("text"), 4).alias("tokens")), docs.select(F.col("doc_id").alias("id"), T.tokens(T.first_line(F.col("text")), 4).alias("title_tokens"), F.array().cast("array<string>").alias("text_tokens")))
+    found = P.lexical_search(fine.select(F.col("conv_id").alias("query_id"), T.tokens(F.col("text"), 4).alias("tokens")), docs.select(F.col("doc_id").alias("id"), T.tokens(T.first_line(F.col("text")), 4).alias("title_tokens")))
     named = found.join(docs.select(F.col("doc_id").alias("id"), "source"), "id").select(F.col("query_id").alias("conv_id"), "source", "place")
     return D.citation_cards([named], "conv_id", "source")
 

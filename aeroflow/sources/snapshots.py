@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 from aeroflow.functions.text import content_hash
-from aeroflow.storage import drop_path, new_path
 
 ITEM = StructType(
     [StructField(n, StringType()) for n in ("title", "url", "publishedUtc", "summary", "image")] + [StructField("dateInferred", BooleanType())]
@@ -40,7 +41,8 @@ def write_if_changed(new: DataFrame, path: str, keys: list[str], ignore: list[st
     """Replace the Parquet table at ``path`` if its content differs outside ``ignore`` columns.
 
     Contents are compared as counted hashes of rows, on the executors. The new table is written
-    beside the old one before that goes.
+    beside the old one, which is renamed away for it and goes last; a job that is lost on the way
+    leaves a whole table under one of the names.
     """
     spark = new.sparkSession
     columns = [c for c in new.columns if c not in (ignore or [])]
@@ -51,10 +53,12 @@ def write_if_changed(new: DataFrame, path: str, keys: list[str], ignore: list[st
         old = counted(spark.read.parquet(path)).withColumnRenamed("n", "was")
         if old.join(counted(new), "h", "full").where("not (was <=> n)").isEmpty():
             return False
-    beside = new_path(spark, "table")
-    new.orderBy(*keys).write.parquet(beside)
-    spark.read.parquet(beside).write.mode("overwrite").parquet(path)
-    drop_path(spark, beside)
+    beside = [spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.{uuid.uuid4().hex[:8]}-{kind}") for kind in ("new", "old")]
+    new.orderBy(*keys).write.parquet(str(beside[0]))
+    if fs.exists(fs_path):
+        fs.rename(fs_path, beside[1])
+    fs.rename(beside[0], fs_path)
+    fs.delete(beside[1], True)
     return True
 
 
