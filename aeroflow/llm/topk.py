@@ -21,7 +21,7 @@ QUERY_ROWS = 1024
 SAMPLE_ROWS = 2048
 CENTRES = 32
 
-LEAF_ROWS = 64
+LEAF_ROWS = 512
 
 #: Children of a tree node at most.
 FAN_OUT = 16
