@@ -6,6 +6,7 @@ from aeroflow.llm.byte_bpe import op2_byte_bpe
 from aeroflow.llm.html_text import op6_main_text
 from aeroflow.llm.lang_id import op1_language_id
 from aeroflow.llm.mixing import OP3_SQL, op3_mix_sources
+from aeroflow.llm.prefix_trie import OP11_SQL, op11_prefix_trie
 from aeroflow.llm.quality_model import op9_quality_model
 from aeroflow.llm.quality_rules import OP8_SQL, op8_quality_rules
 from aeroflow.llm.simhash import op4_simhash
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_quality_model": op9_quality_model,
     "op10_cover_tree_topk": op10_cover_tree_topk,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
-ORACLE_SQL = {"op3_mix_sources": OP3_SQL, "op8_quality_rules": OP8_SQL, "op10_cover_tree_topk": OP10_SQL}
+ORACLE_SQL = {"op3_mix_sources": OP3_SQL, "op8_quality_rules": OP8_SQL, "op10_cover_tree_topk": OP10_SQL, "op11_prefix_trie": OP11_SQL}
