@@ -107,11 +107,21 @@ def is_safe_url(url: Column) -> Column:
     return F.coalesce(url.rlike(r"^https?://[^/\s@<>\"']+\.[a-z]{2,}([/?#][^\s<>\"']*)?$"), F.lit(False))
 
 
+#: Fixed patterns of secrets in logs: an authorization header with its scheme, and named values.
+AUTHORIZATION = r"(?i)\b(authorization)\b[\"']?\s*[:=]?\s*[\"']?(?:(?:bearer|basic|digest|token)\s+)?[^\s\"']+"
+NAMED_SECRET = r"(?i)\b(api[-_ ]?key|access[-_ ]?key|token|bearer|secret|password|passwd)\b[\"']?\s*[:=]?\s*[\"']?[^\s\"'\[]+"
+
+
 def redacted(text: Column, chars: int = 200) -> Column:
-    """Control characters, URLs and secrets out of a log text, clipped."""
-    out = F.regexp_replace(text, r"[\x00-\x1f]+", " ")
-    out = F.regexp_replace(out, r"https?://\S+", "[url]")
-    out = F.regexp_replace(out, r"(?i)\b(authorization|api[_-]?key|token|secret|password)\b\s*[:=]\s*\S+", "$1=[secret]")
+    """A log text in single spaces without control characters, URLs and secrets, clipped.
+
+    After a name of a secret the next word goes, with or without a sign or a quote between them;
+    after an authorization header its scheme and value go.
+    """
+    out = F.trim(F.regexp_replace(text, r"[\x00-\x20\x7f]+", " "))
+    out = F.regexp_replace(out, r"(?i)https?://\S+", "[url]")
+    out = F.regexp_replace(out, AUTHORIZATION, "$1=[secret]")
+    out = F.regexp_replace(out, NAMED_SECRET, "$1=[secret]")
     return F.substring(out, 1, chars)
 
 

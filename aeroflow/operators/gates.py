@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from aeroflow.storage import materialise
+from aeroflow.operators.dictionary import phrases_in
 
 #: Fixed patterns of text that tries to steer a language model.
 INJECTION = r"(?i)(ignore|disregard|forget) (all |any )?(the |your )?(previous|prior|above|earlier) (instructions|rules|prompts)|system prompt|jailbreak|developer mode"
@@ -80,34 +80,12 @@ def chunked(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], size:
     return out.withColumn("chunk_rows", F.count("*").over(Window.partitionBy(*keys, "chunk")))
 
 
-def verified_quotes(quotes: DataFrame, texts: DataFrame, quote: str, text: str, text_id: str, probe_words: int = 8, least: int = 8) -> DataFrame:
-    """Pairs of a quote of ``least`` characters or more and a text that contains it.
+def verified_quotes(quotes: DataFrame, texts: DataFrame, quote: str, text: str, text_id: str, least: int = 8) -> DataFrame:
+    """The quotes of ``least`` characters or more with the id of each text that contains them literally.
 
-    A quote may begin and end inside a word, so its words without the first and the last stand in
-    any such text as whole words; the first ``probe_words`` of them, or all if fewer, are its probe,
-    and texts give their runs of the lengths that occur. A quote of one or two words is probed by
-    its first ``least`` characters instead. Only keys meet; whole texts join the pairs found, and
-    ``text_id`` must be unique. White space in quotes is single; in texts it may be any for a probe,
-    but the containment is literal.
+    All columns of ``quotes`` and ``text_id``. One automaton finds all quotes in one pass over a text,
+    whatever their number of words; only ids and quotes meet in the join that follows.
     """
-    words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
-    asked = quotes.where(F.length(quote) >= least).withColumn("_w", words(F.col(quote)))
-    asked = asked.withColumn("_n", F.least(F.lit(probe_words), F.greatest(F.lit(0), F.size("_w") - 2)))
-    probe = F.when(F.col("_n") > 0, F.array_join(F.slice("_w", F.lit(2), F.col("_n")), " ")).otherwise(F.substring(quote, 1, least))
-    asked = materialise(asked.withColumn("_probe", F.xxhash64("_n", probe)).drop("_w"), "quotes")
-    lengths = [r["_n"] for r in asked.select("_n").distinct().collect()]  # at most probe_words + 1 numbers
-    spread = texts.select(F.col(text_id), F.col(text).alias("_t"), words(F.col(text)).alias("_w"))
-
-    def runs(n: int) -> Column:
-        if not n:
-            return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("_t") - least + 1)), lambda i: F.xxhash64(F.lit(0), F.substring(F.col("_t"), i, F.lit(least))))
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_w") - n + 1)), lambda i: F.xxhash64(F.lit(n), F.array_join(F.slice("_w", i, n), " ")))
-
-    found = None
-    for n in sorted(lengths):
-        part = spread.select(text_id, F.explode(F.array_distinct(runs(n))).alias("_probe"))
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spread.select(text_id, F.lit(0).cast("long").alias("_probe")).where("false")
-    pairs = found.join(asked, "_probe").drop("_probe", "_n")
-    return pairs.join(texts, text_id).where(F.contains(F.col(text), F.col(quote)))
+    asked = quotes.where(F.length(quote) >= least)
+    found = phrases_in(texts, asked, text, text_id, quote).select(F.col("id").alias(text_id), F.col("phrase").alias(quote))
+    return found.distinct().join(asked, quote)

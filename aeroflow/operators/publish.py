@@ -16,13 +16,14 @@ MIN_QUOTE, MIN_FULLTEXT, MIN_TITLE = 8, 80, 20
 def article_view(rows: DataFrame) -> DataFrame:
     """Articles as shown: id, both languages' titles, display, sort and modified times.
 
-    ``rows``: id, archived, published, source_time, updated, title_a, title_b, urls. Archived rows,
-    ids of another shape, rows without a time and rows without a safe source are left out. A
-    missing title is taken from the other language.
+    ``rows``: id, archived, published, source_time, updated, placed, title_a, title_b, urls. Archived
+    rows, ids of another shape, rows without a time, without a title in either language or without
+    a safe source are left out. A missing title is taken from the other language. A time at which
+    a row was placed by hand (``placed``) is its sort time, else the time of publication.
     """
-    shown = rows.where(~F.coalesce("archived", F.lit(False)) & F.col("id").rlike("^[a-z0-9-]{3,80}$") & F.col("published").isNotNull() & F.exists("urls", T.is_safe_url))
     a, b = (F.nullif(F.trim(c), F.lit("")) for c in ("title_a", "title_b"))
-    times = [F.coalesce("source_time", "published").alias("display"), F.col("published").alias("sort"), F.greatest("published", "updated", "source_time").alias("modified")]
+    shown = rows.where(~F.coalesce("archived", F.lit(False)) & F.col("id").rlike("^[a-z0-9-]{3,80}$") & F.col("published").isNotNull() & F.coalesce(a, b).isNotNull() & F.exists("urls", T.is_safe_url))
+    times = [F.coalesce("source_time", "published").alias("display"), F.coalesce("placed", "published").alias("sort"), F.greatest("published", "updated", "source_time").alias("modified")]
     return shown.select("id", F.coalesce(a, b).alias("title_a"), F.coalesce(b, a).alias("title_b"), *times)
 
 

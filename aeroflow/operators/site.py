@@ -5,9 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import StringType
 
 
 def checked_places(places: DataFrame, key: str, lat: str, lon: str, radius: str) -> DataFrame:
@@ -73,35 +71,48 @@ def live_rows(rows: DataFrame, columns: Sequence[str], query: str, airborne: Col
     return rows.where(airborne & hit).orderBy(F.nullif(F.col(order), F.lit("")).asc_nulls_last())
 
 
-#: Lengths from which and up to which a summary may be cut, and marks that may
-#: follow the end of a sentence.
+#: Lengths from which and up to which a summary may be cut, marks that end a sentence
+#: anywhere, and marks that may follow the end of one.
 SOFT, HARD = 180, 260
-CLOSERS = "\"'\u201d\u2019)\uff09]\u300f\u300d\u300b"
-_SENTENCE_END = re.compile(r"([!?\u3002\uff01\uff1f]|\.(?![^\s" + re.escape(CLOSERS) + "]))[" + re.escape(CLOSERS) + "]*")
+ENDS = "!?。！？"
+CLOSERS = "\"'”’)）]』」》"
 
+#: A sentence with its end: a full stop counts before white space, a closing mark or the end of the text.
+SENTENCE = rf"(?s).*?(?:[{ENDS}][{re.escape(CLOSERS)}]*|\.(?:[{re.escape(CLOSERS)}]+|\s|\z))"
 
-@F.pandas_udf(StringType())
-def sentence_safe(text: pd.Series) -> pd.Series:
-    """A summary in single spaces: whole up to SOFT characters, else up to the first sentence end from
+
+def single_spaced(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
+def ends_sentence(text: Column) -> Column:
+    """Whether the text's last characters end a sentence."""
+    return text.rlike(rf"([{ENDS}]|\.)[{re.escape(CLOSERS)}]*\s*\z")
+
+
+def sentence_cut(text: Column) -> Column:
+    """A text in single spaces: whole up to SOFT characters, else up to the first sentence end from
     there to HARD, else to the last one before; without any it ends at a word, with an ellipsis."""
 
-    def cut(x: str | None) -> str | None:
-        if x is None:
-            return None
-        clean = " ".join(x.split())
-        if len(clean) <= SOFT:
-            return clean
-        ends = [m.end() for m in _SENTENCE_END.finditer(clean[:HARD])]
-        late = next((e for e in ends if e >= SOFT), None)
-        if late or ends:
-            return clean[: late or ends[-1]].strip()
-        prefix = clean[:SOFT].rstrip()
-        at = max(prefix.rfind(" "), prefix.rfind("\u3000"))
-        if at >= SOFT // 2:
-            prefix = prefix[:at].rstrip()
-        return prefix.rstrip(",;:\uff0c\uff1b\uff1a") + "…"
-
-    return text.map(cut)
+    def cut(clean: Column) -> Column:
+        pieces = F.regexp_extract_all(F.substring(clean, 1, HARD), F.lit(SENTENCE), F.lit(0))
+        upto = F.transform(pieces, lambda _, i: F.array_join(F.slice(pieces, F.lit(1), i + 1), ""))
+        whole = F.transform(upto, lambda x: F.trim(x))
+        late = F.get(F.filter(whole, lambda x: F.length(x) >= SOFT), F.lit(0))
+        head = F.rtrim(F.substring(clean, 1, SOFT))
+        word = F.rtrim(F.regexp_extract(head, r"(?s)^(.*) [^ ]*$", 1))
+        prefix = F.when(F.length(F.regexp_extract(head, r"(?s)^(.*) [^ ]*$", 1)) >= SOFT // 2, word).otherwise(head)
+        bare = F.concat(F.regexp_replace(prefix, "[,;:，；：]+$", ""), F.lit("…"))
+        return F.when(F.length(clean) <= SOFT, clean).otherwise(F.coalesce(late, F.get(whole, F.size(whole) - 1), bare))
+
+    return F.element_at(F.transform(F.array(single_spaced(text)), cut), 1)
+
+
+def repaired_summary(summary: Column, body: Column) -> Column:
+    """A summary that is the first SOFT characters of a longer body, cut inside a sentence, is cut at one
+    instead; every other summary stays as it is. Null stays null."""
+    hard_cut = (F.length(F.trim(body)) > SOFT) & (F.trim(summary) == F.substring(F.trim(body), 1, SOFT)) & ~ends_sentence(F.trim(summary))
+    return F.when(hard_cut, sentence_cut(F.trim(body))).otherwise(summary)
 
 
 def compact_words(text: Column, words: int = 14) -> Column:

@@ -20,9 +20,9 @@ def _time(column):
 _FORMAT = "'%Y-%m-%d %H:%M:%S'"
 _VIEWS = """
 WITH r AS (SELECT event_id, 'a' || event_id AS id, event_type = 'error' AS archived, CASE WHEN event_id % 13 > 0 THEN ts END AS published, CASE WHEN event_id % 4 = 0 THEN ts - INTERVAL 1 HOUR END AS source_time,
-  CASE WHEN event_id % 5 = 0 THEN ts + INTERVAL 2 HOUR END AS updated, CASE WHEN event_id % 3 = 0 THEN ' ' ELSE event_type END AS ta, CASE WHEN event_id % 7 > 0 THEN 'b ' || event_type END AS tb, event_id % 11 > 0 AS safe FROM events),
-views AS (SELECT id, coalesce(nullif(trim(ta), ''), nullif(trim(tb), '')) AS title_a, coalesce(nullif(trim(tb), ''), nullif(trim(ta), '')) AS title_b, coalesce(source_time, published) AS display, published AS sort, greatest(published, updated, source_time) AS modified
-  FROM r WHERE NOT archived AND published IS NOT NULL AND safe AND length(id) >= 3)
+  CASE WHEN event_id % 5 = 0 THEN ts + INTERVAL 2 HOUR END AS updated, CASE WHEN event_id % 3 = 0 THEN ' ' ELSE event_type END AS ta, CASE WHEN event_id % 7 > 0 THEN 'b ' || event_type END AS tb, event_id % 11 > 0 AS safe, CASE WHEN event_id % 6 = 0 THEN ts + INTERVAL 1 DAY END AS placed FROM events),
+views AS (SELECT id, coalesce(nullif(trim(ta), ''), nullif(trim(tb), '')) AS title_a, coalesce(nullif(trim(tb), ''), nullif(trim(ta), '')) AS title_b, coalesce(source_time, published) AS display, coalesce(placed, published) AS sort, greatest(published, updated, source_time) AS modified
+  FROM r WHERE NOT archived AND (trim(ta) <> '' OR trim(tb) <> '') AND published IS NOT NULL AND safe AND length(id) >= 3)
 """
 
 
@@ -36,6 +36,7 @@ def _views(spark, d):
         F.when(n % 13 > 0, F.col("ts")).alias("published"),
         F.when(n % 4 == 0, F.expr("ts - interval 1 hour")).alias("source_time"),
         F.when(n % 5 == 0, F.expr("ts + interval 2 hours")).alias("updated"),
+        F.when(n % 6 == 0, F.expr("ts + interval 1 day")).alias("placed"),
         F.when(n % 3 == 0, " ").otherwise(F.col("event_type")).alias("title_a"),
         F.when(n % 7 > 0, F.concat(F.lit("b "), F.col("event_type"))).alias("title_b"),
         F.array(F.lit("x"), url).alias("urls"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from aeroflow.functions import text as T
@@ -84,9 +86,25 @@ def live_filter(spark, d):
     return S.live_rows(_read(spark, d, "customer"), ["c_custkey", "c_name", "c_mktsegment"], "BUILD", F.col("c_acctbal") > 0, "c_name").select("c_custkey", "c_name")
 
 
-@query(None)
+_SQL_CLOSERS = re.escape(S.CLOSERS).replace("'", "''")
+_SENTENCES = rf"""
+WITH b AS (SELECT doc_id, trim(text) AS body, CASE WHEN doc_id % 3 = 0 THEN substr(trim(text), 1, 90) ELSE trim(substr(trim(text), 1, 180)) END AS summary FROM documents),
+c AS (SELECT *, trim(regexp_replace(body, '[\s\x0B\x85\p{{Z}}]+', ' ', 'g')) AS clean,
+  length(body) > 180 AND summary = substr(body, 1, 180) AND NOT regexp_matches(summary, '([{S.ENDS}]|\.)[{_SQL_CLOSERS}]*\s*\z') AS hard_cut FROM b),
+p AS (SELECT *, regexp_extract_all(substr(clean, 1, 260), '{S.SENTENCE.replace(re.escape(S.CLOSERS), _SQL_CLOSERS)}') AS pieces, rtrim(substr(clean, 1, 180)) AS head FROM c),
+w AS (SELECT *, list_transform(range(1, len(pieces) + 1), lambda i: trim(array_to_string(list_slice(pieces, 1, i), ''))) AS whole,
+  CASE WHEN length(regexp_extract(head, '(?s)^(.*) [^ ]*$', 1)) >= 90 THEN rtrim(regexp_extract(head, '(?s)^(.*) [^ ]*$', 1)) ELSE head END AS prefix FROM p)
+SELECT doc_id, CASE WHEN NOT coalesce(hard_cut, false) THEN summary WHEN length(clean) <= 180 THEN clean
+  ELSE coalesce(list_filter(whole, lambda x: length(x) >= 180)[1], whole[-1], regexp_replace(prefix, '[,;:，；：]+$', '') || '…') END AS summary FROM w
+"""
+
+
+@query(_SENTENCES)
 def repaired_summaries(spark, d):
-    return _read(spark, d, "documents").select("doc_id", S.sentence_safe(F.substring("text", 1, 500)).alias("summary"))
+    """Summaries that are the first 180 characters of a text, and shorter ones that stay as they are."""
+    body = F.trim("text")
+    summary = F.when(F.col("doc_id") % 3 == 0, F.substring(body, 1, 90)).otherwise(F.trim(F.substring(body, 1, S.SOFT)))
+    return _read(spark, d, "documents").select("doc_id", S.repaired_summary(summary, F.col("text")).alias("summary"))
 
 
 @query(r"SELECT doc_id, array_to_string(list_slice(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), 1, 14), ' ') AS summary FROM documents")
@@ -167,10 +185,20 @@ def activity_counts(spark, d):
     return rows.select("o_orderkey", aircraft.alias("aircraft"), ships.alias("ships"))
 
 
-@query("SELECT event_id, regexp_replace(regexp_replace(props || ' token = abc https://x.org/' || event_id, 'https?://\\S+', '[url]'), '(?i)\\b(token)\\b\\s*[:=]\\s*\\S+', '\\1=[secret]') AS line FROM events")
+_AUTH, _NAMED = (x.replace("'", "''") for x in (T.AUTHORIZATION, T.NAMED_SECRET))
+_LOGS = ["token = abc1", "Authorization: Bearer abc2", 'api_key="abc3"', "bearer abc4 PASSWORD:abc5", "authorization basic abc6", "nothing\t here"]
+
+
+@query(
+    rf"""WITH l AS (SELECT event_id, props || ' ' || CASE event_id % 6 {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_LOGS))} END || ' HTTPS://x.org/' || event_id || ' end' AS line FROM events),
+u AS (SELECT event_id, regexp_replace(trim(regexp_replace(line, '[\x00-\x20\x7f]+', ' ', 'g')), '(?i)https?://\S+', '[url]', 'g') AS line FROM l)
+SELECT event_id, substr(regexp_replace(regexp_replace(line, '{_AUTH}', '\1=[secret]', 'g'), '{_NAMED}', '\1=[secret]', 'g'), 1, 200) AS line FROM u"""
+)
 def redacted_logs(spark, d):
+    """Log lines with secrets of several shapes."""
+    line = F.element_at(F.array(*map(F.lit, _LOGS)), (F.col("event_id") % 6 + 1).cast("int"))
     events = _read(spark, d, "events")
-    return events.select("event_id", T.redacted(F.concat("props", F.lit(" token = abc https://x.org/"), F.col("event_id").cast("string"))).alias("line"))
+    return events.select("event_id", T.redacted(F.concat_ws(" ", "props", line, F.concat(F.lit("HTTPS://x.org/"), F.col("event_id").cast("string")), F.lit("end"))).alias("line"))
 
 
 @query("SELECT DISTINCT conv_id, substr(sha256('k:' || conv_id), 1, 24) AS pseudonym FROM conversations")

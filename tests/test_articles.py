@@ -45,7 +45,7 @@ def test_quotes_are_found_inside_texts(spark):
 def test_summaries_end_at_sentences(spark):
     from pyspark.sql import functions as F
 
-    from aeroflow.operators.site import sentence_safe
+    from aeroflow.operators.site import repaired_summary, sentence_cut
 
     start = "word " * 30
     rows = [
@@ -53,8 +53,37 @@ def test_summaries_end_at_sentences(spark):
         (start + "and more to say here, so that it goes on. Then more" + " x" * 200, (start + "and more to say here, so that it goes on.")),
         ("Begin. " + "word " * 80, "Begin."),
         ("word, " * 80, "word, " * 28 + "word…"),
-        ("v1.5 is " * 40, None),
+        ("v1.5 is " * 40, ("v1.5 is " * 23).strip()[:180].rsplit(" ", 1)[0] + "…"),
+        ("He said “go.” " + "word " * 80, "He said “go.”"),
+        ("字" * 170 + "。" + "字" * 30 + "！」" + "字" * 100, "字" * 170 + "。" + "字" * 30 + "！」"),
+        ("x" * 300, "x" * 180 + "…"),
+        (None, None),
     ]
-    got = [r.s for r in spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string").orderBy("i").select(sentence_safe(F.col("t")).alias("s")).collect()]
-    for (text, want), found in zip(rows, got):
-        assert found == want if want else found.endswith("…") and len(found) <= 181
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string").orderBy("i")
+    assert [r.s for r in df.select(sentence_cut(F.col("t")).alias("s")).collect()] == [want for _, want in rows]
+    body = "Begin. " + "word " * 80
+    cases = [(body[:180], body, "Begin."), ("own words", body, "own words"), (body[:179], body, body[:179]), ("short", "short", "short"), (None, body, None)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, a string, b string").orderBy("i")
+    assert [r.s for r in df.select(repaired_summary(F.col("a"), F.col("b")).alias("s")).collect()] == [want for *_, want in cases]
+
+
+def test_no_secret_is_left_in_logs(spark):
+    from pyspark.sql import functions as F
+
+    from aeroflow.functions.text import redacted
+
+    shapes = ["Authorization: Bearer S3CR3T", "authorization=S3CR3T", 'AUTHORIZATION: "Basic S3CR3T"', "api-key S3CR3T", "api_key:S3CR3T", 'API KEY = "S3CR3T"', "token=S3CR3T", "bearer S3CR3T", "password: 'S3CR3T'", "secret S3CR3T", "{\"token\": \"S3CR3T\"}", "see https://h/?token=S3CR3T", "Authorization\x00:\tBearer\nS3CR3T"]
+    got = [r.s for r in spark.createDataFrame([(f"before {s} after",) for s in shapes], "t string").select(redacted(F.col("t")).alias("s")).collect()]
+    assert not [s for s in got if "S3CR3T" in s] and all(s.startswith("before ") and s.endswith("after") for s in got), got
+    assert spark.createDataFrame([("plain text",), (None,)], "t string").select(redacted(F.col("t")).alias("s")).collect()[0].s == "plain text"
+
+
+def test_articles_without_a_title_are_not_shown(spark):
+    from aeroflow.operators.publish import article_view
+
+    schema = "id string, archived boolean, published timestamp_ntz, source_time timestamp_ntz, updated timestamp_ntz, placed timestamp_ntz, title_a string, title_b string, urls array<string>"
+    rows = spark.sql("select timestamp_ntz'2024-01-02 03:04:05' as t").collect()[0].t
+    ok = ["https://x.org/a"]
+    data = [("abc", None, rows, None, None, None, " ", None, ok), ("abd", False, rows, None, None, rows.replace(day=9), " ", "B", ok), ("abe", True, rows, None, None, None, "A", "B", ok), ("abf", False, None, None, None, None, "A", None, ok), ("abg", False, rows, None, None, None, "A", None, ["ftp://x"])]
+    got = article_view(spark.createDataFrame(data, schema)).collect()
+    assert [(r.id, r.title_a, r.title_b, r.sort.day) for r in got] == [("abd", "B", "B", 9)]
