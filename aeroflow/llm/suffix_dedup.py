@@ -358,7 +358,7 @@ def repeated_bytes(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     texts = held.where(F.col("n_bytes") >= length).groupBy(F.substring(F.unhex("sha"), 1, 16).alias("t")).agg(F.first("bytes").alias("bytes"), F.count("*").alias("copies"))
     texts = _by_text(texts, "suffix_texts")
     anchors = materialise(texts.select("t", "bytes").mapInArrow(_find(length), _ANCHORS), "suffix-anchors")
-    often = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    often = materialise(anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "suffix-often")
     often = anchors.join(often, "h", "left_semi").groupBy("t").agg(F.collect_list(F.struct("at", "low", "high")).alias("anchors"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     runs = texts.select("t", "bytes").join(often, "t").mapInArrow(_runs(length, buckets), _ROWS)
