@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,7 +51,8 @@ def _drop_all(spark: SparkSession, root: str) -> None:
 
 
 _SEEN: set[str] = set()
-_WRITTEN: list[str] = []
+#: Paths written inside the innermost ``scratch`` block of this context.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -65,7 +68,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
         atexit.register(_drop_all, spark, root)
     path = new_path(spark, label)
     df.write.parquet(path)
-    _WRITTEN.append(path)
+    if (scope := _SCOPE.get()) is not None:
+        scope.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_path = path
     return out
@@ -79,7 +83,23 @@ def release(*tables: DataFrame) -> None:
             drop_path(table.sparkSession, path)
 
 
-def written_by(build: Callable[[], DataFrame]) -> tuple[DataFrame, list[str]]:
-    """What ``build`` returns, and the paths of the tables that were materialised for it."""
-    before = len(_WRITTEN)
-    return build(), _WRITTEN[before:]
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables materialised inside the block are deleted at its end, but for those passed to what it gives.
+
+    What is returned from the block must read kept tables and its inputs only; it can then be read
+    as often as wanted, beside any other run of the same code.
+    """
+    written: list[str] = []
+    token = _SCOPE.set(written)
+
+    def keep(table: DataFrame) -> DataFrame:
+        written.remove(table._written_path)
+        return table
+
+    try:
+        yield keep
+    finally:
+        _SCOPE.reset(token)
+        for path in written:
+            drop_path(spark, path)
