@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from aeroflow.llm.frames import WORD, table
-from aeroflow.storage import materialise
+from aeroflow.storage import materialise, scratch
 
 #: Documents that share one step of the prefix sums, about.
 PER_BUCKET = 4000
@@ -124,19 +124,31 @@ def mixed_documents(
 
     What a source gives beyond its complete epochs is the front of its order, up to one document;
     so each row is held against the last document taken of its source, and no text is shuffled.
-    Rows that agree in id, text and source are taken equally often, as often as the one taken most.
+    Rows that agree with that document in id, text and source are counted, and as many of them are
+    taken once more as the plan has it, the first by the other columns.
     """
     names = [f"c{i}" for i in range(len(docs.columns))]
     held = docs.toDF(*names)
     own = {n: names[docs.columns.index(c)] for c, n in ((id_col, "id"), (text_col, "text"), (source_col, "source"))}
-    placed, wanted = _placed(held.select(*(F.col(c).alias(n) for n, c in own.items())), weights, share, max_epochs, seed)
     order = F.struct("key", "id", "text_hash", "size")
-    last = placed.where(F.col("epochs") > F.col("full")).groupBy("s").agg(F.max(order).alias("last"))
-    cuts = materialise(wanted.select("s", "full").join(last, "s", "left"), "mix-cuts")  # a row for each source
+    with scratch(docs.sparkSession) as keep:
+        placed, wanted = _placed(held.select(*(F.col(c).alias(n) for n, c in own.items())), weights, share, max_epochs, seed)
+        more = placed.where(F.col("epochs") > F.col("full")).groupBy("s", order.alias("last")).agg(F.count("*").alias("n_last"))
+        last = more.groupBy("s").agg(F.max(F.struct("last", "n_last")).alias("m")).select("s", "m.*")
+        cuts = keep(materialise(wanted.select("s", "full").join(last, "s", "left"), "mix-cuts"))  # a row for each source
     drawn = _drawn(held.select("*", *(F.col(c).alias(n) for n, c in own.items())), seed).join(cuts, "s")
-    epochs = F.col("full") + F.when(F.col("last").isNotNull() & (order <= F.col("last")), 1).otherwise(0)
-    copies = drawn.withColumn("epochs", F.least(epochs, F.lit(max_epochs)).cast("int")).where("epochs > 0")
-    return copies.select(*names, F.explode(F.sequence(F.lit(1), F.col("epochs")))).select(*names).toDF(*docs.columns)
+    at_cut = F.coalesce(order == F.col("last"), F.lit(False))
+    epochs = F.col("full") + F.when(order < F.col("last"), 1).otherwise(0)
+    copies = drawn.where(~at_cut).withColumn("n", F.least(epochs, F.lit(max_epochs)).cast("long"))
+    alike = [c for c, t in held.dtypes if not any(x in t for x in ("map<", "variant"))]
+    tied = drawn.where(at_cut).groupBy("s", "full", "n_last", *alike).agg(F.count("*").alias("rows"), *(F.first(c).alias(c) for c in names if c not in alike))
+    ahead = F.coalesce(F.sum("rows").over(Window.partitionBy("s").orderBy(*(c for c, t in held.dtypes if c in alike and "interval" not in t)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    extra = F.least("rows", F.greatest(F.lit(0).cast("long"), F.col("n_last") - ahead))
+    tied = tied.withColumn("n", F.least(F.col("rows") * F.col("full") + extra, F.col("rows") * max_epochs).cast("long"))
+    out = copies.select(*names, "n").unionByName(tied.select(*names, "n")).where("n > 0")
+    some = out.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / 1000))))
+    each = F.sequence(F.lit(1).cast("long"), F.least(F.lit(1000).cast("long"), F.col("n") - 1000 * F.col("part")))
+    return some.select(*names, F.explode(each)).select(*names).toDF(*docs.columns)
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

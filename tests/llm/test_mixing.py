@@ -76,6 +76,19 @@ def test_documents_of_the_mix(spark):
     assert {k: v for k, v in epochs.items() if v} == {k: v for k, v in got.items() if k not in (7, None)}
 
 
+def test_repeated_rows_are_taken_as_planned(spark):
+    rng = random.Random(4)
+    data = [(7, "w " * 5, "a", "x")] * 40 + [(7, "w " * 5, "a", "y")] * 3 + [(i, "w " * rng.randrange(1, 9), rng.choice("ab"), "x") for i in range(20, 60)] + [(8, "one two", "b", "x")] * 25
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, s string")
+    planned, got = defaultdict(int), defaultdict(int)
+    for r in mix_sources(docs).collect():
+        planned[r.doc_id] += r.epochs
+    for r in mixed_documents(docs).collect():
+        got[r.doc_id] += 1
+    assert got == {k: v for k, v in planned.items() if v}
+    assert 40 < got[7] < 86 or 25 < got[8] < 50  # one of them is cut
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mix_sources(docs).count() == 0
