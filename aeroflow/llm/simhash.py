@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from aeroflow.llm.frames import table
 from aeroflow.operators.components import connected_components
-from aeroflow.storage import materialise
+from aeroflow.storage import materialise, scratch
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -204,13 +204,14 @@ def deduplicated(docs: DataFrame, max_bits: int = 2, id_col: str = "doc_id", tex
     names = [f"c{i}" for i in range(len(docs.columns))]
     held = docs.toDF(*names)
     own, text = (names[docs.columns.index(x)] for x in (id_col, text_col))
-    marked, roots = _groups(held, max_bits, own, text)
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "h")
-    classes = marked.groupBy("id", "h", "fp").agg(F.count("*").alias("n")).join(roots, "fp")
-    classes = materialise(classes.select("root", "n", order.alias("doc")), "simhash-classes")
-    firsts = classes.groupBy("root").agg(F.min("doc").alias("first"))
-    judged = classes.join(firsts, "root").select(F.col("doc.id").alias("k"), F.col("doc.h").alias("kh"), "n", F.col("doc").eqNullSafe(F.col("first")).alias("stays"))
-    judged = materialise(judged.where("not stays or n > 1"), "simhash-judged")
+    with scratch(docs.sparkSession) as keep:
+        marked, roots = _groups(held, max_bits, own, text)
+        order = F.struct(F.col("id").isNull().alias("none"), "id", "h")
+        classes = marked.groupBy("id", "h", "fp").agg(F.count("*").alias("n")).join(roots, "fp")
+        classes = materialise(classes.select("root", "n", order.alias("doc")), "simhash-classes")
+        firsts = classes.groupBy("root").agg(F.min("doc").alias("first"))
+        judged = classes.join(firsts, "root").select(F.col("doc.id").alias("k"), F.col("doc.h").alias("kh"), "n", F.col("doc").eqNullSafe(F.col("first")).alias("stays"))
+        judged = keep(materialise(judged.where("not stays or n > 1"), "simhash-judged"))
     here = F.col(own).eqNullSafe(F.col("k")) & (F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))) == F.col("kh"))
     single = held.join(judged.select("k", "kh"), here, "left_anti")
     copies = held.join(judged.where("stays").select("k", "kh"), here)

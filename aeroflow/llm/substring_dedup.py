@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from aeroflow.llm.frames import table
 from aeroflow.operators.components import connected_components
-from aeroflow.storage import materialise, release
+from aeroflow.storage import materialise, release, scratch
 
 SHINGLE = 5
 WINDOW = 25
@@ -539,8 +539,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = [f"c{i}" for i in range(len(docs.columns))]
     held = docs.toDF(*names)
     own, body = (names[docs.columns.index(x)] for x in (id_col, text_col))
-    found = repeated_passages(held, own, body).where("n_removed > 0")
-    found = materialise(found.select("id", "h", F.filter("spans", lambda s: s["removed"]).alias("spans")), "dedup-removed")
+    with scratch(docs.sparkSession) as keep:
+        found = repeated_passages(held, own, body).where("n_removed > 0")
+        found = keep(materialise(found.select("id", "h", F.filter("spans", lambda s: s["removed"]).alias("spans")), "dedup-removed"))
     text = F.coalesce(F.col(body).cast("string"), F.lit(""))
     joined = held.join(found, F.col(own).eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("h")), "left")
 

@@ -60,3 +60,20 @@ def test_run_is_the_stages(spark, folder):
     key = lambda r: (r.doc_id, r.ids)
     assert sorted(map(key, once)) == sorted(map(key, again)) and len(once) > 100
     assert np.all([len(r.ids) > 0 for r in once])
+
+
+def test_runs_do_not_disturb_each_other(spark, folder):
+    """Stages of two runs in turn; what a stage returns can be read twice, also after later stages."""
+    path = folder[0]
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    held = {}
+    for run in ("a", "b"):
+        out = docs
+        for name, stage in P.STAGES[:4]:
+            returned = stage(spark, out, path)
+            held[run, name] = returned
+            out = P.materialise(returned, "twice-test")
+    key = lambda r: (r.doc_id is None, r.doc_id, r.text or "")
+    for name, _ in P.STAGES[:4]:
+        a, b = (sorted(map(key, held[run, name].collect())) for run in ("a", "b"))
+        assert a == b and a
