@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Callable
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,7 +10,7 @@ from aeroflow.llm.mixing import mixed_documents
 from aeroflow.llm.quality_rules import good_documents
 from aeroflow.llm.simhash import deduplicated
 from aeroflow.llm.substring_dedup import without_repeats
-from aeroflow.storage import drop_path, materialise, release, written_by
+from aeroflow.storage import materialise, release
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,27 +38,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-#: Tables that each stage wrote for itself, by its place.
-_LEFT: dict[int, list[str]] = {}
-
-
-def _stage(place: int, build: Callable) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """A stage that first deletes what the stage before wrote for itself.
-
-    The documents that a stage is given have been written by then, so nothing reads those any more.
-    """
-
-    @functools.wraps(build)
-    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        for path in _LEFT.pop(place - 1, []):
-            drop_path(spark, path)
-        out, _LEFT[place] = written_by(lambda: build(spark, docs, sf_dir))
-        return out
-
-    return stage
-
-
-_BUILDERS = [
+STAGES = [
     ("quality_rules", quality_rules),
     ("simhash_near_dedup", near_duplicates),
     ("substring_dedup", repeated_passages),
@@ -69,8 +46,6 @@ _BUILDERS = [
     ("byte_bpe", tokens),
 ]
 
-STAGES = [(name, _stage(i, build)) for i, (name, build) in enumerate(_BUILDERS)]
-
 #: Fingerprints by XXH64, MinHash and byte-pair merges have no SQL form.
 ORACLE_SQL = None
 
