@@ -53,17 +53,39 @@ def test_empty_and_few(spark):
     assert [tuple(r) for r in K.top_k(few, F.col("vec_id") % 5 == 0).collect()] == [(0, 1, 1, 256 * 512)]
 
 
+def search(q, x, leaf_rows):
+    best = K.Best(len(q), 5)
+    queries = K.Tree.over(q.astype(float), np.arange(len(q)), leaf_rows)
+    scored = K.dual_search(queries, K.Tree.unpacked(K.Tree.over(x.astype(float), np.arange(len(x)), leaf_rows).packed()), best)
+    for row, query in enumerate(queries.ids.tolist()):
+        s = x @ q[query]
+        order = [i for i in np.lexsort((np.arange(len(x)), -s)) if i != query][:5]
+        assert best.ids[row].tolist() == order
+    return scored
+
+
 def test_pruning_skips_most_scores():
+    """At the shipped leaf size: of clustered vectors few scores are computed, of others all at most."""
     rng = random.Random(1)
     x = np.floor(256 * np.array(clustered(rng, 4000, 8, 40))).astype(np.int64)
-    q = x[:200]
-    best = K.Best(200, 5)
-    scored = K.dual_search((q, np.arange(200), K.cover_tree(q.astype(float), 8)), (x, np.arange(4000), K.cover_tree(x.astype(float), 16)), best)
-    assert scored < 0.5 * 200 * 4000
-    for row in range(0, 200, 17):
-        s = x @ q[row]
-        order = [i for i in np.lexsort((np.arange(4000), -s)) if i != row][:5]
-        assert best.ids[row].tolist() == order
+    assert search(x[:200], x, K.LEAF_ROWS) < 0.4 * 200 * 4000
+    plain = np.floor(256 * np.array([[rng.gauss(0, 1) for _ in range(24)] for _ in range(1500)])).astype(np.int64)
+    assert search(plain[:100], plain, K.LEAF_ROWS) <= 100 * 1500
+    assert search(x[:40], x[:300], 3) < 40 * 300
+
+
+def test_given_tables_have_trees_of_several_levels(spark):
+    """At the shipped sizes every pair of nodes is judged by its bound, on the given tables too."""
+    import pyarrow.parquet as pq
+
+    x = np.floor(256 * np.array(pq.read_table("/root/testdata/sf0.01/embeddings.parquet")["embedding"].to_pylist()))
+    tree = K.Tree.over(x, np.arange(len(x)))
+    depth, level = 0, np.zeros(1, np.int64)
+    while len(level := np.concatenate([np.arange(tree.child[n], tree.child[n] + tree.children[n]) for n in level])):
+        depth += 1
+    assert depth >= 2 and (tree.children > 0).sum() > 10
+    df = spark.createDataFrame([(i, v) for i, v in enumerate((x / 256).tolist())], "vec_id long, embedding array<double>")
+    assert 0 < K.share_scored(df, F.col("vec_id") % 50 == 0) <= 1
 
 
 def test_tree_covers():
