@@ -16,14 +16,15 @@ from aeroflow.llm.frames import table
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg noframes xmp select option button".split())
+RAW = frozenset("script style textarea title noscript template iframe svg noframes xmp".split())
+CONTROLS = frozenset("button datalist optgroup option select".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mrow ms msqrt msub msup mtext q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 #: Elements and class or id words that speak against content, and for it.
 CHROME = frozenset("nav header footer aside form menu dialog".split())
-BAD_WORDS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted recommend recommended related reply replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+BAD_WORDS = frozenset("ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted recommend recommended related reply replies respond share sharing sidebar social sponsor sponsored subscribe toolbar topbar widget".split())
 GOOD_WORDS = frozenset("article body content entry main maincontent post story text".split())
 
 #: Words that begin so are taken like the bad words: commentlist, cookiebar and the like.
@@ -87,13 +88,16 @@ def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order; inside a block white space is one space.
 
     Scripts, styles and other raw elements give no text, inline tags and line breaks do not end a
-    block, unclosed and truncated tags are closed where a browser would.
+    block, unclosed and truncated tags are closed where a browser would. Buttons and lists of
+    options give no text and do not end a block either; one without an end tag of its own ends at
+    the next block-level tag, so nothing after it is lost.
     """
     out: list[Block] = []
     root = Element(None, "html")
     elements, stack, opened = [root], [root], Counter()
     parts: list[str] = []
     links = in_link = 0
+    control, closed = "", False
 
     def flush() -> None:
         nonlocal links
@@ -106,6 +110,8 @@ def blocks(page: str) -> list[Block]:
 
     def say(text: str) -> None:
         nonlocal links
+        if control:
+            return
         parts.append(text)
         if in_link:
             links += len(text.strip())
@@ -126,6 +132,17 @@ def blocks(page: str) -> list[Block]:
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
             continue
+        if name in CONTROLS:
+            if closing and name == control:
+                control = ""
+                say(" ")
+            elif not closing and not control:
+                control = name
+                end = re.compile(rf"<(/?){name}\b", re.I).search(page, at)
+                closed = bool(end and end[1]) and name not in ("option", "optgroup")
+            continue
+        if control and closed:
+            continue
         if name == "br":
             say(" ")
             continue
@@ -134,8 +151,10 @@ def blocks(page: str) -> list[Block]:
                 in_link = 0 if closing else 1
             continue
         if name in VOID:
-            flush()
+            if not control:
+                flush()
             continue
+        control = ""
         flush()
         in_link = 0
         if closing:
@@ -165,9 +184,14 @@ WIDE = 0.7
 WEIGHTS = {"bias": -0.4, "article": 2.6, "main": 1.6, "paragraph": 0.9, "heading": 0.3, "length": 0.55, "marks": 0.5, "links": -2.4, "chrome": -6.0, "bad_words": -5.0, "phrases": -3.0, "good_words": 0.8, "hidden": -8.0}
 
 
+#: What a block's length can say at most; of a block of links it says nothing.
+MOST_LENGTH = 5.0
+
+
 def content_score(block: Block) -> float:
     """Log-odds that a block is content."""
     e, size = block.element, len(block.text)
+    links = min(1.0, block.link_chars / size)
     heading_in_article = e.frame == "header" and e.article and e.heading
     values = {
         "bias": 1.0,
@@ -175,9 +199,9 @@ def content_score(block: Block) -> float:
         "main": e.main,
         "paragraph": e.paragraph,
         "heading": e.heading,
-        "length": math.log1p(size / 40),
+        "length": min(MOST_LENGTH, math.log1p(size / 40)) * (1 - links),
         "marks": min(2, sum(block.text.count(c) for c in ".,;!?")) / 2,
-        "links": min(1.0, block.link_chars / size),
+        "links": links,
         "chrome": e.chrome and not heading_in_article,
         "bad_words": e.bad,
         "phrases": size < 200 and not (e.article or e.main) and bool(_PHRASES.search(block.text)),
@@ -277,13 +301,17 @@ def minimum_cut(content: list[float], other: list[float], edges: list[tuple[int,
             x = to[e]
 
 
+def labels(found: list[Block]) -> list[bool]:
+    """Which blocks are content, by the minimum cut of their scores and smoothness edges."""
+    scores = [content_score(b) for b in found]
+    edges = [(i - gap, i, w) for i in range(len(found)) for gap in range(1, min(REACH, i) + 1) if (w := smoothness(found[i - gap], found[i], gap)) > 0]
+    return minimum_cut([max(0.0, s) for s in scores], [max(0.0, -s) for s in scores], edges)
+
+
 def main_text(page: str | None) -> str:
     """The content blocks of a page, joined by one space."""
     found = blocks(page or "")
-    scores = [content_score(b) for b in found]
-    edges = [(i - gap, i, w) for i in range(len(found)) for gap in range(1, min(REACH, i) + 1) if (w := smoothness(found[i - gap], found[i], gap)) > 0]
-    kept = minimum_cut([max(0.0, s) for s in scores], [max(0.0, -s) for s in scores], edges)
-    return " ".join(b.text for b, keep in zip(found, kept) if keep)
+    return " ".join(b.text for b, keep in zip(found, labels(found)) if keep)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

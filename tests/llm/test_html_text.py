@@ -63,6 +63,65 @@ def test_words_of_page_wide_wrappers_say_nothing():
         assert H.main_text(text) == f"Bridge news here {BODY} {MORE}"
 
 
+def test_controls_take_nothing_else_along():
+    ok = f"{BODY} {MORE}"
+    for inner in (
+        f"<p>{BODY}</p><datalist><option value=a>A<option value=b>B</datalist><p>{MORE}</p>",
+        f"<p>{BODY}</p><select><option>One<option>Two<p>{MORE}</p>",
+        f"<p>{BODY}</p><button>Menu<p>{MORE}</p>",
+        f"<p>{BODY}</p><button>Menu<p>{MORE}</p><button>Close</button>",
+        f"<p>{BODY}</p><button type=button><div>Menu</div><div>Open</div></button><p>{MORE}</p>",
+        f"<p>{BODY} <button>Copy</button> {MORE}</p>",
+        f"<p>{BODY}</p><option>stray<p>{MORE}</p></option>",
+        f"<p>{BODY}</p></button></select><p>{MORE}</p>",
+    ):
+        assert H.main_text(page(f"<article>{inner}</article>")) == ok, inner
+
+
+def test_optional_end_tags():
+    for inner, want in (
+        (f"<ul><li>{BODY}<li>{MORE}</ul>", f"{BODY} {MORE}"),
+        (f"<dl><dt>{BODY}<dd>{MORE}</dl>", f"{BODY} {MORE}"),
+        (f"<table><tr><td>{BODY}<td>{MORE}<tr><td>{BODY}</table>", f"{BODY} {MORE} {BODY}"),
+        (f"<p>{BODY}<p>{MORE}<h2>Then and now</h2>{BODY}", f"{BODY} {MORE} Then and now {BODY}"),
+    ):
+        assert H.main_text(page(f"<article>{inner}</article>")) == want, inner
+
+
+def test_a_block_of_links_is_no_content():
+    links = "".join(f'<a href="/{i}">Page number {i}, read it</a> ' for i in range(2000))
+    assert H.main_text(page(f"<p>{links}</p><main><h1>Title here</h1><p>{BODY}</p><p>{MORE}</p></main>")) == f"Title here {BODY} {MORE}"
+    assert H.main_text(page(f"<p>{links}</p>")) == ""
+
+
+#: Pages as sites write them, each block marked by hand: true if it is main text.
+HAND_LABELLED = [
+    [("<div class='topbar'>{}</div>", "Call us today for a quote", False), ("<h1>{}</h1>", "How bridges age", True), ("<div class='post-body'><p>{}</p>", BODY, True), ("<p>{}</p></div>", MORE, True), ("<div class='share-buttons'>{}</div>", "Share this on every site", False), ("<div id='comments'><p>{}</p></div>", BODY + " I agree.", False)],
+    [("<nav><a href='/'>{}</a></nav>", "Home", False), ("<main><p>{}</p>", BODY, True), ("<ul><li>{}</li>", "First, check the bolts of the deck.", True), ("<li>{}</li></ul>", "Then, check the cables.", True), ("<blockquote>{}</blockquote></main>", MORE, True), ("<footer>{}</footer>", "Contact and imprint", False)],
+    [("<aside class='promo'>{}</aside>", MORE, False), ("<article><header><h1>{}</h1></header>", "Old bridge, new road", True), ("<p>{}</p>", BODY, True), ("<figure><figcaption>{}</figcaption></figure>", "The bridge in 1920, seen from the south.", True), ("<p>{}</p></article>", MORE, True), ("<div class='related'><a href='/x'>{}</a></div>", "Ten more bridges to see", False)],
+]
+
+
+def test_hand_labelled_pages():
+    for blocks in HAND_LABELLED:
+        text = page("".join(tag.format(words) for tag, words, _ in blocks))
+        assert H.main_text(text) == " ".join(words for _, words, main in blocks if main)
+
+
+def test_labels_of_pages_are_the_cheapest():
+    """What a page yields is the labelling of least cost of all there are."""
+    rng = random.Random(8)
+    tags = ["<p>{}</p>", "<div>{}</div>", "<nav>{}</nav>", "<li>{}</li>", "<h2>{}</h2>", "<div class='sidebar'>{}</div>", "<article><p>{}</p></article>", "<a href='/'>{}</a><br>", "<div class='comment'><p>{}</p></div>"]
+    for _ in range(40):
+        found = H.blocks(page("".join(rng.choice(tags).format(" ".join(rng.choice(["one", "two,", "three."]) for _ in range(rng.randrange(1, 40)))) for _ in range(rng.randrange(1, 9)))))
+        costs, others = ([max(0.0, k * H.content_score(b)) for b in found] for k in (1, -1))
+        edges = [(i, j, H.smoothness(found[i], found[j], j - i)) for j in range(len(found)) for i in range(max(0, j - H.REACH), j)]
+        cost = lambda labels: sum(others[i] if x else costs[i] for i, x in enumerate(labels)) + sum(w for a, b, w in edges if labels[a] != labels[b])  # noqa: B023, E731
+        best = min(map(cost, itertools.product([False, True], repeat=len(found))))
+        labels = H.labels(found)
+        assert len(labels) == len(found) and cost(labels) <= best + 1e-6
+
+
 def test_formulas_stay():
     assert H.main_text(page(f"<article><p>{BODY} <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p></article>")) == f"{BODY} x=1"
 
