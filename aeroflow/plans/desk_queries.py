@@ -210,7 +210,7 @@ def briefing_index(spark, d):
 
 
 _SAME = """
-WITH i AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(split_part(text, chr(10), 1) || ' ' || substr(substr(text, length(split_part(text, chr(10), 1)) + 2), 1, 280)), '[a-z0-9]{3,}'), lambda x: NOT list_contains(['the', 'and', 'des', 'und'], x) AND NOT regexp_full_match(x, '(19|20)\\d\\d|\\d{1,2}(st|nd|rd|th)')))) AS t FROM documents),
+WITH i AS (SELECT doc_id, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(split_part(text, chr(10), 1) || ' ' || substr(substr(text, length(split_part(text, chr(10), 1)) + 2), 1, 280), '[A-Za-z0-9][A-Za-z0-9+''-]*|[\u3400-\u9fff]{2,}'), lambda x: lower(x)), lambda x: (length(x) >= 3 OR regexp_matches(x, '[0-9]')) AND NOT list_contains(['the', 'and', 'des', 'und'], x) AND NOT regexp_full_match(x, '(19|20)\\d\\d|\\d{1,2}(st|nd|rd|th)')))) AS t FROM documents),
 s AS (SELECT t, min(doc_id) AS id, len(t) AS n FROM i WHERE len(t) >= 3 GROUP BY t),
 x AS (SELECT id, n, unnest(t) AS k FROM s),
 p AS (SELECT a.id AS src, b.id AS dst, count(*) AS c, any_value(a.n) AS n, any_value(b.n) AS m, bool_or(regexp_matches(a.k, '[0-9]')) AS ident, bool_or(a.k IN ('tion', 'los', 'les', 'der', 'was')) AS act FROM x a JOIN x b ON a.k = b.k AND a.id < b.id GROUP BY a.id, b.id HAVING count(*) >= 3)

@@ -52,14 +52,26 @@ groups AS (SELECT s.doc_id, coalesce(l.label, s.doc_id) AS group_id FROM sets s
 
 def _grouped(spark: SparkSession, d: str) -> DataFrame:
     items = _items(spark, d).select(F.col("doc_id").alias("id"), T.tokens(F.concat_ws(" ", "title", F.substring("summary", 1, 280))).alias("tokens"))
-    return P.event_groups(items)
+    return P.token_groups(items)
 
 
 @query(_GROUPS + "SELECT doc_id, group_id FROM groups")
-def event_groups(spark, d):
+def token_groups(spark, d):
     return _grouped(spark, d).select(F.col("id").alias("doc_id"), "group_id")
 
 
+def _stories(spark: SparkSession, d: str) -> DataFrame:
+    """Items with title keys and event tokens."""
+    items = _items(spark, d)
+    return items.select(F.col("doc_id").alias("id"), "source", "summary", T.title_key(F.col("title")).alias("title"), P.event_tokens(F.col("title"), F.col("summary")).alias("tokens"))
+
+
+@query(None)
+def event_groups(spark, d):
+    """Items of one event by titles, tokens and anchors; the sequence ratio has no SQL form."""
+    return P.event_groups(_stories(spark, d)).select(F.col("id").alias("doc_id"), "group_id")
+
+
 _FACTS = _GROUPS + """,
 placed AS (SELECT g.group_id, i.doc_id, i.source, contains(lower(i.title), 'the') AS priority, row_number() OVER (PARTITION BY g.group_id ORDER BY length(i.summary) DESC, i.doc_id) AS place FROM groups g JOIN items i USING (doc_id)),
 facts AS (SELECT group_id, count(*) AS n_members, min_by(doc_id, place) AS lead_id, count(DISTINCT source) AS n_sources, bool_or(priority) AS priority, max(doc_id) AS newest_id FROM placed WHERE place <= 6 GROUP BY group_id)
@@ -99,8 +111,25 @@ def pending_groups(spark, d):
     """Fresh items to ranked groups: stories, roundups of lone notices, nothing that is all known."""
     age = F.col("doc_id") % 160
     items = _items(spark, d).where(G.freshness(F.timestamp_add("HOUR", (-age).cast("int"), F.lit(AS_OF).cast("timestamp_ntz")), _as_of(spark), F.lit("x")) == "fresh")
-    rows = items.select(F.col("doc_id").alias("id"), "source", age.alias("age"), "title", "summary", (F.col("doc_id") % 7 == 0).alias("seen"), T.tokens(F.concat_ws(" ", "title", F.substring("summary", 1, 280))).alias("tokens"))
-    return P.pending_groups(rows, F.col("title").rlike("^[A-C]")).select("group_id", "roundup", "is_update", "n_members", "n_sources", "lead_id", "material", F.col("newest").alias("newest_h"), "rank")
+    rows = items.select(F.col("doc_id").alias("id"), "source", age.alias("age"), "title", "summary", (F.col("doc_id") % 7 == 0).alias("echoes"), (F.col("doc_id") % 7 > 0).alias("is_new"), T.tokens(F.concat_ws(" ", "title", F.substring("summary", 1, 280))).alias("tokens"))
+    found = P.pending_groups(rows, P.token_groups(rows), F.col("title").rlike("^[A-C]"))
+    return found.select("group_id", "roundup", "is_update", "n_members", "n_sources", "lead_id", "material", F.col("newest").alias("newest_h"), "rank")
+
+
+@query(None)
+def pending_stories(spark, d):
+    """Fresh items, grouped by event, against the memory of older ones: the groups to report on next.
+
+    Ages are hours before the time of reading; items beyond the window of 120 hours are what was seen.
+    """
+    now = _as_of(spark)
+    aged = _stories(spark, d).withColumn("age", F.col("id") % 160).withColumn("stamp", F.timestamp_add("HOUR", (-F.col("age")).cast("int"), now))
+    reason = G.freshness(F.col("stamp"), now, F.col("title"))
+    fresh, memory = aged.where(reason == "fresh"), aged.where(reason == "old").select("title", F.col("stamp").alias("first_seen"))
+    none = F.lit(None).cast("string").alias("url")
+    items = P.novelty(fresh.select("*", none), memory.select(none), memory, now)
+    found = P.pending_groups(items, P.event_groups(fresh), F.col("title").rlike("^incident\\b"))
+    return found.select("group_id", "roundup", "is_update", "n_members", "n_sources", "lead_id", "material", "newest", "rank")
 
 
 @query(f"""
@@ -489,9 +518,9 @@ def rate_limited(spark, d):
 
 @query(None)
 def title_ratio_pairs(spark, d):
-    """New titles (ids divisible by 100) against all titles; equal titles meet once."""
-    titles = _items(spark, d).groupBy(T.title_key(F.col("title")).alias("title")).agg(F.min("doc_id").alias("id")).where("title <> ''")
-    return P.similar_titles(titles.where("id % 100 = 0"), titles)
+    """Every two different title keys with a ratio of 0.75 or more, the one with the smaller id first."""
+    titles = _items(spark, d).groupBy(T.title_key(F.col("title")).alias("title")).agg(F.min("doc_id").alias("id"))
+    return P.similar_titles(titles, titles, once=True)
 
 
 @query(None)

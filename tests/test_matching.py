@@ -9,7 +9,7 @@ from aeroflow.functions.text import haversine_km
 from aeroflow.operators.articles import evidence_budget
 from aeroflow.operators.briefings import rate_limited
 from aeroflow.operators.gates import verified_quotes
-from aeroflow.operators.grouping import anchored_links, pending_groups, similar_titles
+from aeroflow.operators.grouping import anchored_links, pending_groups, similar_titles, token_groups
 from aeroflow.operators.history import within_radius
 
 
@@ -23,7 +23,7 @@ def test_similar_titles_are_all_found(spark):
             changed[rng.randrange(len(changed))] = rng.choice("xyz")
         titles.append((100 + i, "".join(changed)))
     df = spark.createDataFrame(titles, "id long, title string")
-    got = {(r.src, r.dst) for r in similar_titles(df.where("id < 40"), df, block=7).collect()}
+    got = {(r.src, r.dst) for r in similar_titles(df.where("id < 40"), df).collect()}
     want = {(i, j) for i, a in titles if i < 40 for j, b in titles if i != j and difflib.SequenceMatcher(None, a, b).ratio() >= 0.75}
     assert got == want and len(want) > 20
 
@@ -79,7 +79,8 @@ def test_pending_groups(spark):
         *[(10 + i, "n", i, f"Notice {i}", "", False, [f"notice{i}"]) for i in range(8)],
         (30, "z", 2, "Alone", "", False, ["alone"]),
     ]
-    got = pending_groups(spark.createDataFrame(rows, "id long, source string, age long, title string, summary string, seen boolean, tokens array<string>"), F.col("title").startswith("Notice")).orderBy("rank").collect()
+    items = spark.createDataFrame(rows, "id long, source string, age long, title string, summary string, echoes boolean, tokens array<string>").withColumn("is_new", ~F.col("echoes"))
+    got = pending_groups(items, token_groups(items), F.col("title").startswith("Notice")).orderBy("rank").collect()
     assert [(r.group_id, r.roundup, r.is_update, r.n_members, r.lead_id) for r in got] == [(1, False, True, 2, 1), (10, True, False, 6, 10), (16, True, False, 2, 16), (30, False, False, 1, 30)]
 
 
