@@ -4,9 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from aeroflow.functions.text import haversine_km
+
+
+#: Kinds of sources that are vehicles on the ground, and those whose positions are rough.
+GROUND_VEHICLES = ["adsb_icao_nt"]
+ROUGH = ["tisb", "other", "mode_s", "mlat"]
+
 
 def normalised(observations: DataFrame) -> DataFrame:
-    """Typed observations: codes trimmed and upper-cased, altitude split from the ground flag."""
+    """Typed observations: codes trimmed and upper-cased, altitude split from the ground flag.
+
+    ``type`` and ``source_type`` come from the raw fields t and type; columns that the rows do not
+    have (ts, type, ownOp) are left out or null.
+    """
+    there = lambda c: F.col(c) if c in observations.columns else F.lit(None).cast("string")
     code = lambda c: F.nullif(F.upper(F.trim(c)), F.lit(""))
     return observations.select(
         F.lower(F.trim(F.ltrim(F.col("hex"), F.lit("~")))).alias("hex"),
@@ -24,6 +36,10 @@ def normalised(observations: DataFrame) -> DataFrame:
         "dbFlags",
         "squawk",
         "emergency",
+        there("type").alias("source_type"),
+        F.coalesce(there("type").isin(*ROUGH), F.lit(False)).alias("low_confidence"),
+        there("ownOp").alias("operator_name"),
+        *(["ts"] if "ts" in observations.columns else []),
     )
 
 
@@ -34,8 +50,12 @@ def sensitive_reason(flags: Column, squawk: Column, emergency: Column) -> Column
     return F.when(bit(1), "military").when(bit(4), "pia").when(bit(8), "ladd").when(urgent, "emergency")
 
 
-def position_ok(lat: Column, lon: Column, seen: Column, seen_pos: Column) -> Column:
-    return F.coalesce(lat.isNotNull() & lon.isNotNull() & (seen_pos <= 30) & (seen <= 60), F.lit(False))
+def position_ok(lat: Column, lon: Column, seen: Column, seen_pos: Column, source_type: Column | None = None) -> Column:
+    """Whether a row's position can prove something: at most 30 s old, the row at most 60 s, no ground vehicle."""
+    fresh = lat.isNotNull() & lon.isNotNull() & (seen_pos <= 30) & F.coalesce(seen <= 60, F.lit(True))
+    if source_type is not None:
+        fresh = fresh & ~F.coalesce(source_type.isin(*GROUND_VEHICLES), F.lit(False))
+    return F.coalesce(fresh, F.lit(False))
 
 
 def track_status(points: DataFrame, keys: list[str], fence_km: float = 5.0) -> DataFrame:
@@ -87,10 +107,19 @@ def track_status(points: DataFrame, keys: list[str], fence_km: float = 5.0) -> D
 
 
 def cross_check(primary: DataFrame, secondary: DataFrame) -> DataFrame:
-    """Each primary observation against the second source: what agrees and what conflicts."""
-    s = secondary.select("hex", *(F.col(c).alias(f"s_{c}") for c in ("registration", "type", "callsign", "on_ground", "alt_ft")))
+    """Each primary observation against the second source: what agrees and what conflicts.
+
+    ``check`` is unavailable without a row of the second source; conflicting if codes that both
+    have differ, if one is on the ground and the other above 10 000 ft, or if positions are over
+    30 km apart; primary_only if the second position is stale; else confirmed.
+    """
+    fields = ("registration", "type", "callsign", "on_ground", "alt_ft", "lat", "lon", "seen", "seen_pos", "source_type")
+    s = secondary.select("hex", *(F.col(c).alias(f"s_{c}") for c in fields), F.lit(True).alias("s_there"))
     met = primary.join(s, "hex", "left")
-    differs = lambda c: F.coalesce(F.col(c) != F.col(f"s_{c}"), F.lit(False))
+    differs = lambda c: F.coalesce(F.upper(c) != F.upper(f"s_{c}"), F.lit(False))
     apart = F.coalesce((F.col("on_ground") & (F.col("s_alt_ft") > 10000)) | (F.col("s_on_ground") & (F.col("alt_ft") > 10000)), F.lit(False))
-    known = F.col("s_on_ground").isNotNull()
-    return met.withColumn("check", F.when(~known, "primary_only").when(differs("registration") | differs("type") | differs("callsign") | apart, "conflicting").otherwise("confirmed"))
+    placed = F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("s_lat").isNotNull() & F.col("s_lon").isNotNull()
+    far = F.coalesce(placed & (haversine_km(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon")) > 30), F.lit(False))
+    stale = ~position_ok(*(F.col(f"s_{c}") for c in ("lat", "lon", "seen", "seen_pos", "source_type")))
+    conflict = differs("registration") | differs("type") | differs("callsign") | apart | far
+    return met.withColumn("check", F.when(F.col("s_there").isNull(), "unavailable").when(conflict, "conflicting").when(stale, "primary_only").otherwise("confirmed")).drop("s_there")

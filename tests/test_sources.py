@@ -41,8 +41,25 @@ def test_observations(spark):
     assert [(r.hex, r.non_icao, r.registration, r.type, r.callsign, r.on_ground, r.alt_ft, r.reason, r.ok) for r in got] == [("abc1", True, "B-1", "B738", "CAL12", True, None, None, True), ("abc2", False, None, None, "X", False, 35000.0, "ladd", False)]
     first = normalised(raw)
     second = first.withColumn("registration", first.registration)
-    assert {r.check for r in cross_check(first, second).collect()} == {"confirmed"}
-    assert {r.check for r in cross_check(first, second.limit(0)).collect()} == {"primary_only"}
+    assert {r.hex: r.check for r in cross_check(first, second).collect()} == {"abc1": "confirmed", "abc2": "primary_only"}
+    assert {r.check for r in cross_check(first, second.limit(0)).collect()} == {"unavailable"}
+
+
+def test_second_source(spark):
+    from pyspark.sql import functions as F
+
+    schema = "hex string, r string, t string, flight string, alt_baro string, gs double, lat double, lon double, seen double, seen_pos double, dbFlags int, squawk string, emergency string, type string"
+    row = ("a1b2c3", "N501DN", "A359", "DAL123", "ground", 5.0, 22.577, 120.35, 2.0, 1.0, 0, None, None, "adsb_icao")
+    first = normalised(spark.createDataFrame([row], schema))
+    change = lambda **new: normalised(spark.createDataFrame([tuple(new.get(c.split(" ")[0], x) for c, x in zip(schema.split(", "), row))], schema))
+    told = lambda second: cross_check(first, second).first().check
+    assert told(change(flight="DAL123  ", lat=22.58, lon=120.36, hex="A1B2C3")) == "confirmed"
+    assert told(change(r="N999XX")) == told(change(t="B744")) == told(change(flight="X1")) == told(change(alt_baro="12000")) == told(change(lat=22.9)) == "conflicting"
+    assert told(change(alt_baro="9000")) == told(change(r=None, t="")) == "confirmed"
+    assert told(change(seen_pos=120.0)) == told(change(type="adsb_icao_nt")) == told(change(lat=None)) == "primary_only"
+    assert cross_check(first, change(hex="other")).where(F.col("check") == "unavailable").count() == 1
+    ok = change(seen=None).select(position_ok(F.col("lat"), F.col("lon"), F.col("seen"), F.col("seen_pos"), F.col("source_type")).alias("ok"))
+    assert ok.first().ok
 
 
 def test_pages():
