@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from aeroflow.operators.dictionary import phrases_in
+from aeroflow.operators.scan import before, deal
 
 #: Fixed patterns of text that tries to steer a language model.
 INJECTION = r"(?i)(ignore|disregard|forget) (all |any )?(the |your )?(previous|prior|above|earlier) (instructions|rules|prompts)|system prompt|jailbreak|developer mode"
@@ -65,19 +66,36 @@ def history_budget(turns: DataFrame, conversation: str, turn: str, role: str, te
     return ranked.withColumn("total", total).where(F.col("total") <= budget)
 
 
-def context_budget(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], text: str, each: int, budget: int) -> DataFrame:
-    """Rows in order, each clipped, until the budget is used; the last is cut to what is left."""
-    part = rows.withColumn("part", F.substring(F.coalesce(F.col(text), F.lit("")), 1, each))
-    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = part.withColumn("left", budget - F.coalesce(F.sum(F.length("part")).over(before), F.lit(0))).where("left > 0")
-    return placed.withColumn("part", F.expr("substring(part, 1, cast(left as int))"))
+def context_budget(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], text: str, each: int, budget: int, row_id: str) -> DataFrame:
+    """Rows in order, each clipped, until the budget is used; the last is cut to what is left.
+
+    ``row_id`` is unique. Lengths are totalled over parts of each group; only rows inside the
+    budget meet their texts, and at most ``budget`` + 1 rows with a text are left in a group.
+    """
+    size = F.length(F.substring(F.coalesce(F.col(text), F.lit("")), 1, each)).cast("long")
+    given = rows.withColumn("_size", size)
+    groups = {f"_k{i}": _group(F.col(k)) for i, k in enumerate(keys)}
+    sized = given.select(*(c for c in rows.columns if c != text), "_size", *(v.alias(k) for k, v in groups.items()))
+    placed = before(deal(sized, list(groups), order, "context-sizes"), list(groups), order, {"_used": (F.sum, F.col("_size"))})
+    kept = placed.where(F.col("_used") < budget).select(F.col(row_id).alias("_id"), (budget - F.col("_used")).alias("left"))
+    out = rows.join(kept, F.col(row_id).eqNullSafe(F.col("_id"))).drop("_id").withColumn("part", F.substring(F.coalesce(F.col(text), F.lit("")), 1, each))
+    return out.withColumn("part", F.expr("substring(part, 1, cast(left as int))"))
+
+
+def _group(key: Column) -> Column:
+    """A key that is never null and tells null from every value."""
+    return F.coalesce(F.concat(F.lit("="), key.cast("string")), F.lit("null"))
 
 
 def chunked(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], size: int) -> DataFrame:
-    """Chunk numbers of ``size`` rows in order, and each chunk's number of rows."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    out = rows.withColumn("place", place).withColumn("chunk", F.floor((F.col("place") - 1) / size))
-    return out.withColumn("chunk_rows", F.count("*").over(Window.partitionBy(*keys, "chunk")))
+    """Chunk numbers of ``size`` rows in order, and each chunk's number of rows; places are counted over
+    parts of each group."""
+    groups = {f"_k{i}": _group(F.col(k)) for i, k in enumerate(keys)}
+    held = deal(rows.withColumns(groups), list(groups), order, "chunk-rows")
+    placed = before(held, list(groups), order, {"_ahead": (F.sum, F.lit(1))})
+    out = placed.withColumns({"place": (F.col("_ahead") + 1).cast("int"), "chunk": F.floor(F.col("_ahead") / size)})
+    sized = out.withColumn("chunk_rows", F.count("*").over(Window.partitionBy(*groups, "chunk")))
+    return sized.select(*rows.columns, "place", "chunk", "chunk_rows")
 
 
 def verified_quotes(quotes: DataFrame, texts: DataFrame, quote: str, text: str, text_id: str, least: int = 8) -> DataFrame:

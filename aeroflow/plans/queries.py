@@ -446,7 +446,7 @@ WITH p AS (SELECT source, doc_id, substr(text, 1, 4000) AS part FROM documents),
 b AS (SELECT *, 12000 - coalesce(sum(length(part)) OVER (PARTITION BY source ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l FROM p)
 SELECT source, doc_id, length(substr(part, 1, l::INT)) AS chars, md5(substr(part, 1, l::INT)) AS part_md5 FROM b WHERE l > 0""")
 def context_budget(spark, d):
-    out = G.context_budget(_read(spark, d, "documents"), ["source"], [F.desc("doc_id")], "text", 4000, 12000)
+    out = G.context_budget(_read(spark, d, "documents"), ["source"], [F.desc("doc_id")], "text", 4000, 12000, "doc_id")
     return out.select("source", "doc_id", F.length("part").cast("long").alias("chars"), F.md5("part").alias("part_md5"))
 
 
@@ -513,7 +513,9 @@ def track_status(spark, d):
 @query(None)
 def rate_limited(spark, d):
     events = _read(spark, d, "events")
-    return B.rate_limited(events, "user_id", "ts", "event_id", per_minute=2, per_day=10, cooldown_s=3600, question="event_type").withColumnsRenamed({"user": "user_id", "request": "event_id"})
+    asked = events.withColumns({"cost": F.col("value") / 100, "outside": F.col("event_type") == "view"})
+    found = B.rate_limited(asked, "user_id", "ts", "event_id", per_minute=2, per_day=10, cooldown_s=3600, question="event_type", cost="cost", budget=100.0, external="outside", external_per_day=1)
+    return found.withColumnsRenamed({"user": "user_id", "request": "event_id"})
 
 
 @query(None)

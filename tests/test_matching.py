@@ -103,3 +103,71 @@ def test_budget_and_limits_pass_in_order(spark):
     asked = spark.createDataFrame([("u", i, s, q) for i, (s, q) in enumerate([(0, "a"), (10, "a"), (20, "b"), (30, "c"), (31, "d"), (100, "a")])], "u string, i int, s int, q string").withColumn("ts", F.timestamp_seconds("s"))
     told = {r.request: r.decision for r in rate_limited(asked, "u", "ts", "i", per_minute=2, question="q").collect()}
     assert told == {0: "allowed", 1: "cooldown", 2: "allowed", 3: "minute", 4: "minute", 5: "allowed"}
+
+
+def plain_limits(rows, per_minute, per_day, cooldown, budget, outside):
+    """Requests (user, id, seconds, question, cost, wants) one by one, all users together."""
+    state, spent, out = {}, {}, {}
+    for user, i, t, q, cost, wants in sorted(rows, key=lambda r: (r[2], r[1])):
+        day = t // 86400
+        s = state.get(user)
+        if s is None or s["day"] != day:
+            s = state[user] = {"day": day, "recent": [], "last": {}, "answers": 0, "outside": 0}
+        over = spent.get(day, 0) >= budget
+        if len([x for x in s["recent"] if x >= t - 60]) >= per_minute:
+            told = "minute"
+        elif q in s["last"] and t - s["last"][q] < cooldown:
+            told = "cooldown"
+        elif s["answers"] >= per_day:
+            told = "day"
+        else:
+            told = "over_budget" if over else "allowed"
+            s["recent"].append(t)
+            s["last"][q] = t
+            if not over:
+                s["answers"] += 1
+                spent[day] = spent.get(day, 0) + cost
+        may = told in ("allowed", "over_budget") and s["outside"] < outside
+        s["outside"] += wants and may
+        out[i] = (told, may if wants else None)
+    return out
+
+
+def test_one_budget_for_all_users(spark):
+    rng = random.Random(21)
+    rows = [(rng.choice("aaaaabcd"), i, 86400 * rng.randrange(4) + rng.randrange(3000) // 5 * 5, rng.choice("xyz"), float(rng.randrange(4)), rng.random() < 0.5) for i in range(900)]
+    df = spark.createDataFrame(rows, "u string, i int, s int, q string, c double, w boolean").withColumn("ts", F.timestamp_seconds("s"))
+    for budget, per_day in ((60.0, 30), (1e9, 12), (0.5, 5)):
+        got = {r.request: (r.decision, r.external) for r in rate_limited(df, "u", "ts", "i", per_minute=4, per_day=per_day, cooldown_s=30, question="q", cost="c", budget=budget, external="w", external_per_day=3).collect()}
+        assert got == plain_limits(rows, 4, per_day, 30, budget, 3)
+        assert {"minute", "cooldown", "allowed"} <= {d for d, _ in got.values()}
+    edge = spark.createDataFrame([(i, "u", s) for i, s in enumerate([0, 60, 121])], "i int, u string, s int").withColumn("ts", F.timestamp_seconds("s"))
+    assert [r.decision for r in rate_limited(edge, "u", "ts", "i", per_minute=1).orderBy("request").collect()] == ["allowed", "minute", "allowed"]
+
+
+def test_running_totals_over_parts(spark):
+    from aeroflow.operators.gates import chunked, context_budget
+    from aeroflow.operators.scan import before, deal
+
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), rng.choice([None, 1, 2, 3]), "x" * rng.randrange(0, 30)) for i in range(500)] + [(900, "a", 1, None)]
+    df = spark.createDataFrame(rows, "i int, g string, o int, t string")
+    order = [F.col("o").asc_nulls_first(), F.col("i")]
+    ordered = {g: sorted((r for r in rows if r[1] == g), key=lambda r: (r[2] is not None, r[2] or 0, r[0])) for g in ("a", "b", None)}
+    got = {r.i: (r.n, r.x) for r in before(deal(df.where("g is not null"), ["g"], order, "t"), ["g"], order, {"n": (F.sum, F.lit(1)), "x": (F.bit_xor, F.col("i").cast("long"))}).collect()}
+    for g in ("a", "b"):
+        x = 0
+        for n, r in enumerate(ordered[g]):
+            assert got[r[0]] == (n, x)
+            x ^= r[0]
+    got = {r.i: (r.place, r.chunk, r.chunk_rows) for r in chunked(df, ["g"], order, 6).collect()}
+    assert got == {r[0]: (n + 1, n // 6, min(6, len(ordered[g]) - n // 6 * 6)) for g in ordered for n, r in enumerate(ordered[g])}
+    got = {r.i: r.part for r in context_budget(df, ["g"], order, "t", 20, 200, "i").collect()}
+    want = {}
+    for g in ordered:
+        left = 200
+        for r in ordered[g]:
+            if left > 0:
+                want[r[0]] = (r[3] or "")[:20][:left]
+                left -= len((r[3] or "")[:20])
+    assert got == want
