@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from aeroflow.functions import text as T
-from aeroflow.operators import briefings as B, desk as D, gates as G, grouping as P, ingest as I
+from aeroflow.operators import briefings as B, desk as D, editions as E, gates as G, grouping as P, ingest as I
 from aeroflow.plans.registry import query
 
 
@@ -224,6 +224,56 @@ def same_event_pairs(spark, d):
     return P.anchored_links(docs.select(F.col("doc_id").alias("id"), tokens.alias("tokens")), ["tion", "los", "les", "der", "was"])
 
 
+_EDITIONS = """
+WITH RECURSIVE w AS (SELECT event_id, user_id, ts, event_type, TIMESTAMP '1970-01-01' + INTERVAL 1 SECOND * ((epoch(ts)::BIGINT - 25200) // 28800 * 28800 + 25200) AS s,
+    list_distinct([event_type, 'v' || floor(value / 20)::INT]) AS facts, event_id % 13 > 0 AND event_id % 11 > 0 AS ok FROM events WHERE ts < TIMESTAMP '2024-01-20 07:00:00'),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s, ts DESC, event_id) AS n FROM w WHERE ok),
+f AS (
+  SELECT user_id, n, s, event_id, facts AS known, true AS told, 'new' AS state, []::VARCHAR[] AS fresh FROM r WHERE n = 1
+  UNION ALL
+  SELECT r.user_id, r.n, r.s, r.event_id,
+    CASE WHEN NOT (f.told AND r.s = f.s) AND len(list_filter(r.facts, lambda x: NOT list_contains(f.known, x))) > 0 THEN list_distinct(list_concat(f.known, r.facts)) ELSE f.known END,
+    f.told AND r.s = f.s OR len(list_filter(r.facts, lambda x: NOT list_contains(f.known, x))) > 0,
+    CASE WHEN f.told AND r.s = f.s THEN 'skipped' WHEN len(list_filter(r.facts, lambda x: NOT list_contains(f.known, x))) > 0 THEN 'update' ELSE 'unchanged' END,
+    CASE WHEN f.told AND r.s = f.s THEN []::VARCHAR[] ELSE list_filter(r.facts, lambda x: NOT list_contains(f.known, x)) END
+  FROM f JOIN r ON r.user_id = f.user_id AND r.n = f.n + 1)
+"""
+
+
+def _edition_rows(spark, d):
+    """Events as articles of their user; some lack a title or a source."""
+    e = _read(spark, d, "events").where(F.col("ts") < _stamp("2024-01-20 07:00:00"))
+    n = F.col("event_id")
+    url = F.when(n % 11 > 0, F.concat(F.lit("https://x.org/"), n.cast("string"))).otherwise("ftp://x.org")
+    rows = e.select(F.col("user_id").alias("event"), n.alias("row_id"), "ts", F.when(n % 13 > 0, F.col("event_type")).otherwise(" ").alias("title"), F.col("props").alias("summary"), F.array(url).alias("urls"),
+                    F.array_distinct(F.array(F.col("event_type"), F.concat(F.lit("v"), F.floor(F.col("value") / 20).cast("string")))).alias("facts"), F.col("event_type").alias("section"), "value")
+    return E.edition_rows(rows)
+
+
+@query(_EDITIONS + "SELECT user_id AS event, strftime(s, '%Y-%m-%d %H:%M:%S') AS start, event_id AS row_id, state, array_to_string(list_sort(fresh), ',') AS new_facts FROM f")
+def edition_items(spark, d):
+    """What each closed window says of an event: new, an update by new facts only, or nothing new."""
+    items = E.edition_items(_edition_rows(spark, d)[0])
+    return items.select("event", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "row_id", "state", F.array_join(F.array_sort("new_facts"), ",").alias("new_facts"))
+
+
+@query(_EDITIONS + """,
+told AS (SELECT f.s, f.state, w.event_type, row_number() OVER (PARTITION BY f.s, w.event_type ORDER BY w.ts DESC, w.event_id) AS p, w.ts, w.event_id FROM f JOIN w USING (event_id) WHERE f.state IN ('new', 'update')),
+shown AS (SELECT s, state, row_number() OVER (PARTITION BY s ORDER BY event_type, p) AS place FROM told WHERE p <= 6 QUALIFY place <= 15),
+counts AS (SELECT s, count(*) AS n_items, count(*) FILTER (state = 'update') AS n_updates FROM shown GROUP BY s),
+bad AS (SELECT s, count(*) AS n FROM w WHERE NOT ok GROUP BY s), down AS (SELECT DISTINCT s FROM w WHERE event_type = 'error' AND (event_id * 7) % 5 = 0 AND event_id % 9 = 0)
+SELECT strftime(x.s, '%Y-%m-%d %H:%M:%S') AS start, coalesce(n_items, 0) AS n_items, coalesce(n_updates, 0) AS n_updates, coalesce(bad.n, 0) AS n_warnings, CASE WHEN down.s IS NULL THEN 'published' ELSE 'partial' END AS status
+FROM (SELECT s FROM f UNION SELECT s FROM bad UNION SELECT s FROM down) x LEFT JOIN counts USING (s) LEFT JOIN bad USING (s) LEFT JOIN down USING (s)""")
+def edition_status(spark, d):
+    """Each window's briefing: items shown, updates, warnings about rows, and whether its input was degraded."""
+    rows, warnings = _edition_rows(spark, d)
+    down = rows.sparkSession.read.parquet(f"{d}/events.parquet").where((F.col("event_type") == "error") & ((F.col("event_id") * 7) % 5 == 0) & (F.col("event_id") % 9 == 0) & (F.col("ts") < _stamp("2024-01-20 07:00:00")))
+    degraded = down.select(B.briefing_window(F.col("ts"))["start"].cast("timestamp").alias("start"))
+    as_time = lambda x: x.withColumn("start", F.col("start").cast("timestamp"))
+    _, windows = E.briefings(E.edition_items(rows), rows.drop("start"), as_time(warnings), degraded, F.col("section"))
+    return windows.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
 @query("""
 WITH w AS (SELECT *, TIMESTAMP '1970-01-01' + INTERVAL 1 SECOND * ((epoch(ts)::BIGINT - 25200) // 28800 * 28800 + 25200) AS s FROM events),
 c AS (SELECT * FROM w WHERE s + INTERVAL 8 HOUR <= TIMESTAMP '2024-01-20 12:00:00'),
