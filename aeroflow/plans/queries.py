@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from aeroflow.functions import text as T
 from aeroflow.operators import briefings as B, gates as G, grouping as P, history as H, ingest as I, metrics as M, tracks as K
 from aeroflow.plans.registry import ORACLE_SQL, QUERIES, query
+from aeroflow.sources.lexical_index import LexicalIndex, index_records
+from aeroflow.storage import new_path
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -401,7 +403,9 @@ def lexical_search(spark, d):
     entities = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{3,}"), F.lit(0)), lambda x: F.lower(x)))
     docs = _items(spark, d).select(F.col("doc_id").alias("id"), T.tokens(F.col("title"), 4).alias("title_tokens"), entities.alias("entity_tokens"), T.tokens(F.col("summary"), 4).alias("text_tokens"))
     phrases = G.verified_quotes(items.select(F.col("item_id").alias("query_id"), T.first_line(F.col("text")).alias("phrase")), _read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "phrase", "text", "id")
-    return P.lexical_search(queries, docs, phrases).select("query_id", F.col("id").alias("doc_id"), "score", "place")
+    index = LexicalIndex(spark, new_path(spark, "lexical-index"))
+    index.refresh(index_records(docs))
+    return index.search(queries, phrases).select("query_id", F.col("id").alias("doc_id"), "score", "place")
 
 
 @query(f"""
