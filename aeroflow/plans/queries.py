@@ -390,19 +390,34 @@ def quote_verification(spark, d):
     return G.verified_quotes(quotes, _read(spark, d, "documents").select("doc_id", "text"), "quote", "text", "doc_id").select("item_id", "quote", "doc_id")
 
 
-@query(f"""
+_SEARCH = f"""
 WITH {_ITEMS},
 q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{{4,}}'))) AS token FROM benchmark),
 t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(title), '[a-z0-9]{{4,}}'))) AS token, 4 AS w FROM items UNION ALL SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '[A-Z][a-z]{{3,}}'), lambda x: lower(x)))), 3 FROM items UNION ALL SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(summary), '[a-z0-9]{{4,}}'))), 1 FROM items),
 p AS (SELECT DISTINCT item_id AS query_id, doc_id, 6 AS w FROM (SELECT item_id, split_part(text, chr(10), 1) AS phrase FROM benchmark) JOIN documents ON contains(text, phrase) WHERE length(phrase) >= 8),
 u AS (SELECT query_id, doc_id, w FROM q JOIN t USING (token) UNION ALL SELECT * FROM p)
-SELECT query_id, doc_id, sum(w)::BIGINT AS score, row_number() OVER (PARTITION BY query_id ORDER BY sum(w) DESC, doc_id DESC)::INTEGER AS place FROM u GROUP BY query_id, doc_id HAVING sum(w) >= 3 QUALIFY place <= 5""")
-def lexical_search(spark, d):
+SELECT query_id, doc_id, sum(w)::BIGINT AS score, row_number() OVER (PARTITION BY query_id ORDER BY sum(w) DESC, doc_id DESC)::INTEGER AS place FROM u GROUP BY query_id, doc_id HAVING sum(w) >= 3 QUALIFY place <= 5"""
+
+
+def _searched(spark, d):
+    """Queries, documents and phrases of the search: benchmark items against all documents."""
     items = _read(spark, d, "benchmark")
     queries = items.select(F.col("item_id").alias("query_id"), T.tokens(F.col("text"), 4).alias("tokens"))
     entities = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{3,}"), F.lit(0)), lambda x: F.lower(x)))
     docs = _items(spark, d).select(F.col("doc_id").alias("id"), T.tokens(F.col("title"), 4).alias("title_tokens"), entities.alias("entity_tokens"), T.tokens(F.col("summary"), 4).alias("text_tokens"))
     phrases = G.verified_quotes(items.select(F.col("item_id").alias("query_id"), T.first_line(F.col("text")).alias("phrase")), _read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "phrase", "text", "id")
+    return queries, docs, phrases
+
+
+@query(_SEARCH)
+def lexical_search(spark, d):
+    return P.lexical_search(*_searched(spark, d)).select("query_id", F.col("id").alias("doc_id"), "score", "place")
+
+
+@query(_SEARCH)
+def indexed_search(spark, d):
+    """The same search through a stored index, built for the documents as they are."""
+    queries, docs, phrases = _searched(spark, d)
     index = LexicalIndex(spark, new_path(spark, "lexical-index"))
     index.refresh(index_records(docs))
     return index.search(queries, phrases).select("query_id", F.col("id").alias("doc_id"), "score", "place")

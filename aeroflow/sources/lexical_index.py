@@ -28,7 +28,8 @@ def index_records(docs: DataFrame) -> DataFrame:
     ``docs``: id (unique) and some of the columns of WEIGHTS, arrays of distinct tokens; null is none.
     """
     entries = F.array_sort(F.concat(*(_weighted(F.col(c), w) for c, w in WEIGHTS.items() if c in docs.columns)))
-    return docs.select("id", entries.alias("entries")).select("id", F.sha2(F.to_json("entries"), 256).alias("hash"), "entries")
+    both = F.transform(F.array(entries), lambda e: F.struct(F.sha2(F.to_json(e), 256).alias("hash"), e.alias("entries")))  # entries are found once
+    return docs.select("id", F.element_at(both, 1).alias("r")).select("id", "r.hash", "r.entries")
 
 
 def _lists(held: DataFrame) -> DataFrame:
@@ -75,10 +76,13 @@ class LexicalIndex:
         touched = sorted(r.b for r in moved.select(F.explode(F.array_union(F.coalesce("buckets", none), F.coalesce("old_buckets", none))).alias("b")).distinct().collect())  # BUCKETS at most
         parts = sorted(r.part for r in moved.select("part").distinct().collect())
         if touched:
-            rest = self.lists(kind).where(F.col("bucket").isin(touched)).join(moved.select("id"), "id", "left_anti")
-            fresh = _lists(new.join(moved.where("state <> 'removed'").select("id"), "id", "left_semi"))
-            lists = rest.select("token", "id", "weight", "bucket").unionByName(fresh.select("token", "id", "weight", "bucket"))
-            self._overwrite(lists, "lists", "bucket", touched)
+            columns = ["token", "id", "weight", "bucket"]
+            if counts.get("added", 0) == sum(counts.values()):  # nothing is there yet
+                _lists(new).select(*columns).repartition("bucket").sortWithinPartitions("bucket", "token", "id").write.partitionBy("bucket").parquet(f"{self.folder}/lists")
+            else:
+                rest = self.lists(kind).where(F.col("bucket").isin(touched)).join(moved.select("id"), "id", "left_anti")
+                fresh = _lists(new.join(moved.where("state <> 'removed'").select("id"), "id", "left_semi"))
+                self._overwrite(rest.select(*columns).unionByName(fresh.select(*columns)), "lists", "bucket", touched)
         if parts:
             self._overwrite(met.where(F.col("part").isin(parts) & (F.col("state") != "removed")).select("id", "hash", "buckets", "part"), "documents", "part", parts)
         return {**{s: counts.get(s, 0) for s in ("added", "changed", "removed", "kept")}, "folders": len(touched)}
