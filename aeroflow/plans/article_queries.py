@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from aeroflow.functions import text as T
-from aeroflow.operators import articles as A
+from aeroflow.operators import articles as A, drafts as D
 from aeroflow.plans.registry import query
 
 _WORDS = r"len(regexp_extract_all(text, '[^\s]+'))"
@@ -229,3 +229,27 @@ def ranking_shares(spark, d):
     totals = _read(spark, d, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("customers"), F.round(F.avg("c_acctbal"), 4).alias("mean_balance"))
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return totals.select("n_name", "customers", "mean_balance", F.row_number().over(Window.orderBy(F.desc("mean_balance"), "n_name")).alias("rank"), F.round(F.col("customers") / F.max("customers").over(everything), 4).alias("share"))
+
+
+@query(None)
+def draft_gates(spark, d):
+    """Documents as drafts of their source's group, with facts quoted from texts, through all gates.
+
+    The first paragraphs are both languages' bodies; every fifth draft quotes what no text says.
+    """
+    docs = _read(spark, d, "documents").where("text is not null")
+    lines = F.slice(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), 1, 9)
+    side = F.struct(F.get(lines, F.lit(0)).alias("title"), F.get(lines, F.lit(0)).alias("summary"), lines.alias("body"))
+    quote = lambda at: F.when(F.col("doc_id") % 5 == 0, F.reverse(F.substring("text", at, 40))).otherwise(F.substring("text", at, 40))
+    fact = lambda n, at: F.struct(F.lit(f"F{n}").alias("fact_id"), F.lit("claim").alias("claim"), quote(at).alias("quote"), F.concat(F.lit("https://x.org/"), F.col("doc_id").cast("string")).alias("url"), F.lit("source").alias("scope"), F.lit(None).cast("string").alias("archive_id"), F.lit(None).cast("boolean").alias("archive"))
+    words = D.en_words(lines)
+    drafts = docs.select(
+        F.col("doc_id").cast("string").alias("draft_id"), F.coalesce("source", F.lit("")).alias("group_id"), F.when(words >= D.FULL_EN, "publish").when(words > 20, "publish_brief").otherwise("reject").alias("status"), F.coalesce("lang", F.lit("")).alias("cat"),
+        side.alias("zh"), side.alias("en"), F.struct(F.lit("a").alias("zh"), F.lit("b").alias("en"), F.lit(False).alias("hot")).alias("flash"), F.array(fact(1, 1), fact(2, 41)).alias("facts"), F.array(F.lit("F1")).alias("headline_refs"), F.array(F.lit("F2")).alias("summary_refs"),
+        F.array().cast("array<string>").alias("flags"), F.lit("").alias("decision"), F.lit(False).alias("human_review"), F.lit("confirmed").alias("event_status"), F.lit(None).cast("struct<sev:string,status:string,date:string,aircraft:string,operator:string>").alias("incident"), (F.col("doc_id") % 4).cast("int").alias("tries"),
+    )
+    groups = drafts.select("group_id", F.lit("event").alias("kind"), F.array().cast("array<string>").alias("urls"), (F.col("group_id") == "").alias("full_text")).distinct()
+    glossary = _read(spark, d, "nation").select(F.col("n_name").alias("rule"), F.col("n_name").alias("term"), F.lit(None).cast("string").alias("required"))
+    evidence = docs.select(F.coalesce("source", F.lit("")).alias("group_id"), "text")
+    out = D.gated(drafts, evidence, groups, glossary, ["in this article"], ["according to documents"], ["en", "de", "fr"], ["risk"], "(?i)this draft was")
+    return out.select("draft_id", F.size("verified").alias("n_verified"), "gate", "problem", "route")

@@ -529,6 +529,32 @@ def track_status(spark, d):
     return K.track_status(_points(spark, d), ["user_id", "day"]).select("user_id", "day", "n_points", "status")
 
 
+_SEEN = """
+WITH raw AS (SELECT event_id, CASE WHEN event_id % 17 = 0 THEN '~' ELSE '' END || 'AB' || user_id AS hex, ' b-' || user_id || ' ' AS r, CASE WHEN event_id % 4 > 0 THEN event_type END AS t, CASE WHEN event_type = 'click' THEN 'ground' ELSE (floor(value) * 300)::BIGINT::VARCHAR END AS alt,
+    CASE WHEN event_id % 19 > 0 THEN value END AS lat, value AS lon, CASE WHEN event_id % 3 > 0 THEN event_id % 90 END AS seen, event_id % 43 AS seen_pos, (event_id % 5) * 3 AS flags, CASE event_id % 29 WHEN 0 THEN '7700' ELSE '1200' END AS squawk, CASE event_id % 31 WHEN 0 THEN 'general' ELSE 'none' END AS emergency,
+    CASE event_id % 7 WHEN 0 THEN 'mlat' WHEN 1 THEN 'adsb_icao_nt' ELSE 'adsb_icao' END AS kind FROM events)
+"""
+
+
+@query(_SEEN + """
+SELECT event_id, lower(ltrim(hex, '~')) AS hex, upper(trim(r)) AS registration, upper(t) AS type, alt = 'ground' AS on_ground, TRY_CAST(alt AS DOUBLE) AS alt_ft, kind = 'mlat' AS low_confidence,
+  CASE WHEN starts_with(hex, '~') THEN 'address' WHEN flags & 1 <> 0 THEN 'military' WHEN flags & 4 <> 0 THEN 'pia' WHEN flags & 8 <> 0 THEN 'ladd' WHEN squawk = '7700' OR emergency <> 'none' THEN 'emergency'
+    WHEN lat IS NULL OR seen_pos > 30 OR coalesce(seen > 60, false) OR kind = 'adsb_icao_nt' THEN 'position' END AS left_out FROM raw""")
+def observation_rules(spark, d):
+    """Events as raw observations: typed fields, and why a row may not be followed."""
+    n, value = F.col("event_id"), F.col("value")
+    text = lambda c: c.cast("string")
+    raw = _read(spark, d, "events").select(
+        "event_id", F.concat(F.when(n % 17 == 0, "~").otherwise(""), F.lit("AB"), text(F.col("user_id"))).alias("hex"), F.concat(F.lit(" b-"), text(F.col("user_id")), F.lit(" ")).alias("r"), F.when(n % 4 > 0, F.col("event_type")).alias("t"), F.lit(None).cast("string").alias("flight"),
+        F.when(F.col("event_type") == "click", "ground").otherwise(text(F.floor(value) * 300)).alias("alt_baro"), value.alias("gs"), F.when(n % 19 > 0, value).alias("lat"), value.alias("lon"), F.when(n % 3 > 0, n % 90).alias("seen"), (n % 43).alias("seen_pos"), ((n % 5) * 3).cast("int").alias("dbFlags"),
+        F.when(n % 29 == 0, "7700").otherwise("1200").alias("squawk"), F.when(n % 31 == 0, "general").otherwise("none").alias("emergency"), F.when(n % 7 == 0, "mlat").when(n % 7 == 1, "adsb_icao_nt").otherwise("adsb_icao").alias("type"), F.col("event_id").alias("ts"),
+    )
+    rows = K.normalised(raw).withColumnRenamed("ts", "event_id")
+    ok = K.position_ok(F.col("lat"), F.col("lon"), F.col("seen"), F.col("seen_pos"), F.col("source_type"))
+    reason = F.when(F.col("non_icao"), "address").otherwise(F.coalesce(K.sensitive_reason(F.col("dbFlags"), F.col("squawk"), F.col("emergency")), F.when(~ok, "position")))
+    return rows.select("event_id", "hex", "registration", "type", "on_ground", "alt_ft", "low_confidence", reason.alias("left_out"))
+
+
 @query(None)
 def rate_limited(spark, d):
     events = _read(spark, d, "events")

@@ -111,7 +111,7 @@ def test_bounds_hold():
         tile = titles.Tile([{"title": a}])
         assert tile.reach([0], b)[0] >= ratio
         if ratio >= 0.5:
-            assert [i for i, _ in tile.near(b, ratio)] == [0]
+            assert tile.near(b, ratio)[0].tolist() == [0]
 
 
 def test_equal_lengths_fill_many_tiles(spark, monkeypatch):
