@@ -204,3 +204,20 @@ def redacted_logs(spark, d):
 @query("SELECT DISTINCT conv_id, substr(sha256('k:' || conv_id), 1, 24) AS pseudonym FROM conversations")
 def pseudonyms(spark, d):
     return _read(spark, d, "conversations").select("conv_id", T.pseudonym(F.col("conv_id").cast("string"), "k").alias("pseudonym")).distinct()
+
+
+@query(r"""SELECT doc_id, trim(regexp_replace(replace(lower(nfc_normalize(split_part(text, chr(10), 1))), 'ß', 'ss'), '[^\p{L}\p{N}_]+', ' ', 'g')) AS key FROM documents""")
+def search_keys(spark, d):
+    """Titles as they are searched: normalised, case-folded, marks as spaces."""
+    return _read(spark, d, "documents").select("doc_id", T.search_key(T.first_line(F.col("text"))).alias("key"))
+
+
+@query("""
+WITH t AS (SELECT event_id, ts, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%MZ') WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') WHEN 2 THEN 'yesterday' END AS t FROM events)
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:00') WHEN 1 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS parsed FROM t""")
+def parsed_times(spark, d):
+    """Times written to the minute, in full, or as something else."""
+    n = F.col("event_id") % 4
+    text = F.when(n == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm'Z'")).when(n == 1, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+00:00'")).when(n == 2, "yesterday")
+    rows = _read(spark, d, "events").select("event_id", text.alias("t"))
+    return rows.select("event_id", F.date_format(T.parsed_time(F.col("t")), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
