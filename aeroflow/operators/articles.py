@@ -7,6 +7,8 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from aeroflow.operators.dictionary import phrases_in
+
 
 def first_failure(rules: Sequence[tuple[str, Column]]) -> Column:
     """The name of the first rule that a row breaks, null if it breaks none."""
@@ -22,11 +24,15 @@ def terminology(records: DataFrame, glossary: DataFrame, record_id: str, text: s
     """The first rule (by ``rule``) that a record breaks: a forbidden term occurs, or a term that
     asks for a rendering occurs without it.
 
-    ``glossary``: rule, term, required (null: the term is forbidden); kept by hand, so small.
+    ``glossary``: rule, term, required (null: the term is forbidden), both in lower case. One automaton
+    finds all terms and renderings in a pass over a text; rules and terms found then meet by equality.
     """
-    low = F.lower(F.col(text))
-    met = records.join(F.broadcast(glossary), F.contains(low, F.col("term")) & (F.col("required").isNull() | ~F.contains(low, F.col("required"))))
-    return met.groupBy(record_id).agg(F.min("rule").alias("rule"))
+    low = records.select(F.col(record_id).alias("id"), F.lower(F.col(text)).alias("text"))
+    terms = glossary.select(F.col("term").alias("p")).union(glossary.select("required"))
+    said = phrases_in(low, terms, "text", "id", "p").select("id", F.col("phrase").alias("term")).distinct()
+    rendered = said.select("id", F.col("term").alias("required"), F.lit(True).alias("rendered"))
+    met = said.join(glossary, "term").join(rendered, ["id", "required"], "left").where("rendered is null")
+    return met.groupBy(F.col("id").alias(record_id)).agg(F.min("rule").alias("rule"))
 
 
 def binding_problem(facts: DataFrame, record_id: str, number: str, current: str, least: int = 2) -> DataFrame:
@@ -146,7 +152,7 @@ def evidence_budget(facts: DataFrame, group: str, event: str, rank: str, number:
 
 def priced_jobs(calls: DataFrame, prices: DataFrame, job: str, label: str, tokens_in: str, tokens_out: str) -> DataFrame:
     """Cost of each job, null-safe, and whether all its calls had a price. ``prices`` is small."""
-    met = calls.join(F.broadcast(prices), label, "left")
+    met = calls.join(F.broadcast(prices), label, "left")  # a price list kept by hand
     cost = (F.col(tokens_in) * F.col("price_in") + F.col(tokens_out) * F.col("price_out")) / 1e6
     return met.groupBy(job).agg(F.round(F.sum(cost), 8).alias("cost"), F.bool_and(F.col("price_in").isNotNull()).alias("all_priced"), F.count("*").alias("calls"))
 
@@ -188,5 +194,7 @@ def keep_first(old: DataFrame, new: DataFrame, key: str, stamp: str) -> DataFram
 
 def expanded_aliases(records: DataFrame, groups: DataFrame, record_id: str, text: str) -> DataFrame:
     """All aliases of each alias group of which a record's text holds one. ``groups`` (grp, alias) is small."""
-    hit = records.join(F.broadcast(groups), F.contains(F.lower(F.col(text)), F.col("alias"))).select(record_id, "grp").distinct()
-    return hit.join(F.broadcast(groups), "grp").groupBy(record_id).agg(F.array_join(F.array_sort(F.collect_set("alias")), " ").alias("aliases"))
+    low = records.select(F.col(record_id).alias("id"), F.lower(F.col(text)).alias("text"))
+    said = phrases_in(low, groups, "text", "id", "alias").select(F.col("id").alias(record_id), F.col("phrase").alias("alias"))
+    hit = said.join(groups, "alias").select(record_id, "grp").distinct()
+    return hit.join(groups, "grp").groupBy(record_id).agg(F.array_join(F.array_sort(F.collect_set("alias")), " ").alias("aliases"))

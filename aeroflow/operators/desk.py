@@ -47,7 +47,7 @@ def token_costs(calls: DataFrame, prices: DataFrame) -> DataFrame:
     price_out, a small dimension. Rows whose cached tokens exceed all input are impossible and go.
     """
     possible = calls.where((F.col("cached") >= 0) & (F.col("cached") <= F.col("tokens_in")) & (F.col("tokens_out") >= 0))
-    met = possible.join(F.broadcast(prices), "label")
+    met = possible.join(prices, "label")
     cost = ((F.col("tokens_in") - F.col("cached")) * F.col("price_in") + F.col("cached") * F.col("price_cached") + F.col("tokens_out") * F.col("price_out")) / 1e6
     return met.rollup("label").agg(F.count("*").alias("calls"), F.sum("cached").alias("cached"), F.round(F.sum(cost), 6).alias("cost"))
 
@@ -75,7 +75,7 @@ def entity_profiles(stories: DataFrame, names: DataFrame, story: str, text: str)
     ``names``: name, rule, code, a dictionary kept by hand (1 full name, 2 model, 3 code, 4 family).
     """
     words = stories.select(story, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0)))).alias("name"))
-    met = words.join(F.broadcast(names), "name")
+    met = words.join(names, "name")
     best = met.withColumn("_best", F.min("rule").over(Window.partitionBy(story))).where("rule = _best")
     return best.groupBy(story).agg(F.min("rule").alias("rule"), F.array_join(F.array_sort(F.collect_set("code")), ",").alias("codes"))
 
@@ -161,7 +161,7 @@ def listing_items(pages: DataFrame, rules: DataFrame, page: str, url: str, html:
     host = F.lower(F.regexp_extract(F.col(url), "^https?://([^/?#]+)", 1))
     hosts = pages.select(host.alias("_host")).distinct()
     fits = (F.col("_host") == F.col("suffix")) | F.endswith("_host", F.concat(F.lit("."), "suffix"))
-    chosen = hosts.join(F.broadcast(rules), fits).groupBy("_host").agg(F.max_by("pattern", F.length("suffix")).alias("pattern"))
+    chosen = hosts.join(rules, fits).groupBy("_host").agg(F.max_by("pattern", F.length("suffix")).alias("pattern"))
     met = pages.select(page, F.col(html).alias("_html"), host.alias("_host")).join(chosen, "_host")
     both = F.arrays_zip(F.regexp_extract_all("_html", F.col("pattern"), F.lit(1)).alias("link"), F.regexp_extract_all("_html", F.col("pattern"), F.lit(2)).alias("title"))
     spread = met.select(page, F.posexplode_outer(both).alias("n", "item"))
@@ -175,7 +175,7 @@ def annotated(rows: DataFrame, names: DataFrame, record: str, text: str) -> Data
     text that already tells the code there, or holds no name, stays as it is.
     """
     at = F.instr(F.lower(F.col(text)), F.lower("name"))
-    hit = rows.select(record, text).join(F.broadcast(names), at > 0).select(record, at.alias("at"), F.length("name").alias("size"), "code")
+    hit = rows.select(record, text).join(names, at > 0).select(record, at.alias("at"), F.length("name").alias("size"), "code")
     best = hit.groupBy(record).agg(F.min(F.struct("at", (-F.col("size")).alias("less"), "code")).alias("m"))
     met = rows.join(best, record, "left")
     end = F.col("m.at") - F.col("m.less")

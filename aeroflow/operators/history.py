@@ -56,13 +56,13 @@ def watched(rows: DataFrame, watchlist: DataFrame, keys: Sequence[str], row_id:
     fits = F.lit(True)
     for key in keys:
         fits = fits & (watchlist[key].isNull() | (watchlist[key] == rows[key]))
-    met = rows.join(F.broadcast(watchlist), fits).select(rows[row_id], watchlist["entry"])
+    met = rows.join(watchlist, fits).select(rows[row_id], watchlist["entry"])
     return met.groupBy(row_id).agg(F.min("entry").alias("entry"))
 
 
 def longest_match(rows: DataFrame, prices: DataFrame, label: str, pattern: str, row_id: str) -> DataFrame:
     """For each row the price whose pattern is the longest substring of its label."""
-    met = rows.join(F.broadcast(prices), F.contains(F.lower(rows[label]), F.lower(prices[pattern])), "left")
+    met = rows.join(prices, F.contains(F.lower(rows[label]), F.lower(prices[pattern])), "left")
     best = Window.partitionBy(row_id).orderBy(F.desc_nulls_last(F.length(pattern)), pattern)
     return met.withColumn("_place", F.row_number().over(best)).where("_place = 1").drop("_place")
 

@@ -61,7 +61,7 @@ def classified(text: Column, sections: Sequence[tuple[str, str]], default: str,
 def topic_rows(docs: DataFrame, topics: DataFrame, doc_id: str, text: str, category: str) -> DataFrame:
     """(doc, topic) by category or by a term that occurs as a word. ``topics`` (topic, category, term) is small."""
     by_term = F.col("term").isNotNull() & F.contains(F.concat(F.lit(" "), F.regexp_replace(F.lower(F.col(text)), "[^a-z0-9]+", " "), F.lit(" ")), F.concat(F.lit(" "), "term", F.lit(" ")))
-    met = docs.join(F.broadcast(topics.withColumnRenamed("category", "_category")), (F.col("_category") == F.col(category)) | by_term)
+    met = docs.join(topics.withColumnRenamed("category", "_category"), (F.col("_category") == F.col(category)) | by_term)
     return met.select(doc_id, "topic").distinct()
 
 
@@ -154,8 +154,8 @@ def operator_of(rows: DataFrame, airlines: DataFrame, callsign: str, owner: str)
     ``airlines``: code, airline; a small dimension.
     """
     prefix = F.when(F.col(callsign).rlike("^[A-Z]{3}[0-9]"), F.substring(callsign, 1, 3))
-    a = F.broadcast(airlines.select(F.col("code").alias("_code"), F.col("airline").alias("_by_code")))
-    b = F.broadcast(airlines.groupBy(F.lower("airline").alias("_name")).agg(F.min("airline").alias("_by_name")))
+    a = airlines.select(F.col("code").alias("_code"), F.col("airline").alias("_by_code"))
+    b = airlines.groupBy(F.lower("airline").alias("_name")).agg(F.min("airline").alias("_by_name"))
     met = rows.join(a, prefix == F.col("_code"), "left").join(b, F.lower(F.col(owner)) == F.col("_name"), "left")
     return met.withColumn("operator", F.coalesce("_by_code", "_by_name")).drop("_code", "_by_code", "_name", "_by_name")
 

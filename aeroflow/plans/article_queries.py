@@ -197,7 +197,7 @@ SELECT page_id, coalesce(arg_max(rule, length(suffix)), 'unknown') AS policy FRO
 def host_policy(spark, d):
     rules = spark.createDataFrame([("example.org", "allowed"), ("example.com", "forum"), ("cheap-pills.example.com", "blocked")], "suffix string, rule string")
     pages = _read(spark, d, "pages").select("page_id", F.lower(F.regexp_extract("url", "^https?://([^/?#]+)", 1)).alias("host"))
-    met = pages.join(F.broadcast(rules), (F.col("host") == F.col("suffix")) | F.endswith(F.col("host"), F.concat(F.lit("."), "suffix")), "left")
+    met = pages.join(rules, (F.col("host") == F.col("suffix")) | F.endswith(F.col("host"), F.concat(F.lit("."), "suffix")), "left")
     return met.groupBy("page_id").agg(F.coalesce(F.max_by("rule", F.length("suffix")), F.lit("unknown")).alias("policy"))
 
 
@@ -226,7 +226,7 @@ WITH a AS (SELECT n_name, count(*) AS customers, round(avg(c_acctbal), 4) AS mea
 SELECT n_name, customers, mean_balance, row_number() OVER (ORDER BY mean_balance DESC, n_name)::INTEGER AS rank, round(customers * 1.0::DOUBLE / max(customers) OVER (), 4) AS share FROM a""")
 def ranking_shares(spark, d):
     nation = _read(spark, d, "nation")
-    totals = _read(spark, d, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("customers"), F.round(F.avg("c_acctbal"), 4).alias("mean_balance"))
+    totals = _read(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("customers"), F.round(F.avg("c_acctbal"), 4).alias("mean_balance"))
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return totals.select("n_name", "customers", "mean_balance", F.row_number().over(Window.orderBy(F.desc("mean_balance"), "n_name")).alias("rank"), F.round(F.col("customers") / F.max("customers").over(everything), 4).alias("share"))
 

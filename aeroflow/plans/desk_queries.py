@@ -80,7 +80,7 @@ SELECT s_suppkey, CASE WHEN substr(callsign, 1, 3) = icao AND iata IS NOT NULL A
 def display_callsigns(spark, d):
     airlines = _read(spark, d, "nation").select("n_nationkey", F.upper(F.substring("n_name", 1, 3)).alias("icao"), F.when(F.col("n_nationkey") % 5 > 0, F.upper(F.substring("n_name", 1, 2))).alias("iata"))
     n = F.col("s_suppkey")
-    rows = _read(spark, d, "supplier").join(F.broadcast(airlines), F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = _read(spark, d, "supplier").join(airlines, F.col("s_nationkey") == F.col("n_nationkey"))
     callsign = F.concat(F.when(n % 3 == 0, "XXX").otherwise(F.col("icao")), F.when(n % 7 == 0, "AB").otherwise((n % 9000).cast("string")))
     return rows.select("s_suppkey", D.display_callsign(callsign, F.col("icao"), F.col("iata")).alias("shown"))
 
@@ -404,4 +404,4 @@ def series_upsert(spark, d):
 def active_dimension(spark, d):
     """Suppliers of active nations: the dimension is filtered before it is sent out."""
     active = _read(spark, d, "nation").where("n_regionkey <> 2").select("n_nationkey", "n_name")
-    return _read(spark, d, "supplier").where("s_acctbal > 0").join(F.broadcast(active), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
+    return _read(spark, d, "supplier").where("s_acctbal > 0").join(active, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")

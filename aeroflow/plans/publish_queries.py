@@ -256,7 +256,7 @@ SELECT o_orderkey, coalesce(category, 'world') AS category, strftime(o_orderdate
 def operator_articles(spark, d):
     kinds = spark.createDataFrame([("1-URGENT", "safety"), ("2-HIGH", "safety"), ("3-MEDIUM", "business")], "o_orderpriority string, category string")
     sources = _read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count_distinct("l_suppkey").alias("n_sources"))
-    rows = _read(spark, d, "orders").join(F.broadcast(kinds), "o_orderpriority", "left").join(sources, "o_orderkey")
+    rows = _read(spark, d, "orders").join(kinds, "o_orderpriority", "left").join(sources, "o_orderkey")
     languages = F.when(F.col("o_orderstatus") == "P", "a").when(F.col("o_orderstatus") == "F", "b").otherwise("a,b")
     return rows.select("o_orderkey", F.coalesce("category", F.lit("world")).alias("category"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), languages.alias("languages"), "n_sources")
 

@@ -28,7 +28,7 @@ def items(snapshots: DataFrame, sources: DataFrame) -> DataFrame:
     ``sources``: key, name; a small dimension.
     """
     exploded = snapshots.select("source", "fetchedUtc", "ok", F.posexplode("items").alias("place", "item"))
-    named = exploded.join(F.broadcast(sources), exploded["source"] == sources["name"])
+    named = exploded.join(sources, exploded["source"] == sources["name"])
     return named.select("key", "source", "fetchedUtc", "ok", "place", "item.*")
 
 
