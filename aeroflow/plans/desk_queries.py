@@ -225,9 +225,9 @@ def same_event_pairs(spark, d):
 
 
 _EDITIONS = """
-WITH RECURSIVE w AS (SELECT event_id, user_id, ts, event_type, TIMESTAMP '1970-01-01' + INTERVAL 1 SECOND * ((epoch(ts)::BIGINT - 25200) // 28800 * 28800 + 25200) AS s,
+WITH RECURSIVE w AS (SELECT event_id, user_id, ts, event_type, time_bucket(INTERVAL 8 HOUR, ts, TIMESTAMP '1970-01-01 07:00:00') AS s,
     list_distinct([event_type, 'v' || floor(value / 20)::INT]) AS facts, event_id % 13 > 0 AND event_id % 11 > 0 AS ok FROM events WHERE ts < TIMESTAMP '2024-01-20 07:00:00'),
-r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s, ts DESC, event_id) AS n FROM w WHERE ok),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s, ts DESC, event_id) AS n FROM w WHERE ok AND user_id IS NOT NULL),
 f AS (
   SELECT user_id, n, s, event_id, facts AS known, true AS told, 'new' AS state, []::VARCHAR[] AS fresh FROM r WHERE n = 1
   UNION ALL
