@@ -91,8 +91,7 @@ def headline_feed(rows: DataFrame, as_of: Column, back_hours: int = 48, ahead_ho
 
     ``rows``: id, ok, stamp, url. Places are numbered from 0 (the lead).
     """
-    age = F.timestamp_diff("SECOND", F.col("stamp"), as_of)
-    good = rows.where(F.col("ok") & age.between(-ahead_hours * 3600, back_hours * 3600))
+    good = rows.where(F.col("ok") & F.col("stamp").between(as_of - F.expr(f"interval {back_hours} hours"), as_of + F.expr(f"interval {ahead_hours} hours")))
     once = good.groupBy("url").agg(F.max(F.struct("stamp", "id")).alias("r")).select("url", "r.stamp", "r.id")
     order = [F.desc("stamp"), F.desc("id")]
     return once.orderBy(*order).limit(most).withColumn("place", F.row_number().over(Window.orderBy(*order)) - 1)  # ``most`` rows
