@@ -127,8 +127,8 @@ def scheduled_day(run: Column, slot_hour: int, zone_hours: int = 8) -> Column:
 
 def live_events(rows: DataFrame, stamp: str, kind: str, as_of: Column, long_kinds: Sequence[str], long_days: int = 30, short_hours: int = 72) -> DataFrame:
     """Known events whose time has not run out: long for some kinds, short for the others."""
-    age = F.timestamp_diff("HOUR", F.col(stamp), as_of)
-    return rows.where(age <= F.when(F.col(kind).isin(*long_kinds), long_days * 24).otherwise(short_hours))
+    kept = F.when(F.col(kind).isin(*long_kinds), F.expr(f"interval {long_days * 24} hours")).otherwise(F.expr(f"interval {short_hours} hours"))
+    return rows.where(F.col(stamp) >= as_of - kept)
 
 
 def guarded_status(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

@@ -150,7 +150,7 @@ def scheduled_days(spark, d):
     return _read(spark, d, "events").select("event_id", _day(D.scheduled_day(F.col("ts"), 7)).alias("day"))
 
 
-@query("SELECT user_id, event_type, n FROM (SELECT user_id, event_type, max(ts) AS t, count(*) AS n FROM events GROUP BY ALL) WHERE date_diff('second', t, TIMESTAMP '2024-02-03 00:00:00') // 3600 <= CASE WHEN event_type IN ('error', 'signup') THEN 360 ELSE 120 END")
+@query("SELECT user_id, event_type, n FROM (SELECT user_id, event_type, max(ts) AS t, count(*) AS n FROM events GROUP BY ALL) WHERE t >= TIMESTAMP '2024-02-03 00:00:00' - CASE WHEN event_type IN ('error', 'signup') THEN INTERVAL 360 HOUR ELSE INTERVAL 120 HOUR END")
 def live_events(spark, d):
     known = _read(spark, d, "events").groupBy("user_id", "event_type").agg(F.max("ts").alias("t"), F.count("*").alias("n"))
     return D.live_events(known, "t", "event_type", _stamp("2024-02-03 00:00:00"), ["error", "signup"], 15, 120).select("user_id", "event_type", "n")
