@@ -18,8 +18,8 @@ ENCODED = r"[A-Za-z0-9+/]{80,}={0,2}"
 
 def freshness(stamp: Column, as_of: Column, title: Column, window_hours: int = 120, ahead_hours: int = 6) -> Column:
     """Why a row is dropped (untitled, old, future), or fresh; rows without a time stay."""
-    age = F.timestamp_diff("SECOND", stamp, as_of)
-    return F.when(F.coalesce(F.trim(title), F.lit("")) == "", "untitled").when(stamp.isNull(), "fresh").when(age > window_hours * 3600, "old").when(age < -ahead_hours * 3600, "future").otherwise("fresh")
+    oldest, newest = as_of - F.expr(f"interval {window_hours} hours"), as_of + F.expr(f"interval {ahead_hours} hours")
+    return F.when(F.coalesce(F.trim(title), F.lit("")) == "", "untitled").when(stamp.isNull(), "fresh").when(stamp < oldest, "old").when(stamp > newest, "future").otherwise("fresh")
 
 
 def has_material(title: Column, summary: Column, least: int = 25) -> Column:

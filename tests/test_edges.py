@@ -11,7 +11,7 @@ from aeroflow.plans.queries import ORACLE_SQL, QUERIES
 from test_queries import plain
 
 EDGES = ["2024-01-03 07:00:00", "2024-01-05 23:00:00", "2024-01-15 12:00:00", "2024-01-18 12:00:00", "2024-01-20 06:59:59", "2024-01-20 14:00:00", "2024-01-20 18:00:00", "2024-01-28 23:00:00", "2024-01-29 00:00:00"]
-TIMED = ["briefing_windows", "edition_items", "edition_status", "event_updates", "headline_feed", "live_events"]
+TIMED = ["briefing_windows", "edition_items", "edition_status", "event_updates", "freshness_reasons", "headline_feed", "live_events"]
 
 
 @pytest.fixture(scope="module")
