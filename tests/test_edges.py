@@ -34,7 +34,7 @@ def tables(tmp_path_factory):
     shutil.rmtree(folder, ignore_errors=True)
 
 
-@pytest.mark.parametrize("name", TIMED)
+@pytest.mark.parametrize("name", [*TIMED, "subject_categories"])
 def test_same_as_sql_at_edges(spark, tables, name):
     folder, db = tables
     got = QUERIES[name](spark, folder)
@@ -43,3 +43,11 @@ def test_same_as_sql_at_edges(spark, tables, name):
     names = [x[0] for x in cursor.description]
     want = Counter(tuple(plain(row[names.index(c)]) for c in columns) for row in cursor.fetchall())
     assert want and Counter(tuple(plain(row[c]) for c in columns) for row in got.collect()) == want
+
+
+def test_ages_are_exact(spark, tables):
+    folder, _ = tables
+    fresh = {r.reason: r.n for r in QUERIES["freshness_reasons"](spark, folder).groupBy("reason").sum("n").toDF("reason", "n").collect()}
+    assert fresh == {"old": 25, "fresh": 41, "future": 24}
+    labels = {r.category: r.n for r in QUERIES["subject_categories"](spark, folder).groupBy("category").sum("n").toDF("category", "n").collect()}
+    assert labels == {"a": 2, "b": 3, "ops": 3}
