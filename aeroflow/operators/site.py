@@ -143,9 +143,8 @@ def latest_closed(rows: DataFrame, group: str, cutoff: str, ok: str) -> DataFram
 
 def best_match(rows: DataFrame, records: DataFrame, row_id: str, record_id: str, url: str, title: str) -> DataFrame:
     """The record that a row updates: the first with its URL, else the first with its title key."""
-    by_url = rows.join(records.select(F.col(record_id).alias("match"), F.col(url)), url).select(row_id, F.lit(0).alias("rule"), "match")
-    by_title = rows.join(records.select(F.col(record_id).alias("match"), F.col(title)), title).select(row_id, F.lit(1).alias("rule"), "match")
-    return by_url.union(by_title).groupBy(row_id).agg(F.min(F.struct("rule", "match")).alias("m")).select(row_id, "m.match", "m.rule")
+    first = lambda key, rule: rows.join(records.groupBy(key).agg(F.min(record_id).alias("match")), key).select(row_id, F.lit(rule).alias("rule"), "match")
+    return first(url, 0).union(first(title, 1)).groupBy(row_id).agg(F.min(F.struct("rule", "match")).alias("m")).select(row_id, "m.match", "m.rule")
 
 
 def operator_of(rows: DataFrame, airlines: DataFrame, callsign: str, owner: str) -> DataFrame:
