@@ -138,10 +138,11 @@ def archive_fact(requests: DataFrame, facts: DataFrame) -> DataFrame:
 def registry_match(rows: DataFrame, registry: DataFrame) -> DataFrame:
     """The registered event of each row: by id, else the smallest that shares a URL.
 
-    ``rows``: row, event, urls; ``registry``: event, urls.
+    ``rows``: row, event, urls; ``registry``: event, urls. A URL meets rows by its smallest event only.
     """
     by_id = rows.join(registry.select("event"), "event").select("row", F.lit(0).alias("rule"), "event")
     asked = rows.select("row", F.explode("urls").alias("url"))
-    by_url = asked.join(registry.select("event", F.explode("urls").alias("url")), "url").select("row", F.lit(1).alias("rule"), "event")
+    first = registry.select("event", F.explode("urls").alias("url")).groupBy("url").agg(F.min("event").alias("event"))
+    by_url = asked.join(first, "url").select("row", F.lit(1).alias("rule"), "event")
     best = by_id.unionByName(by_url).groupBy("row").agg(F.min(F.struct("rule", "event")).alias("m"))
     return rows.select("row").join(best, "row", "left").select("row", F.col("m.event").alias("match"), F.col("m.rule").alias("rule"))
