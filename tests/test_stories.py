@@ -157,3 +157,43 @@ def test_from_items_to_pending_groups(spark):
     got = P.pending_groups(told, groups, F.col("title").startswith("incident")).orderBy("rank").collect()
     assert sum(r.n_members for r in got) == 12 and len(got) == 6
     assert [(r.group_id, r.lead_id, r.is_update, r.roundup) for r in got] == [(1, 1, False, False), (3, 3, False, False), (4, 4, True, False), (5, 5, False, False), (6, 6, False, False), (7, 12, False, True)]
+
+
+def test_long_titles_are_bound_by_common_grams(monkeypatch):
+    """Unlike long titles of one language are left out before any subsequence is told; no like pair is lost."""
+    rng = random.Random(8)
+    syllables = ["the", "an", "ing", "er", "ou", "th", "and", "re", "st", "ha", "we", "on", " ", " ", "ti", "bl"]
+    base = ["".join(rng.choice(syllables) for _ in range(n)) + rng.choice("qxzjkv") for n in [95, 110, 130, 60] * 12]
+    changed = []
+    for t in base:
+        for share in (0.03, 0.12, 0.25):
+            c = list(t)
+            for _ in range(int(len(c) * share)):
+                c[rng.randrange(len(c))] = rng.choice("abcdeghij ")
+            changed.append("".join(c))
+    every = base + changed
+    tile = titles.Tile([{"title": t, "id": i} for i, t in enumerate(every)])
+    asked = base[::4] + base[3::12]
+    n_near, n_like = 0, 0
+    for t in asked:
+        for both in (False, True):
+            near, _ = tile.near(t, 0.75, both=both)
+            reach = dict(zip(near.tolist(), tile.reach(near.tolist(), t)))
+            for i, r in enumerate(tile.rows):
+                ratio = difflib.SequenceMatcher(None, t, r["title"]).ratio()
+                ratio = max(ratio, difflib.SequenceMatcher(None, r["title"], t).ratio()) if both else ratio
+                if ratio >= 0.75:
+                    n_like += 1
+                    assert reach.get(i, 0) >= ratio - 1e-12
+            if not both and len(t) >= titles.LONG:
+                n_near += sum(len(tile.rows[i]["title"]) >= titles.LONG for i in near.tolist())
+    assert n_like > 60 and n_near < 100  # by characters alone, more than 1000
+
+
+def test_subsequences_in_arrays(monkeypatch):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdé 漢") for _ in range(rng.randrange(1, 260))) for _ in range(90)]
+    tile = titles.Tile([{"title": t} for t in words])
+    for t in [*words[:6], "a" * 64, "ab" * 64, "漢" * 63, "x" * 300]:
+        want = [2 * n / (len(r["title"]) + len(t)) for n, r in zip(longest_common_subsequences([r["title"] for r in tile.rows], t), tile.rows)]
+        assert tile.reach(list(range(90)), t) == want
