@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from aeroflow.operators.overlap import SPAN, best_overlaps
+
 
 def clamped(value: Column, low: float, high: float) -> Column:
     """A number within bounds; null for what is no number."""
@@ -190,15 +192,21 @@ def stale_media(records: DataFrame, media: DataFrame, record: str, key: str) ->
     return met.select(record, F.when(F.col("_key").eqNullSafe(F.col(key)), F.col("photo")).alias("photo"), (~F.col("_key").eqNullSafe(F.col(key))).alias("stale"))
 
 
-def archive_ranking(pairs: DataFrame, current: str, archive: str, tiers: Sequence[str], most: int = 5) -> DataFrame:
-    """The archive rows of each current one: by tier, then shared keys, then the newest.
+def archive_ranking(keys: DataFrame, row: str, key: str, kind: str, tiers: Sequence[str], most: int = 5) -> DataFrame:
+    """(current, archive, tier, shared, place): the earlier rows that share keys with each one: by tier, then shared keys, then the newest.
 
-    ``pairs``: current, archive, kinds array<string>, shared. A pair's tier is that of its most
-    telling kind, in the order of ``tiers``; others come last.
+    ``keys``: ``row`` (later ones are larger), ``key`` and ``kind``; a key is shared if its kind is the same. A pair's tier is that
+    of its most telling kind, in the order of ``tiers``; others come last. Pairs are counted in blocks and never travel.
     """
-    tier = F.coalesce(*(F.when(F.array_contains("kinds", kind), i) for i, kind in enumerate(tiers, 1)), F.lit(len(tiers) + 1))
-    order = Window.partitionBy(current).orderBy("tier", F.desc("shared"), F.desc(archive))
-    return pairs.withColumn("tier", tier).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    tier = F.coalesce(*(F.when(F.col(kind) == k, i) for i, k in enumerate(tiers, 1)), F.lit(len(tiers) + 1))
+    held = keys.where(F.col(row).isNotNull() & F.col(key).isNotNull() & F.col(kind).isNotNull())
+    token = F.struct(F.concat(F.col(key).cast("string"), F.lit("\n"), F.col(kind)).alias("token"), tier.alias("tier"))
+    sets = held.groupBy(F.col(row).alias("id")).agg(F.collect_set(token).alias("tokens"))
+    docs = sets.select("id", F.lit(None).cast("string").alias("source"), F.col("tokens.token").alias("tokens"), F.col("tokens.tier").alias("weights"))
+    asked = docs.select(F.col("id").alias("query_id"), "source", "tokens", F.lit(1).alias("least"))
+    found = best_overlaps(asked, docs, most, newest=True, tiers=len(tiers) + 1, earlier=True)
+    behind = F.floor(F.col("score") / SPAN).cast("int")
+    return found.select(F.col("query_id").alias("current"), F.col("id").alias("archive"), (F.lit(len(tiers) + 1) - behind).alias("tier"), F.pmod(F.col("score"), F.lit(SPAN)).alias("shared"), "place")
 
 
 def queue_groups(queue: DataFrame, background: DataFrame) -> DataFrame:

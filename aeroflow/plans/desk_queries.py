@@ -362,11 +362,8 @@ p AS (SELECT a.user_id AS current, b.user_id AS archive, list_distinct(list(a.ev
 r AS (SELECT *, CASE WHEN list_contains(kinds, 'error') THEN 1 WHEN list_contains(kinds, 'purchase') THEN 2 ELSE 3 END AS tier FROM p)
 SELECT current, archive, tier, shared, row_number() OVER (PARTITION BY current ORDER BY tier, shared DESC, archive DESC)::INTEGER AS place FROM r QUALIFY place <= 5""")
 def archive_ranking(spark, d):
-    keys = _read(spark, d, "events").select((F.col("event_id") % 4000).alias("key"), "user_id", "event_type").distinct()
-    a, b = keys.alias("a"), keys.alias("b")
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.event_type") == F.col("b.event_type")) & (F.col("a.user_id") > F.col("b.user_id")))
-    pairs = met.groupBy(F.col("a.user_id").alias("current"), F.col("b.user_id").alias("archive")).agg(F.collect_set("a.event_type").alias("kinds"), F.count("*").alias("shared"))
-    return D.archive_ranking(pairs, "current", "archive", ["error", "purchase"]).select("current", "archive", "tier", "shared", "place")
+    keys = _read(spark, d, "events").select((F.col("event_id") % 4000).alias("key"), "user_id", "event_type")
+    return D.archive_ranking(keys, "user_id", "key", "event_type", ["error", "purchase"])
 
 
 @query("""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from aeroflow.operators import grouping as P
 from aeroflow.operators import overlap
+from aeroflow.operators.desk import archive_ranking
 from aeroflow.operators.publish import registry_match
 from aeroflow.operators.site import best_match
 
@@ -71,3 +72,21 @@ def test_keys_meet_by_their_first_record(spark):
     got = registry_match(asked, registry)
     assert plan(got).count("Aggregate") >= 2
     assert {tuple(r) for r in got.collect()} == {(i, i * 3, 0) if 2 <= i * 3 < 20 else (i, 6, 1) for i in range(20)}
+
+
+def test_archives_are_ranked_in_place(spark, monkeypatch):
+    """No row for each pair of rows that share a key, and the same ranks as by all pairs."""
+    monkeypatch.setattr(overlap, "BLOCK", 15)
+    rng = random.Random(12)
+    rows = [(rng.choice([None, *range(60)]), rng.randrange(25), rng.choice(["error", "purchase", "view", "click", None])) for _ in range(400)]
+    found = archive_ranking(spark.createDataFrame(rows, "u long, k long, e string"), "u", "k", "e", ["error", "purchase"], 3)
+    assert "Join" not in plan(found)
+    own = {}
+    for u, k, e in rows:
+        if u is not None and e is not None:
+            own.setdefault(u, set()).add((k, e))
+    want = set()
+    for u, mine in own.items():
+        met = [(min({"error": 1, "purchase": 2}.get(e, 3) for _, e in mine & theirs), -len(mine & theirs), -v) for v, theirs in own.items() if v < u and mine & theirs]
+        want |= {(u, -v, tier, -n, place) for place, (tier, n, v) in enumerate(sorted(met)[:3], 1)}
+    assert {tuple(r) for r in found.select("current", "archive", "tier", "shared", "place").collect()} == want
