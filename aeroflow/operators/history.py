@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from aeroflow.storage import materialise
+
 
 def history_counts(rows: DataFrame, history: DataFrame, row_id: str, key: str, day: str, windows: Sequence[int]) -> DataFrame:
     """How many history rows of the same key lie in the days before each row; a null key: any.
@@ -82,6 +84,11 @@ def resolved(mentions: DataFrame, aliases: DataFrame, mention: str) -> DataFrame
     return mentions.join(unique, F.lower(F.col(mention)) == F.col("_alias"), "left").drop("_alias", "_n")
 
 
+#: Points of one position that meet places in one part, and pairs of one task, about.
+PART = 1024
+TASK_PAIRS = 8_000_000
+
+
 def within_radius(points: DataFrame, places: DataFrame, lat: tuple[str, str], lon: tuple[str, str], distance: Column, cell: float = 2.0) -> DataFrame:
     """Points with every place whose ``radius_km`` reaches them.
 
@@ -100,3 +107,23 @@ def within_radius(points: DataFrame, places: DataFrame, lat: tuple[str, str], lo
     reached = reached.select("*", F.explode("_columns").alias("_column")).drop("_columns")
     placed = points.withColumns({"_row": row(F.col(lat[0])), "_column": column(F.col(lon[0]))})
     return placed.join(reached, ["_row", "_column"]).drop("_row", "_column").withColumn("distance_km", distance).where(F.col("distance_km") <= F.col("radius_km"))
+
+
+def copies_within_radius(points: DataFrame, places: DataFrame, lat: tuple[str, str], lon: tuple[str, str], distance: Column) -> DataFrame:
+    """As ``within_radius``, for points and places of which many stand at one position.
+
+    Positions meet first, so a distance is told once for all that stand there. The pairs of
+    positions are then spread to points and places, the points of a position in parts of about ``PART``,
+    over as many tasks as the number of pairs asks for.
+    """
+    spots = materialise(points.groupBy(lat[0], lon[0]).agg(F.count("*").alias("_points")), "radius-spots")
+    site = [lat[1], lon[1], "radius_km"]
+    sites = materialise(places.groupBy(*site).agg(F.count("*").alias("_places")), "radius-sites")
+    near = materialise(within_radius(spots, sites, lat, lon, distance), "radius-positions")
+    pairs = near.agg(F.sum(F.col("_points").cast("double") * F.col("_places"))).first()[0] or 0
+    tasks = int(pairs // TASK_PAIRS) + 1
+    parts = F.ceil(F.col("_points") / PART)
+    own = points.join(spots, [lat[0], lon[0]]).withColumn("_part", F.pmod(F.xxhash64(*points.columns), parts)).drop("_points")
+    reached = places.join(near, site).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_points", "_places")
+    keys = [lat[0], lon[0], "_part"]
+    return own.repartition(tasks, *keys).join(reached.repartition(tasks, *keys).hint("merge"), keys).drop("_part")

@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from aeroflow.functions.text import haversine_km
 from aeroflow.operators import grouping as P
-from aeroflow.operators import overlap
+from aeroflow.operators import history, overlap
 from aeroflow.operators.desk import archive_ranking
 from aeroflow.operators.publish import registry_match
 from aeroflow.operators.site import best_match
@@ -90,3 +91,18 @@ def test_archives_are_ranked_in_place(spark, monkeypatch):
         met = [(min({"error": 1, "purchase": 2}.get(e, 3) for _, e in mine & theirs), -len(mine & theirs), -v) for v, theirs in own.items() if v < u and mine & theirs]
         want |= {(u, -v, tier, -n, place) for place, (tier, n, v) in enumerate(sorted(met)[:3], 1)}
     assert {tuple(r) for r in found.select("current", "archive", "tier", "shared", "place").collect()} == want
+
+
+def test_points_of_one_position_meet_in_parts(spark, monkeypatch):
+    """A crowded position is dealt to several tasks, and no pair is lost or doubled."""
+    monkeypatch.setattr(history, "PART", 4)
+    monkeypatch.setattr(history, "TASK_PAIRS", 30)
+    rng = random.Random(13)
+    points = [(i, *rng.choice([(50.0, 8.0), (50.5, 8.5), (-10.0, 179.9), (None, 1.0)])) for i in range(40)]
+    places = [(i, *rng.choice([(50.1, 8.1), (-10.0, -179.9)]), rng.choice([40.0, 100.0])) for i in range(12)]
+    p, q = spark.createDataFrame(points, "p int, lat double, lon double"), spark.createDataFrame(places, "q int, plat double, plon double, radius_km double")
+    distance = haversine_km(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
+    found = history.copies_within_radius(p, q, ("lat", "plat"), ("lon", "plon"), distance)
+    got = sorted((r.p, r.q, round(r.distance_km, 6)) for r in found.collect())
+    assert got == sorted((r.p, r.q, round(r.km, 6)) for r in p.crossJoin(q).withColumn("km", distance).where("km <= radius_km").collect()) and len(got) > 30
+    assert f"{len(got) // 30 + 1}), REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
