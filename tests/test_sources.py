@@ -1,7 +1,9 @@
 import json
 
+import pyarrow as pa
+
 from aeroflow.operators.tracks import cross_check, normalised, position_ok, sensitive_reason
-from aeroflow.sources import snapshots as S
+from aeroflow.sources import html_pages, snapshots as S
 from aeroflow.sources.html_pages import published, readable_text
 
 
@@ -70,3 +72,12 @@ def test_pages():
     assert published(page) == "2024-01-05T08:00Z"
     assert published('<script type="application/ld+json">{"datePublished": "2024-01-02"}</script>') == "2024-01-02"
     assert published("<time datetime='2024-01-03'>x</time>") == "2024-01-03" and published(None) is None
+
+
+def test_pages_of_a_batch_are_unpacked_in_pieces():
+    pages = ["<article>" + "".join(f"<p>Paragraph {j} of page {i} says enough to be read as a block of text.</p>" for j in range(i % 9)) + "</article>" for i in range(300)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(301)), pa.array(pages, pa.string())], names=["id", "html"])
+    out = list(html_pages.read_pages(iter([batch])))
+    assert max(x.num_rows for x in out) <= html_pages.PIECE
+    rows = [r for x in out for r in x.to_pylist()]
+    assert [(r["id"], r["text"]) for r in rows] == [(i, html_pages.readable_text(x)) for i, x in enumerate(pages)]
