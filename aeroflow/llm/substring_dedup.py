@@ -18,6 +18,7 @@ from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -288,12 +289,28 @@ class _Bucket:
         return out
 
 
+class _Pair:
+    """A bucket of two paragraphs: one comparison, no lists."""
+
+    def __init__(self):
+        self.first: tuple[int, np.ndarray] | None = None
+
+    def add(self, key: int, raw: bytes) -> list[int]:
+        members = np.frombuffer(raw, "<u8")
+        if self.first is None:
+            self.first = key, members
+            return []
+        earlier, theirs = self.first
+        common = len(np.intersect1d(members, theirs, assume_unique=True))
+        return [earlier] if common >= SIMILARITY * (len(members) + len(theirs) - common) else []
+
+
 def similar_paragraphs(kept: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """Links (src, dst) between paragraph keys whose shingle sets have Jaccard similarity >= 0.8.
 
     ``kept``: id, h, text. ``paragraphs``: id, h, doc (a hash of both), key, start, n, bands. Equal paragraphs meet in one
     row before anything is compared, and one text gives the shingles of each. A bucket of equal
-    band keys is dealt in blocks of about BLOCK members; each pair of blocks of a bucket is a task's
+    band keys is dealt in blocks of about BLOCK members, once for all bands that hold the same keys; each pair of blocks of a bucket is a task's
     group, so no group is larger than two blocks and no pair of members is left out. In a group
     the paragraphs come by number of copies and are compared with the leaders so far; one that is
     similar to none becomes a leader. A paragraph is also compared with the other members, except
@@ -303,8 +320,10 @@ def similar_paragraphs(kept: DataFrame, paragraphs: DataFrame) -> DataFrame:
     bands = [F.min(F.col("bands")[i]).alias(f"b{i}") for i in range(BANDS)]  # the same in all rows of a key
     distinct = materialise(paragraphs.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc").alias("doc"), *bands), "dedup-paragraphs")
     banded = distinct.select("key", "copies", F.explode(F.array(*(f"b{i}" for i in range(BANDS)))).alias("band"))
-    buckets = banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
-    members = materialise(banded.join(buckets, "band"), "dedup-members")
+    own = [F.bit_xor(F.xxhash64("key", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    buckets = banded.groupBy("band").agg(F.count("*").alias("members"), *own).where("members > 1")
+    buckets = buckets.groupBy("members", "x0", "x1").agg(F.min("band").alias("band"))  # bands that hold the same keys are one bucket
+    members = materialise(banded.join(buckets.select("band", "members"), "band"), "dedup-members")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "h", "start", "n")
     told = distinct.join(members.select("key").distinct(), "key", "left_semi").select("key", "doc")
     wanted = paragraphs.join(told, ["key", "doc"], "left_semi").groupBy("key").agg(F.min(place).alias("place"))  # one text for all copies
@@ -316,18 +335,18 @@ def similar_paragraphs(kept: DataFrame, paragraphs: DataFrame) -> DataFrame:
     sets = materialise(sets, "dedup-sets")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("key"), blocks).cast("int")
-    met = members.select("key", "copies", "band", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-    met = met.select("key", "copies", "band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    met = members.select("key", "copies", "band", "members", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    met = met.select("key", "copies", "band", (F.col("members") == 2).alias("pair"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     group = ["band", "low", "high"]
-    dealt = met.join(sets, "key").repartition(*group).sortWithinPartitions(*group, F.desc("copies"), "key").select(*group, "key", "shingles")
+    dealt = met.join(sets, "key").repartition(*group).sortWithinPartitions(*group, F.desc("copies"), "key").select(*group, "key", "shingles", "pair")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, bucket = None, _Bucket()
         for b in batches:
             left, right = [], []
-            for *own, key, raw in zip(*(c.to_pylist() for c in b.columns)):
+            for *own, key, raw, pair in zip(*(c.to_pylist() for c in b.columns)):
                 if own != last:
-                    last, bucket = own, _Bucket()
+                    last, bucket = own, _Pair() if pair else _Bucket()
                 found = bucket.add(key, raw)
                 left += found
                 right += [key] * len(found)
@@ -346,27 +365,31 @@ def _contexts(docs: DataFrame) -> DataFrame:
     words before (``left``) or after the window there; keys are equal if window and words are.
     """
 
+    steps = np.arange(1, ANCHOR)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, hs, starts, lefts, firsts, keys = [], [], [], [], [], []
-            for doc_id, h, text, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
+            bounds, places = b.column(3).offsets.to_numpy(), b.column(3).values
+            places = places.slice(bounds[0], bounds[-1] - bounds[0])
+            bounds = (bounds - bounds[0]).tolist()
+            starts, clusters = places.field("start").to_numpy(), places.field("cluster").to_numpy().view(np.uint64)
+            lefts = places.field("left").to_numpy(zero_copy_only=False)
+            sizes, keys = [], [np.zeros(0, np.int64)]
+            for text, i, j in zip(b.column(2), bounds, bounds[1:], strict=False):
                 words = text.as_py().encode().lower().split()
-                hashes = _Hashes(words)
-                for p in places:
-                    end = p["start"] + WINDOW
-                    steps = np.arange(1, min(ANCHOR - 1, p["start"] if p["left"] else len(words) - end) + 1)
-                    found = hashes.runs(p["start"] - steps if p["left"] else np.full(len(steps), end), steps)
-                    with np.errstate(over="ignore"):
-                        salts = _mix(np.array([p["cluster"]], np.int64).view(np.uint64) + _BASE * (2 * steps + p["left"]).astype(np.uint64))
-                    ids.append(doc_id)
-                    hs.append(h)
-                    starts.append(p["start"])
-                    lefts.append(p["left"])
-                    firsts.append(p["first_id"])
-                    keys.append(_mix(found ^ salts).view(np.int64))
-            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), pa.array(hs, pa.int64()), pa.array(starts, pa.int32()), pa.array(lefts, pa.bool_()), pa.array(firsts, b.column(0).type), lists], names=["id", "h", "start", "left", "first_id", "keys"])
+                start, left = starts[i:j, None].astype(np.int64), lefts[i:j, None]
+                room = np.minimum(ANCHOR - 1, np.where(left, start, len(words) - start - WINDOW))
+                told = steps <= room
+                at, length = np.where(left, start - steps, start + WINDOW)[told], np.broadcast_to(steps, told.shape)[told]
+                with np.errstate(over="ignore"):
+                    salts = _mix((clusters[i:j, None] + _BASE * (2 * steps + left).astype(np.uint64))[told])
+                sizes.append(told.sum(axis=1))
+                keys.append(_mix(_Hashes(words).runs(at, length) ^ salts).view(np.int64))
+            ends = np.concatenate([[0], *sizes]).cumsum().astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
+            owner = pa.array(np.repeat(np.arange(b.num_rows), np.diff(bounds)))
+            columns = [b.column(0).take(owner), b.column(1).take(owner), *(places.field(k) for k in ("start", "left", "first_id")), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "start", "left", "first_id", "keys"])
 
     return docs.mapInArrow(run, _CONTEXTS.format(id=_kind(docs)))
 
@@ -468,15 +491,22 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("first_id", b.column(0).type), ("removed", pa.bool_())]))
-            out, words, removed = [], [], []
-            for spans in b.column(2).to_pylist():
-                gone = _merged([s for s in spans if s["removed"]])
-                rest = _without(_merged([s for s in spans if not s["removed"]]), gone)
-                out.append(sorted(gone + rest, key=lambda s: s["start"]))
-                removed.append(sum(s["end"] - s["start"] for s in gone))
-                words.append(removed[-1] + sum(s["end"] - s["start"] for s in rest))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, kind)], names=["id", "h", "n_words", "n_removed", "spans"])
+            bounds, told = b.column(2).offsets.tolist(), b.column(2).values
+            every = list(zip(*(told.field(k).to_pylist() for k in ("start", "end", "first_id")), strict=True))
+            leaves = told.field("removed").to_pylist()
+            out, ends, words, removed = [], [0], [], []
+            for i, j in zip(bounds, bounds[1:], strict=False):
+                gone = _merged([s for s, x in zip(every[i:j], leaves[i:j], strict=True) if x])
+                rest = _without(_merged([s for s, x in zip(every[i:j], leaves[i:j], strict=True) if not x]), gone)
+                out += sorted([(*s, True) for s in gone] + [(*s, False) for s in rest], key=itemgetter(0))
+                ends.append(len(out))
+                removed.append(sum(s[1] - s[0] for s in gone))
+                words.append(removed[-1] + sum(s[1] - s[0] for s in rest))
+            columns = zip(*out, strict=True) if out else [[]] * 4
+            types = [pa.int32(), pa.int32(), b.column(0).type, pa.bool_()]
+            spans = pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], ["start", "end", "first_id", "removed"])
+            spans = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spans)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), spans], names=["id", "h", "n_words", "n_removed", "spans"])
 
     more = _extensions(kept, by_doc).select(F.col("id").alias("_id"), F.col("h").alias("_h"), "more")
     plain = F.transform("spans", lambda s: s.dropFields("cluster"))
@@ -487,29 +517,29 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return joined.select("id", "h", F.coalesce("component", "id").alias("class_id"), "n_words", "n_removed", "spans")
 
 
-def _merged(spans: list[dict]) -> list[dict]:
-    out: list[dict] = []
-    for s in sorted(spans, key=lambda s: (s["start"], s["end"])):
-        if out and s["start"] <= out[-1]["end"]:
-            out[-1]["end"] = max(out[-1]["end"], s["end"])
-            out[-1]["first_id"] = min((x for x in (out[-1]["first_id"], s["first_id"]) if x is not None), default=None)
+def _merged(spans: list[tuple]) -> list[tuple]:
+    """Spans (start, end, first_id) that touch as one, with the smallest first id."""
+    out: list[tuple] = []
+    for start, end, first in sorted(spans, key=itemgetter(0, 1)):
+        if out and start <= out[-1][1]:
+            before, upto, own = out[-1]
+            out[-1] = before, max(upto, end), own if first is None else first if own is None else min(own, first)
         else:
-            out.append(dict(s))
+            out.append((start, end, first))
     return out
 
 
-def _without(spans: list[dict], gone: list[dict]) -> list[dict]:
+def _without(spans: list[tuple], gone: list[tuple]) -> list[tuple]:
     out = []
-    for s in spans:
-        start = s["start"]
-        for g in gone:
-            if g["end"] <= start or g["start"] >= s["end"]:
+    for start, end, first in spans:
+        for low, high, _ in gone:
+            if high <= start or low >= end:
                 continue
-            if g["start"] > start:
-                out.append(s | {"start": start, "end": g["start"]})
-            start = max(start, g["end"])
-        if start < s["end"]:
-            out.append(s | {"start": start})
+            if low > start:
+                out.append((start, low, first))
+            start = max(start, high)
+        if start < end:
+            out.append((start, end, first))
     return out
 
 

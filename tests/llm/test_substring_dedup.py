@@ -112,6 +112,16 @@ def test_a_bucket_in_blocks_loses_no_group(spark, monkeypatch):
     assert got <= alike and groups(got, len(sets)) == groups(alike, len(sets))
 
 
+def test_equal_buckets_are_one(spark, monkeypatch):
+    rng = random.Random(43)
+    words = prose(rng, 70).split()
+    met, write = {}, D.materialise
+    monkeypatch.setattr(D, "materialise", lambda df, label: met.setdefault(label, write(df, label)))
+    monkeypatch.setattr(D, "release", lambda *tables: None)
+    assert links_of(spark, [" ".join(words), " ".join([*words[:-1], "y"]), prose(rng, 70)]) == {(0, 1)}
+    assert met["dedup-members"].count() == 2  # though the pair shares several bands
+
+
 def test_odd_rows(spark):
     rng = random.Random(1)
     text, other = prose(rng, 300), prose(rng, 20000)
