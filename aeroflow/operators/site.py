@@ -92,20 +92,24 @@ def ends_sentence(text: Column) -> Column:
 
 def sentence_cut(text: Column) -> Column:
     """A text in single spaces: whole up to SOFT characters, else up to the first sentence end from
-    there to HARD, else to the last one before; without any it ends at a word, with an ellipsis."""
+    there to HARD, else to the last one before; without any it ends at a word, with an ellipsis.
+
+    No more than HARD characters are ever kept, so only the first HARD + 1 words are put in single spaces.
+    """
+    once = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
 
     def cut(clean: Column) -> Column:
         pieces = F.regexp_extract_all(F.substring(clean, 1, HARD), F.lit(SENTENCE), F.lit(0))
-        upto = F.transform(pieces, lambda _, i: F.array_join(F.slice(pieces, F.lit(1), i + 1), ""))
-        whole = F.transform(upto, lambda x: F.trim(x))
-        late = F.get(F.filter(whole, lambda x: F.length(x) >= SOFT), F.lit(0))
+        whole = once(pieces, lambda p: F.transform(p, lambda _, i: F.trim(F.array_join(F.slice(p, F.lit(1), i + 1), ""))))
+        sentences = once(whole, lambda w: F.coalesce(F.get(F.filter(w, lambda x: F.length(x) >= SOFT), F.lit(0)), F.get(w, F.size(w) - 1)))
         head = F.rtrim(F.substring(clean, 1, SOFT))
         word = F.rtrim(F.regexp_extract(head, r"(?s)^(.*) [^ ]*$", 1))
         prefix = F.when(F.length(F.regexp_extract(head, r"(?s)^(.*) [^ ]*$", 1)) >= SOFT // 2, word).otherwise(head)
         bare = F.concat(F.regexp_replace(prefix, "[,;:，；：]+$", ""), F.lit("…"))
-        return F.when(F.length(clean) <= SOFT, clean).otherwise(F.coalesce(late, F.get(whole, F.size(whole) - 1), bare))
+        return F.when(F.length(clean) <= SOFT, clean).otherwise(F.coalesce(sentences, bare))
 
-    return F.element_at(F.transform(F.array(single_spaced(text)), cut), 1)
+    start = F.regexp_extract(text, rf"(?U)^\s*+(?:\S++\s*+){{0,{HARD + 1}}}", 0)
+    return once(single_spaced(start), cut)
 
 
 def repaired_summary(summary: Column, body: Column) -> Column:

@@ -106,3 +106,15 @@ def test_points_of_one_position_meet_in_parts(spark, monkeypatch):
     got = sorted((r.p, r.q, round(r.distance_km, 6)) for r in found.collect())
     assert got == sorted((r.p, r.q, round(r.km, 6)) for r in p.crossJoin(q).withColumn("km", distance).where("km <= radius_km").collect()) and len(got) > 30
     assert f"{len(got) // 30 + 1}), REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_sentence_cut_reads_its_sentences_once(spark):
+    """One search for sentences in the plan, and only the first words are put in single spaces."""
+    from aeroflow.operators.site import HARD, sentence_cut
+
+    words = ["aé", "b.", "c,", "d!)"]
+    texts = ["   " + " \t\n".join(words[(i * k) % 4] for i in range(n)) + "　" for n in (1, 40, HARD, HARD + 1, HARD + 2, 900) for k in (1, 3, 4)] + ["", " ", "x" * 600, " " + "y \n" * 600]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    out = df.select(sentence_cut(F.col("t")).alias("long"), sentence_cut(F.trim(F.substring(F.regexp_replace("t", r"(?U)\s+", " "), 1, 600))).alias("short"))
+    assert plan(df.select(sentence_cut(F.col("t")).alias("s"))).count("regexp_extract_all") == 1
+    assert all(r.long == r.short for r in out.collect())
