@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from aeroflow.functions import text as T
 from aeroflow.operators.articles import first_failure
-from aeroflow.operators.dictionary import phrases_in
+from aeroflow.operators.dictionary import grouped_phrases, phrases_in
 from aeroflow.storage import materialise
 
 _SIDE = "struct<title:string,summary:string,body:array<string>>"
@@ -142,8 +142,7 @@ def gated(drafts: DataFrame, evidence: DataFrame, groups: DataFrame, glossary: D
     checked = materialise(drafts.withColumn("form", validation_problem(categories, risk_flags, process)), "drafts-checked")
     fine = checked.where("form is null and status <> 'reject'")
     asked = fine.select("draft_id", "group_id", F.explode("facts").alias("fact")).where(F.length("fact.quote") >= 8)
-    texts = evidence.select("group_id", "text")
-    found = phrases_in(texts, asked.select(F.col("fact.quote").alias("quote")), "text", "group_id", "quote").select(F.col("id").alias("group_id"), F.col("phrase").alias("quote")).distinct()
+    found = grouped_phrases(evidence, asked.select("group_id", F.col("fact.quote").alias("quote")), "group_id", "text", "quote")
     verified = asked.withColumn("quote", F.col("fact.quote")).join(found, ["group_id", "quote"], "left_semi")
     by_draft = verified.groupBy("draft_id").agg(F.collect_set("quote").alias("quotes"))
     joined = checked.join(by_draft, "draft_id", "left").join(groups.select("group_id", "kind", "urls", "full_text"), "group_id", "left")

@@ -118,3 +118,23 @@ def test_a_sentence_cut_reads_its_sentences_once(spark):
     out = df.select(sentence_cut(F.col("t")).alias("long"), sentence_cut(F.trim(F.substring(F.regexp_replace("t", r"(?U)\s+", " "), 1, 600))).alias("short"))
     assert plan(df.select(sentence_cut(F.col("t")).alias("s"))).count("regexp_extract_all") == 1
     assert all(r.long == r.short for r in out.collect())
+
+
+def test_phrases_of_a_group_meet_by_keys(spark, monkeypatch):
+    """No automaton holds the phrases, however many they are; phrases of any length are found, in their group only."""
+    from aeroflow.operators import dictionary
+
+    monkeypatch.setattr(dictionary, "_finder", None)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abé𝄞 ") for _ in range(rng.randrange(2, 7)))
+    texts = [(rng.choice(["x", "y", None]), " ".join(word() for _ in range(rng.randrange(60)))) for _ in range(60)] + [("x", None), ("x", "a" * 90), ("y", "")]
+    phrases = [("x", "a" * n) for n in (8, 64, 90, 91)]
+    for group, text in texts * 6:
+        n = rng.choice([8, 9, 15, 16, 17, 31, 32, 40, 41, 63, 64, 65, 130])
+        at = rng.randrange(len(text or "") + 1)
+        if len(piece := (text or "")[at : at + n]) >= 8:
+            phrases.append((rng.choice([group, "x", "y"]), piece if rng.random() < 0.7 else piece[:-1] + "z"))
+    found = dictionary.grouped_phrases(spark.createDataFrame(texts, "g string, text string"), spark.createDataFrame(phrases, "g string, p string"), "g", "text", "p")
+    want = {(g, p) for g, p in phrases if g and any(h == g and p in (t or "") for h, t in texts)}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and 50 < len(want) < len(set(phrases))
