@@ -27,15 +27,17 @@ def index_records(docs: DataFrame) -> DataFrame:
 
     ``docs``: id (unique) and some of the columns of WEIGHTS, arrays of distinct tokens; null is none.
     """
-    entries = F.array_sort(F.concat(*(_weighted(F.col(c), w) for c, w in WEIGHTS.items() if c in docs.columns)))
-    both = F.transform(F.array(entries), lambda e: F.struct(F.sha2(F.to_json(e), 256).alias("hash"), e.alias("entries")))  # entries are found once
-    return docs.select("id", F.element_at(both, 1).alias("r")).select("id", "r.hash", "r.entries")
+    places = [c for c in WEIGHTS if c in docs.columns]
+    held = docs.select("id", *(F.sort_array(F.coalesce(F.col(c), F.array().cast("array<string>"))).alias(c) for c in places))
+    told = F.concat_ws("\0", *(x for c in places for x in (F.lit(c), F.size(c).cast("string"), F.xxhash64(c).cast("string"), F.col(c))))
+    entries = F.concat(*(_weighted(F.col(c), WEIGHTS[c]) for c in places))
+    return held.select("id", F.sha2(told, 256).alias("hash"), entries.alias("entries"))
 
 
 def _lists(held: DataFrame) -> DataFrame:
-    """token, id and weight (of all places together) with the bucket."""
-    each = held.select("id", F.explode("entries").alias("e"))
-    return each.groupBy(F.col("e.token").alias("token"), "id").agg(F.sum("e.w").cast("int").alias("weight")).withColumn("bucket", _bucket(F.col("token")))
+    """token, id and weight (of all places together) with the bucket, dealt by bucket."""
+    each = held.select("id", F.explode("entries").alias("e")).select("id", "e.token", "e.w").withColumn("bucket", _bucket(F.col("token")))
+    return each.repartition("bucket").groupBy("bucket", "token", "id").agg(F.sum("w").cast("int").alias("weight"))
 
 
 class LexicalIndex:
@@ -78,7 +80,7 @@ class LexicalIndex:
         if touched:
             columns = ["token", "id", "weight", "bucket"]
             if counts.get("added", 0) == sum(counts.values()):  # nothing is there yet
-                _lists(new).select(*columns).repartition("bucket").sortWithinPartitions("bucket", "token", "id").write.partitionBy("bucket").parquet(f"{self.folder}/lists")
+                _lists(new).select(*columns).sortWithinPartitions("bucket", "token", "id").write.partitionBy("bucket").parquet(f"{self.folder}/lists")
             else:
                 rest = self.lists(kind).where(F.col("bucket").isin(touched)).join(moved.select("id"), "id", "left_anti")
                 fresh = _lists(new.join(moved.where("state <> 'removed'").select("id"), "id", "left_semi"))

@@ -138,3 +138,13 @@ def test_phrases_of_a_group_meet_by_keys(spark, monkeypatch):
     want = {(g, p) for g, p in phrases if g and any(h == g and p in (t or "") for h, t in texts)}
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(set(got)) and set(got) == want and 50 < len(want) < len(set(phrases))
+
+
+def test_index_lists_are_dealt_once(spark):
+    from aeroflow.sources import lexical_index as L
+
+    docs = spark.createDataFrame([(1, ["a", "b"], ["b"]), (2, None, ["b"])], "id long, title_tokens array<string>, text_tokens array<string>")
+    lists = L._lists(L.index_records(docs))
+    assert {(r.token, r.id, r.weight) for r in lists.collect()} == {("a", 1, 4), ("b", 1, 5), ("b", 2, 1)}
+    assert lists._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+    assert "hashpartitioning(bucket" in lists._jdf.queryExecution().executedPlan().toString()
