@@ -12,16 +12,15 @@ far as their texts agree; by the choice of anchors that is less than ANCHOR word
 
 from __future__ import annotations
 
-import math
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -42,6 +41,9 @@ BANDS, ROWS = 6, 2
 #: Members of a band's bucket that are dealt out together, about.
 BLOCK = 2048
 
+#: Bytes of texts whose words are hashed together, about: many short texts cost no more calls than one.
+TOGETHER = 1 << 19
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _ODD = [np.uint64(int.from_bytes(xxhash.xxh64_digest(b"m%d" % i), "big") | 1) for i in range(BANDS * ROWS)]
@@ -74,11 +76,28 @@ _POWERS = _Powers()
 
 
 class _Hashes:
-    """Hashes of a text's words and of any run of them."""
+    """Hashes of the words of some texts, one text after the other, and of any run of them.
+
+    ``bounds``: the words before each text, and all. ``lines``: the words before each line, and
+    all; a blank line stands between texts.
+    """
 
-    def __init__(self, words: list[bytes]):
-        n = len(words)
-        self.words = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
+    def __init__(self, texts: Iterable[str]):
+        parts = [text.encode() for text in texts]
+        chars = np.frombuffer(b"\n\n".join(parts).lower(), np.uint8)
+        solid = (chars != 32) & (chars - np.uint8(9) > 4)
+        first = solid.copy()
+        first[1:] &= ~solid[:-1]
+        at = np.flatnonzero(first)
+        n = len(at)
+        body = chars[solid]
+        offsets = np.append(np.flatnonzero(first[solid]), len(body)).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(body)]).dictionary_encode()
+        told = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_numpy(zero_copy_only=False)), np.uint64, len(coded.dictionary))
+        self.words = told[coded.indices.to_numpy()]
+        self.lines = np.concatenate([[0], np.searchsorted(at, np.flatnonzero(chars == 10)), [n]])
+        begins = np.cumsum([0, *(len(part) + 2 for part in parts)])[:-1]
+        self.bounds = np.append(np.searchsorted(at, begins), n)
         forth, self.back = _POWERS.upto(n)
         self.sums = np.zeros(n + 1, np.uint64)
         with np.errstate(over="ignore"):
@@ -89,7 +108,7 @@ class _Hashes:
             return _mix((self.sums[starts + length] - self.sums[starts]) * self.back[starts])
 
     def shingles(self) -> np.ndarray:
-        """Hashes of all runs of SHINGLE words."""
+        """Hashes of all runs of SHINGLE words, those that go on in the next text included."""
         n = max(0, len(self.words) - SHINGLE + 1)
         with np.errstate(over="ignore"):
             return _mix((self.sums[SHINGLE:] - self.sums[:n]) * self.back[:n]) if n else np.zeros(0, np.uint64)
@@ -104,13 +123,19 @@ def _over_windows(x: np.ndarray, size: int, pick: np.ufunc) -> np.ndarray:
     return pick(x[: len(x) - (size - width)], x[size - width :]) if size > width else x
 
 
-def anchors(shingles: np.ndarray) -> np.ndarray:
-    """Places that hold the least hash of some ANCHOR neighbouring places."""
-    if len(shingles) <= ANCHOR:
-        return np.array([shingles.argmin()]) if len(shingles) else np.zeros(0, np.int64)
-    least = _over_windows(shingles, ANCHOR, np.minimum)
-    none = np.zeros(ANCHOR - 1, np.uint64)  # a place is such if the largest of its windows' minima is its own hash
-    return np.flatnonzero(_over_windows(np.concatenate([none, least, none]), ANCHOR, np.maximum) == shingles)
+def anchors(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Places that hold the least hash of some ANCHOR neighbouring places of their text."""
+    sizes = np.diff(bounds)
+    span = ANCHOR + SHINGLE - 1  # words
+    few = np.flatnonzero((sizes >= SHINGLE) & (sizes <= span))
+    found = [bounds[few] + np.fromiter((shingles[i : j - SHINGLE + 1].argmin() for i, j in zip(bounds[few], bounds[few + 1], strict=True)), np.int64, len(few))]
+    if len(shingles) >= ANCHOR:
+        least = _over_windows(shingles, ANCHOR, np.minimum)
+        whole = np.repeat(np.where(sizes > span, bounds[1:], 0), sizes) - np.arange(bounds[-1]) >= span
+        least[~whole[: len(least)]] = 0
+        none = np.zeros(ANCHOR - 1, np.uint64)  # a place is such if the largest of its windows' minima is its own hash
+        found.append(np.flatnonzero(_over_windows(np.concatenate([none, least, none]), ANCHOR, np.maximum) == shingles))
+    return np.sort(np.concatenate(found))
 
 
 def signatures(shingles: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -139,36 +164,41 @@ def _paragraphs(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.n
 
 @dataclass
 class Units:
-    """What a text is looked up by: windows, and paragraphs with their band keys."""
+    """What texts are looked up by: windows, and paragraphs with their band keys.
+
+    Arrays hold one text after the other; ``windows`` and ``paragraphs`` count each text's.
+    """
 
+    windows: np.ndarray
     window_keys: np.ndarray
     window_starts: np.ndarray
+    paragraphs: np.ndarray
     keys: np.ndarray
     starts: np.ndarray
     sizes: np.ndarray
     bands: np.ndarray
 
 
-def units(text: str) -> Units | None:
-    """The windows and paragraphs of a text; None if it has fewer than WINDOW words."""
-    lines = [line.split() for line in text.encode().lower().split(b"\n")]
-    words = list(chain.from_iterable(lines))
-    n = len(words)
-    if n < WINDOW:
-        return None
-    hashes = _Hashes(words)
-    shingles = hashes.shingles()
-    at = anchors(shingles)
-    at = at[at + WINDOW <= n]
-    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-    starts, sizes = _paragraphs(np.cumsum(sizes) - sizes, sizes)
-    keys, bands = np.zeros(0, np.uint64), np.zeros((0, BANDS), np.uint64)
-    if len(starts):
-        order = np.argsort(starts)
-        starts, sizes = starts[order], sizes[order]
-        keys = _mix(hashes.runs(starts, sizes) + np.uint64(1))
-        bands = signatures(shingles, starts, starts + sizes - SHINGLE + 1)
-    return Units(hashes.runs(at, WINDOW), at, keys, starts, sizes, bands)
+def units(*texts: str) -> Units:
+    """The windows and paragraphs of some texts."""
+    hashes = _Hashes(texts)
+    bounds, shingles = hashes.bounds, hashes.shingles()
+
+    def owner(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        of = np.searchsorted(bounds, at, side="right") - 1
+        return of, np.bincount(of, minlength=len(texts))
+
+    at = anchors(shingles, bounds)
+    of, _ = owner(at)
+    inside = at + WINDOW <= bounds[of + 1]
+    at, of = at[inside], of[inside]
+    starts, sizes = _paragraphs(hashes.lines[:-1], np.diff(hashes.lines))
+    order = np.argsort(starts)
+    starts, sizes = starts[order], sizes[order]
+    home, paragraphs = owner(starts)
+    keys = _mix(hashes.runs(starts, sizes) + np.uint64(1))
+    bands = signatures(shingles, starts, starts + sizes - SHINGLE + 1) if len(starts) else np.zeros((0, BANDS), np.uint64)
+    return Units(np.bincount(of, minlength=len(texts)), hashes.runs(at, WINDOW), at - bounds[of], paragraphs, keys, starts - bounds[home], sizes, bands)
 
 
 _UNITS = "id {id}, h long, w_keys array<long>, w_starts array<int>, p_keys array<long>, p_starts array<int>, p_sizes array<int>, bands array<array<long>>"
@@ -178,9 +208,18 @@ def _kind(docs: DataFrame) -> str:
     return docs.schema["id"].dataType.simpleString()
 
 
-def _lists(parts: list[np.ndarray], dtype: type) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype), *(x.astype(dtype, copy=False) if dtype is np.int32 else x.view(dtype) for x in parts)])))
+def _lists(counts: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), values)
+
+
+def _together(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Groups of texts of about TOGETHER bytes, with the place of the first; a longer text is a group."""
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))
+    i = 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + TOGETHER, side="right")))
+        yield i, column.slice(i, j - i).to_pylist()
+        i = j
 
 
 def _all_units(docs: DataFrame) -> DataFrame:
@@ -188,26 +227,20 @@ def _all_units(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(2)
-            found = [units(texts[i].as_py()) for i in range(b.num_rows)]
-            kept = pa.array([i for i, x in enumerate(found) if x is not None], pa.int64())
-            found = [x for x in found if x is not None]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0).take(kept),
-                    b.column(1).take(kept),
-                    _lists([x.window_keys for x in found], np.int64),
-                    _lists([x.window_starts for x in found], np.int32),
-                    _lists([x.keys for x in found], np.int64),
-                    _lists([x.starts for x in found], np.int32),
-                    _lists([x.sizes for x in found], np.int32),
-                    pa.ListArray.from_arrays(
-                        pa.array(np.cumsum([0, *(len(x.keys) for x in found)]).astype(np.int32)),
-                        _lists([band for x in found for band in np.ascontiguousarray(x.bands)], np.int64),
-                    ),
-                ],
-                names=["id", "h", "w_keys", "w_starts", "p_keys", "p_starts", "p_sizes", "bands"],
-            )
+            for i, texts in _together(b.column(2)):
+                u = units(*texts)
+                row = b.slice(i, len(texts))
+                bands = _lists(np.full(len(u.keys), BANDS), pa.array(np.ascontiguousarray(u.bands).view(np.int64).ravel()))
+                lists = [
+                    _lists(u.windows, pa.array(u.window_keys.view(np.int64))),
+                    _lists(u.windows, pa.array(u.window_starts.astype(np.int32))),
+                    _lists(u.paragraphs, pa.array(u.keys.view(np.int64))),
+                    _lists(u.paragraphs, pa.array(u.starts.astype(np.int32))),
+                    _lists(u.paragraphs, pa.array(u.sizes.astype(np.int32))),
+                    _lists(u.paragraphs, bands),
+                ]
+                told = pa.RecordBatch.from_arrays([row.column(0), row.column(1), *lists], names=["id", "h", "w_keys", "w_starts", "p_keys", "p_starts", "p_sizes", "bands"])
+                yield told.filter(pa.array(u.windows + u.paragraphs > 0))
 
     return docs.mapInArrow(run, _UNITS.format(id=_kind(docs)))
 
@@ -217,35 +250,53 @@ def _shingle_sets(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, sets = [], []
-            for text, places in zip(b.column(0), b.column(1).to_pylist()):
-                shingles = _Hashes(text.as_py().encode().lower().split()).shingles()
-                for p in places:
-                    keys.append(p["key"])
-                    sets.append(np.unique(shingles[p["start"] : p["start"] + p["n"] - SHINGLE + 1]).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["key", "shingles"])
+            bounds, places = b.column(1).offsets.to_numpy(), b.column(1).values
+            starts, sizes = places.field("start").to_numpy(), places.field("n").to_numpy()
+            sets = []
+            for i, texts in _together(b.column(0)):
+                hashes = _Hashes(texts)
+                shingles = hashes.shingles()
+                told = slice(bounds[i], bounds[i + len(texts)])
+                first = starts[told] + np.repeat(hashes.bounds[:-1], np.diff(bounds[i : i + len(texts) + 1]))
+                for x, y in zip(first.tolist(), (first + sizes[told] - SHINGLE + 1).tolist(), strict=True):
+                    members = np.sort(shingles[x:y])
+                    sets.append(members[np.append(True, members[1:] != members[:-1])].tobytes())
+            keys = places.field("key").slice(bounds[0], bounds[-1] - bounds[0])
+            yield pa.RecordBatch.from_arrays([keys, pa.array(sets, pa.binary())], names=["key", "shingles"])
 
     return docs.select("text", "places").mapInArrow(run, "key long, shingles binary")
 
 
-def _alike(postings: list[array], size: int, sizes: array) -> list[int]:
-    """The leaders whose sets are similar to a set of ``size``, from its shingles' lists of leaders."""
-    if not postings:
-        return []
-    common = np.bincount(np.concatenate([np.frombuffer(p, np.uintc) for p in postings]))
-    whole = size + np.frombuffer(sizes, np.int64)[: len(common)] - common
-    return np.flatnonzero((common > 0) & (common >= SIMILARITY * whole)).tolist()
+class _Sets:
+    """Sets so far, by their shingles."""
+
+    def __init__(self):
+        self.sizes, self.index = array("q"), {}
+
+    def add(self, members: list[int]) -> None:
+        for s in members:
+            self.index.setdefault(s, array("I")).append(len(self.sizes))
+        self.sizes.append(len(members))
+
+    def alike(self, members: list[int]) -> list[int]:
+        """The places of the sets that are similar to one."""
+        postings = [self.index[s] for s in members if s in self.index]
+        if not postings:
+            return []
+        common = np.bincount(np.frombuffer(b"".join(postings), np.uintc))
+        whole = len(members) + np.frombuffer(self.sizes, np.int64)[: len(common)] - common
+        return np.flatnonzero((common > 0) & (common >= SIMILARITY * whole)).tolist()
 
 
 class _Bucket:
-    """The paragraphs of a bucket so far: leaders, the others by prefixes, and their groups."""
+    """The paragraphs of a bucket so far: leaders, the others, and their groups."""
 
     def __init__(self):
         self.leaders: list[int] = []
-        self.sizes, self.index = array("q"), {}
+        self.sets, self.told = _Sets(), _Sets()  # of leaders, of others
         self.group: list[int] = []  # of each leader, by union-find
-        self.others: list[tuple[int, bytes]] = []
-        self.prefixes: dict[int, dict[int, array]] = {}  # shingle, leader, places in others
+        self.others: list[tuple[int, bytes, int]] = []  # with their leader
+        self.led: set[int] = set()  # groups of the others
 
     def _find(self, i: int) -> int:
         while self.group[i] != i:
@@ -255,37 +306,28 @@ class _Bucket:
     def add(self, key: int, raw: bytes) -> list[int]:
         """Earlier keys that link a paragraph to all groups with a member similar to it."""
         members = np.frombuffer(raw, "<u8").tolist()
-        alike = _alike([self.index[s] for s in members if s in self.index], len(members), self.sizes)
+        alike = self.sets.alike(members)
         out = [self.leaders[i] for i in alike]
         leader = alike[0] if alike else len(self.leaders)
         if not alike:
-            for s in members:
-                self.index.setdefault(s, array("I")).append(leader)
+            self.sets.add(members)
             self.leaders.append(key)
-            self.sizes.append(len(members))
             self.group.append(leader)
         for i in alike[1:]:
             self.group[self._find(i)] = self._find(leader)
-        # sets of similarity s share one of the first n - s * n + 1 shingles in any common order
-        prefix = members[: len(members) - math.ceil(SIMILARITY * len(members) - 1e-9) + 1]
-        own, whole = self._find(leader), None
-        for s in prefix:
-            for other, places in self.prefixes.get(s, {}).items():
-                if self._find(other) == own:
-                    continue
-                whole = whole or set(members)
-                for place in places:
-                    earlier, theirs = self.others[place]
-                    theirs = np.frombuffer(theirs, "<u8").tolist()
-                    common = len(whole.intersection(theirs))
-                    if common >= SIMILARITY * (len(whole) + len(theirs) - common):
-                        out.append(earlier)
-                        self.group[self._find(other)] = own
-                        break
+        own = self._find(leader)
+        self.led = {self._find(i) for i in self.led}
+        if self.led - {own}:  # others are indexed once there is a group that needs them
+            for _, earlier, _ in self.others[len(self.told.sizes) :]:
+                self.told.add(np.frombuffer(earlier, "<u8").tolist())
+            for place in self.told.alike(members):
+                earlier, _, i = self.others[place]
+                if (i := self._find(i)) != own:
+                    out.append(earlier)
+                    self.group[i] = own
         if alike:
-            for s in prefix:
-                self.prefixes.setdefault(s, {}).setdefault(leader, array("I")).append(len(self.others))
-            self.others.append((key, raw))
+            self.others.append((key, raw, leader))
+            self.led.add(own)
         return out
 
 
@@ -371,20 +413,22 @@ def _contexts(docs: DataFrame) -> DataFrame:
         for b in batches:
             bounds, places = b.column(3).offsets.to_numpy(), b.column(3).values
             places = places.slice(bounds[0], bounds[-1] - bounds[0])
-            bounds = (bounds - bounds[0]).tolist()
+            bounds = bounds - bounds[0]
             starts, clusters = places.field("start").to_numpy(), places.field("cluster").to_numpy().view(np.uint64)
             lefts = places.field("left").to_numpy(zero_copy_only=False)
             sizes, keys = [], [np.zeros(0, np.int64)]
-            for text, i, j in zip(b.column(2), bounds, bounds[1:], strict=False):
-                words = text.as_py().encode().lower().split()
-                start, left = starts[i:j, None].astype(np.int64), lefts[i:j, None]
-                room = np.minimum(ANCHOR - 1, np.where(left, start, len(words) - start - WINDOW))
+            for row, texts in _together(b.column(2)):
+                hashes = _Hashes(texts)
+                i, j = bounds[row], bounds[row + len(texts)]
+                begin, upto = (np.repeat(x, np.diff(bounds[row : row + len(texts) + 1]))[:, None] for x in (hashes.bounds[:-1], hashes.bounds[1:]))
+                start, left = starts[i:j, None] + begin, lefts[i:j, None]
+                room = np.minimum(ANCHOR - 1, np.where(left, start - begin, upto - start - WINDOW))
                 told = steps <= room
                 at, length = np.where(left, start - steps, start + WINDOW)[told], np.broadcast_to(steps, told.shape)[told]
                 with np.errstate(over="ignore"):
                     salts = _mix((clusters[i:j, None] + _BASE * (2 * steps + left).astype(np.uint64))[told])
                 sizes.append(told.sum(axis=1))
-                keys.append(_mix(_Hashes(words).runs(at, length) ^ salts).view(np.int64))
+                keys.append(_mix(hashes.runs(at, length) ^ salts).view(np.int64))
             ends = np.concatenate([[0], *sizes]).cumsum().astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
             owner = pa.array(np.repeat(np.arange(b.num_rows), np.diff(bounds)))

@@ -219,3 +219,25 @@ def test_near_copies_of_wrapped_paragraphs(spark):
     rows = [(i, f"{prose(rng, 30)}\n\n" + "\n".join(lines) + f"\n\n{prose(rng, 30)}", "q", 1) for i, lines in enumerate((base, other))]
     got = {r.id: r for r in D.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got[0].n_removed == 0 and got[1].n_removed == 99
+
+
+def test_a_bucket_compares_no_pair_again_and_again(monkeypatch):
+    rng = random.Random(47)
+    common, read = rng.sample(range(10**9), 60), []
+    monkeypatch.setattr(D.np, "frombuffer", lambda *x, real=np.frombuffer: read.append(0) or real(*x))
+    bucket, links = D._Bucket(), set()
+    heads = [[*common, *rng.sample(range(10**9), 30)] for _ in range(4)]  # alike by less than 0.8 from group to group
+    for i in range(200):
+        links |= {(i, j) for j in bucket.add(i, np.array(sorted([*heads[i % 4], i]), "<u8").tobytes())}
+    assert groups(links, 200) == {frozenset(range(k, 200, 4)) for k in range(4)}
+    assert len(read) <= 8 * 200
+
+
+def test_texts_together_give_the_units_of_each():
+    rng = random.Random(53)
+    texts = ["", "\n", "a b", *("\n".join(prose(rng, rng.randrange(70)) for _ in range(rng.randrange(1, 5))) for _ in range(40)), *(" ".join("ab"[rng.randrange(2)] for _ in range(n)) for n in range(20, 60)), " É\tx\n"]
+    rng.shuffle(texts)
+    whole, alone = D.units(*texts), [D.units(x) for x in texts]
+    for name in ("windows", "window_keys", "window_starts", "paragraphs", "keys", "starts", "sizes", "bands"):
+        assert np.array_equal(getattr(whole, name), np.concatenate([getattr(x, name) for x in alone])), name
+    assert whole.windows.sum() > 40 and whole.paragraphs.sum() > 10
