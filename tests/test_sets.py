@@ -2,6 +2,8 @@
 
 import random
 
+import duckdb
+
 from aeroflow.operators import grouping as P, sets
 
 
@@ -52,3 +54,16 @@ def test_anchored_sets_meet_in_blocks(spark, monkeypatch):
     few = [tuple(r) for r in P.anchored_links(items, ACTIONS, forest=True).collect()]
     nodes = sorted(first.values())
     assert set(few) < want and components(nodes, few) == components(nodes, sorted(want))
+
+
+def test_whole_texts_are_grouped(spark, tmp_path):
+    """Texts that differ early and agree later are one group, and those that agree at their beginning only are not."""
+    from aeroflow.plans.queries import ORACLE_SQL, QUERIES
+
+    words = lambda c, n: " ".join(c * 5 + "abcdefghij"[i % 10] * (1 + i // 10) for i in range(n))
+    texts = ["one\n" + words("v", 40) + " " + words("w", 200), "two\n" + words("x", 40) + " " + words("w", 200), "one\n" + words("v", 40) + " " + words("y", 200), ""]
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.group_id for r in QUERIES["token_groups"](spark, str(tmp_path)).collect()}
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == dict(db.execute(ORACLE_SQL["token_groups"]).fetchall()) == {0: 0, 1: 0, 2: 2, 3: 3}
