@@ -197,3 +197,35 @@ def test_subsequences_in_arrays(monkeypatch):
     for t in [*words[:6], "a" * 64, "ab" * 64, "漢" * 63, "x" * 300]:
         want = [2 * n / (len(r["title"]) + len(t)) for n, r in zip(longest_common_subsequences([r["title"] for r in tile.rows], t), tile.rows)]
         assert tile.reach(list(range(90)), t) == want
+
+
+def test_groups_of_characters_bound_subsequences():
+    """Most unlike titles of one language fall out by groups of characters, and none that is like enough."""
+    rng = random.Random(14)
+    letters = "eeeeetttaaaooiinnsshhrrddlluucmwfgypbvkxjqzéß漢 "
+    many = ["".join(rng.choice(letters) for _ in range(rng.randrange(60, 240))) for _ in range(200)]
+    many += ["".join(rng.choice(letters) if rng.random() < 0.15 else c for c in t) for t in many[:40]]
+    tile = titles.Tile([{"title": t, "id": i} for i, t in enumerate(many)])
+    n_left, n_like, n_all = 0, 0, 0
+    for t in [*many[:25], "e" * 90, "漢" * 70]:
+        near = tile.near(t, 0.7)[0]
+        left = set(tile.sifted(near, t, 0.7).tolist())
+        like = {i for i, r in zip(near.tolist(), tile.reach(near.tolist(), t)) if r >= 0.7}
+        assert like <= left <= set(near.tolist())
+        n_left, n_like, n_all = n_left + len(left), n_like + len(like), n_all + len(near)
+    assert n_like >= 40 and n_left < n_all / 5
+
+
+def test_titles_are_not_shuffled_for_tiles(spark, monkeypatch):
+    """What is shuffled does not grow with the tiles that a title may meet, and every pair comes once."""
+    monkeypatch.setattr(titles, "TILE", 5)
+    rng = random.Random(15)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(20, 60))) for _ in range(30)]
+    rows = [(i, t[: rng.randrange(len(t) * 3 // 4, len(t) + 1)] + "xyz"[i % 3]) for i, t in enumerate(base * 4)]
+    rows = list({t: (i, t) for i, t in rows}.values())
+    df = spark.createDataFrame(rows, "id long, title string")
+    found = similar_titles(df, df, once=True)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {(i, j) for i, a in rows for j, b in rows if i < j and difflib.SequenceMatcher(None, a, b).ratio() >= 0.75}
+    got = [(r.src, r.dst) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 50
