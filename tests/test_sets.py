@@ -94,3 +94,17 @@ def test_searches_keep_few_tokens_and_blocks_are_bound_by_tokens(spark, monkeypa
             scored = sorted((-len(set(tokens) & set(d[2])), d[0]) for d in docs if d[1] != source and d[0] != query)
             want |= {(query, i, -n, place) for place, (n, i) in enumerate([x for x in scored if -x[0] >= least][:3], 1)}
         assert {tuple(r) for r in found.select("query_id", "id", "score", "place").collect()} == want and len(want) > 100
+
+
+def test_group_links_shuffle_no_tokens(spark, monkeypatch):
+    """Links of groups come without an exchange, and a task's are a forest that keeps the components."""
+    held = drawn(6, 120)
+    items = spark.createDataFrame([(i, s) for i, s in enumerate(held)], "id long, tokens array<string>")
+    found = P.same_event_links(items)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    label = components(range(len(held)), [tuple(r) for r in found.collect()])
+    first = {}
+    for i, s in enumerate(held):
+        first.setdefault(tuple(s), i)
+    want = {i: label[first[tuple(s)]] if len(s) >= 4 else i for i, s in enumerate(held)}
+    assert {r.id: r.group_id for r in P.token_groups(items).collect()} == want and len(set(want.values())) < 100
